@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity
-from .common import WS, table
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, warc
+from .common import WS, table, text_or_empty
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ g AS (SELECT h, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)"""
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,9 +43,38 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences, with what remains of them and the documents that hold the first copies."""
+    out = substring_dedup.changed(table(spark, sf_dir, "documents"))
+    return out.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = token_counts.counted(docs, token_counts.revisions(text_or_empty(), F.length(text_or_empty())))
+    return out.drop("segment_chars", "segment_tokens")
+
+
+#: SQL for the record types; the archives in between are held to it.
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::bigint AS payload_bytes, sha1(b) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS target FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN target END AS refers_to FROM g"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_mixing, op5_near_dedup, op6_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_toxicity, op4_mixing, op5_near_dedup, op6_packing, op7_sharding, op8_warc, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing.SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing.SQL, "op8_warc": OP8_SQL}

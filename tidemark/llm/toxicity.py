@@ -30,7 +30,7 @@ from .words import U, blocks, hashed_words, mix, separators
 WINDOW, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, BUCKETS = 4096, 1 << 14
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 2000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 600, 1200, 8_000
 STEPS, BATCH, DROPOUT = 420, 256, 0.2
 THRESHOLD = 0.3
 _SEP = separators(b".,;:!?\"'()[]{}<>*#%$&+=/\\|~^_-")
