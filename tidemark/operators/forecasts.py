@@ -143,3 +143,34 @@ def replay(path: DataFrame, cost: float = 0.002, keys: list[str] = HKEYS) -> Dat
 
 def roi(rows: DataFrame, keys: list[str] = HKEYS) -> DataFrame:
     return rows.groupBy(*keys).agg(F.when(F.min("f") <= 0, -1.0).otherwise(F.exp(F.sum(F.ln(F.greatest("f", F.lit(1e-300))))) - 1).alias("roi"), F.avg("exposure").alias("mean_exposure"), F.sum("turn").alias("turnover"), F.count_if(c("turn") > 0).alias("trades"), F.count(F.lit(1)).alias("bars"))
+
+
+def stability(quality: DataFrame) -> DataFrame:
+    out = quality.where("status = 'scored'").groupBy("symbol", "horizon", F.date_trunc("month", "open_time").alias("month")).agg(F.count(F.lit(1)).alias("samples"), F.avg("nll").alias("logloss"), F.avg("brier").alias("brier"), F.avg(c("correct").cast("double")).alias("accuracy"))
+    return out.withColumn("sparse", c("samples") < 5)
+
+
+def cutoffs(bars: DataFrame) -> DataFrame:
+    """The first bar of each calendar month serves that month."""
+    return bars.groupBy("symbol", F.date_trunc("month", "open_time").alias("month")).agg(F.min("open_time").alias("cutoff"))
+
+
+def training_slice(rows: DataFrame, first: int) -> DataFrame:
+    """Labelled rows of each (cutoff, horizon): cutoff - W <= bar < cutoff - F.
+
+    Running counts by bar are looked up at the two ends of each window, so nothing is expanded by the range.
+    """
+    w = Window.partitionBy(*HKEYS, "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"part": F.floor(c("idx") / 4096), "known": c("direction").isNotNull().cast("long"), "up": F.coalesce((c("direction") == "long").cast("long"), F.lit(0))})
+    sums = rows.groupBy(*HKEYS, "part").agg(F.sum("known").alias("k"), F.sum("up").alias("u"))
+    before = Window.partitionBy(*HKEYS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*HKEYS, "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("u").over(before), F.lit(0)).alias("u0"))
+    run = rows.withColumns({"k1": F.sum("known").over(w), "u1": F.sum("up").over(w)}).join(starts, [*HKEYS, "part"])
+    run = run.select("symbol", "horizon", "idx", "forward", "open_time", (c("k0") + c("k1")).alias("k"), (c("u0") + c("u1")).alias("u"))
+    at = run.where(c("idx") >= first).groupBy("symbol", "horizon", "forward", F.date_trunc("month", "open_time").alias("month")).agg(F.min("idx").alias("at"))
+    window = c("forward") + F.greatest(F.lit(730), 3 * c("forward"))
+    ends = at.select("symbol", "horizon", "at", (c("at") - c("forward") - 1).alias("idx"), (c("at") - window - 1).alias("low"))
+    upper = ends.join(run.select("symbol", "horizon", "idx", "k", "u"), ["symbol", "horizon", "idx"]).drop("idx").withColumnRenamed("low", "idx")
+    lower = run.select("symbol", "horizon", "idx", c("k").alias("k_low"), c("u").alias("u_low"))
+    out = upper.join(lower, ["symbol", "horizon", "idx"], "left")
+    return out.select("symbol", "horizon", "at", (c("k") - F.coalesce("k_low", F.lit(0))).alias("n"), (c("u") - F.coalesce("u_low", F.lit(0))).alias("longs"))

@@ -15,6 +15,7 @@ from ..sources.tables import BARS, TICKS, daily_bars, tick_bars, tick_sql
 
 c = F.col
 SHIFT = 3.7e-9
+DIGITS = {"atr_14": 3, "macd_hist": 3}  # long recursions over large prices
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -23,7 +24,7 @@ def rounded(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema:
         if isinstance(f.dataType, T.DoubleType):
-            out.append((F.round(c(f.name) + SHIFT, 6) + 0.0).alias(f.name))
+            out.append((F.round(c(f.name) + SHIFT, DIGITS.get(f.name, 6)) + 0.0).alias(f.name))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.DoubleType):
             out.append(F.transform(f.name, lambda x: F.round(x + SHIFT, 6) + 0.0).alias(f.name))
         else:
@@ -36,7 +37,7 @@ def select(ctes: str, source: str, plain: str = "", doubles: str = "") -> str:
     cols = [x.strip() for x in plain.split(",") if x.strip()]
     for x in (x.strip() for x in doubles.split(",") if x.strip()):
         expr, _, name = x.rpartition(" AS ")
-        cols.append(f"round(({expr or x})::double + {SHIFT}, 6) + 0.0 AS {name}")
+        cols.append(f"round(({expr or x})::double + {SHIFT}, {DIGITS.get(name, 6)}) + 0.0 AS {name}")
     return f"WITH {ctes.strip().rstrip(',')} SELECT {', '.join(cols)} FROM {source}"
 
 
