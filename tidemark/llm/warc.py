@@ -167,7 +167,7 @@ def records(stream, block: int = BLOCK) -> Iterator[tuple[int | None, int, str,
         while data:
             began = True
             rec.feed(unpack.decompress(data, block))
-            while unpack.unconsumed_tail:
+            while unpack.unconsumed_tail and not unpack.eof:
                 rec.feed(unpack.decompress(unpack.unconsumed_tail, block))
             if not unpack.eof:
                 break
