@@ -174,3 +174,18 @@ def training_slice(rows: DataFrame, first: int) -> DataFrame:
     lower = run.select("symbol", "horizon", "idx", c("k").alias("k_low"), c("u").alias("u_low"))
     out = upper.join(lower, ["symbol", "horizon", "idx"], "left")
     return out.select("symbol", "horizon", "at", (c("k") - F.coalesce("k_low", F.lit(0))).alias("n"), (c("u") - F.coalesce("u_low", F.lit(0))).alias("longs"))
+
+
+def match_bar(times: DataFrame, bars: DataFrame) -> DataFrame:
+    """Each time with its bar: the one at that instant, else the first of its calendar date."""
+    exact = bars.select("symbol", c("open_time").alias("at"), c("open_time").alias("t1"), c("close").alias("c1"))
+    first = bars.groupBy("symbol", F.to_date("open_time").alias("day")).agg(F.min(F.struct("open_time", "close")).alias("f"))
+    met = times.join(exact, ["symbol", "at"], "left").withColumn("day", F.to_date("at")).join(first, ["symbol", "day"], "left")
+    return met.select("symbol", "at", F.coalesce("t1", "f.open_time").alias("bar_time"), F.coalesce("c1", "f.close").alias("close"))
+
+
+def runs(bars: DataFrame) -> DataFrame:
+    """The run catalogue: one run a symbol and year, with its slug."""
+    stamp = F.date_format(F.date_trunc("year", "open_time"), "yyyyMMdd'T'HHmmss")
+    rows = bars.select("symbol", F.lit("baseline").alias("model"), F.lit("1d").alias("interval"), stamp.alias("run_ts")).distinct()
+    return rows.withColumn("slug", F.concat_ws("_", "model", "interval", "run_ts"))
