@@ -40,7 +40,7 @@ FAST = ["to_bars", "rollup_bars", "rollup_many", "qa_report", "gaps_chart", "inv
 def test_sql_agrees(spark, sf, duck, name):
     got = QUERIES[name](spark, sf)
     names = sorted(got.columns)
-    want = duck.sql(f"select {', '.join(names)} from ({SQL[name]})").fetchall()
+    want = duck.sql(f"select {', '.join(f'"{n}"' for n in names)} from ({SQL[name]})").fetchall()
     assert plain(map(tuple, got.select(*names).collect())) == plain(want) and want
 
 

@@ -131,10 +131,10 @@ def refit_cutoffs(spark, sf_dir):
     return forecasts.cutoffs(daily_bars(spark, sf_dir))
 
 
-@query(f"""WITH {LAB}, k AS (SELECT symbol, min(idx) AS at FROM bi WHERE idx >= 1500 GROUP BY symbol, date_trunc('month', open_time)), h AS (SELECT DISTINCT horizon, forward, forward + greatest(730, 3 * forward) AS w FROM lab)
-SELECT k.symbol, h.horizon, k.at, count(*) AS n, count_if(direction = 'long')::bigint AS longs FROM k CROSS JOIN h JOIN lab ON lab.symbol = k.symbol AND lab.horizon = h.horizon AND lab.idx >= k.at - h.w AND lab.idx < k.at - h.forward AND direction IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH {LAB}, k AS (SELECT symbol, min(idx) AS at FROM bi WHERE idx >= 800 GROUP BY symbol, date_trunc('month', open_time)), h AS (SELECT DISTINCT horizon, forward, forward + greatest(730, 3 * forward) AS w FROM lab)
+SELECT k.symbol, h.horizon, k.at AS bar, count(*) AS n, count_if(direction = 'long')::bigint AS longs FROM k CROSS JOIN h JOIN lab ON lab.symbol = k.symbol AND lab.horizon = h.horizon AND lab.idx >= k.at - h.w AND lab.idx < k.at - h.forward AND direction IS NOT NULL GROUP BY ALL""")
 def training_slice(spark, sf_dir):
-    return forecasts.training_slice(labels(spark, sf_dir), 1500)
+    return forecasts.training_slice(labels(spark, sf_dir), 800).withColumnRenamed("at", "bar")
 
 
 @query(select(FC, "fc", "symbol, horizon, open_time, known, trained", "p_long, p_short"))
