@@ -35,3 +35,9 @@ def path_stats(path: DataFrame) -> DataFrame:
     w = Window.partitionBy(*HKEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = path.withColumn("le", F.sum(F.ln(F.greatest("f", F.lit(1e-300)))).over(w)).withColumn("fall", F.exp(c("le") - F.max("le").over(w)) - 1)
     return rows.groupBy("symbol", "horizon").agg((-F.min("fall")).alias("max_drawdown"), (F.avg(c("f") - 1) / F.stddev_samp(c("f") - 1) * F.sqrt(F.lit(365.0))).alias("sharpe"))
+
+
+def constant_exposure(path: DataFrame, cost: float) -> DataFrame:
+    """The path's mean exposure entered once, at one cost, and held from the first close to the last."""
+    rows = path.where("close > 0").groupBy("symbol", "horizon").agg(F.avg("exposure").alias("exposure"), F.min(F.struct("idx", "close")).getField("close").alias("first"), F.max(F.struct("idx", "close")).getField("close").alias("last"))
+    return rows.select("symbol", "horizon", "exposure", (c("exposure") * (c("last") / c("first") - 1) - c("exposure") * cost).alias("roi"))
