@@ -7,8 +7,9 @@ the threshold, and is then confirmed on full sets.
 
 Inside a band's bucket every set is paired with the bucket's smallest id only, so the pairs grow with the rows and not
 with the square of a group. That alone could miss a link between two sets that do not resemble the smallest one, so a
-second round takes every bucket whose members still lie in different components and pairs those outside the bucket's
-main component with all its members, which leaves no candidate pair between components untried. Equal sets are one
+second round takes every bucket whose members still lie in different components and compares those outside the bucket's
+main component with all its members, in blocks of bounded size, on full sets where the estimate leaves a link possible;
+only confirmed links become rows. No candidate pair between components stays untried. Equal sets are one
 class from the start and copies are never expanded into pairs.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; a text of fewer words than a shingle
@@ -32,6 +33,8 @@ BANDS, ROWS, MANTISSA = 32, 5, 10
 REGISTERS = BANDS * ROWS
 #: Standard deviations of the estimate by which a pair may fall short of the threshold and still be confirmed.
 SLACK = 5.0
+#: Members of a block where buckets of several components are compared.
+BLOCK = 128
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -136,7 +139,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     one = classes.select("id", "n_shingles", "regs")
     with_a = pairs.join(one.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a")
     with_b = with_a.join(one.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
-    likely = checkpoint(with_b.mapInArrow(_likely(percent / 100), "a long, b long"))
+    return verified(checkpoint(with_b.mapInArrow(_likely(percent / 100), "a long, b long")), docs, k, percent)
+
+
+def verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = checkpoint(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>"))
@@ -145,6 +151,109 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return joined.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def _near(x: int, outs: list[dict], rx: np.ndarray, members: tuple, key: int, threshold: float) -> np.ndarray:
+    """Members that outsider x may link to by the estimate: in another component, in this band as their first common one."""
+    ids, components_, inside, sizes, regs = members
+    me = outs[x]
+    may = (components_ != me["component"]) & (inside | (ids > me["id"])) & (np.minimum(sizes, me["n_shingles"]) >= threshold * np.maximum(sizes, me["n_shingles"]))
+    at = np.flatnonzero(may)
+    if not len(at):
+        return at
+    equal = regs[at] == rx[x]
+    c = chance(np.full(len(at), float(me["n_shingles"])), sizes[at])
+    ok = (equal.mean(axis=1) - c) / (1 - c) >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+    at, equal = at[ok], equal[ok]
+    here = int(np.flatnonzero(band_keys(rx[x]) == key)[0])
+    return at[equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == here] if len(at) else at
+
+
+def _columns(rows: list[dict]) -> tuple:
+    regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
+    return np.array([r["id"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["inside"] for r in rows]), np.array([r["n_shingles"] for r in rows], float), regs
+
+
+def _possible(threshold: float):
+    """(key, id) of the sets that have a possible link across components in this bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, outs, rows = (batch[c][i].as_py() for c in ("key", "outs", "members"))
+                members, rx, found = _columns(rows), _columns(outs)[-1], set()
+                for x in range(len(outs)):
+                    at = _near(x, outs, rx, members, key, threshold)
+                    if len(at):
+                        found.add(outs[x]["id"])
+                        found.update(members[0][at].tolist())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["key", "id"])
+
+    return run
+
+
+def _linking(threshold: float, percent: int):
+    """Links (a, b) confirmed on full sets, one for each outsider and other component in a pair of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, outs, rows = (batch[c][i].as_py() for c in ("key", "outs", "members"))
+                members, rx = _columns(rows), _columns(outs)[-1]
+                sets = [np.array(r["shingles"], np.int64) for r in rows]
+                left, right = [], []
+                for x in range(len(outs)):
+                    mine = np.sort(np.array(outs[x]["shingles"], np.int64))
+                    linked_to = set()
+                    for j in _near(x, outs, rx, members, key, threshold):
+                        if members[1][j] in linked_to:
+                            continue
+                        place = np.searchsorted(mine, sets[j])
+                        both = int((mine[np.minimum(place, len(mine) - 1)] == sets[j]).sum())
+                        if 100 * both >= percent * (len(mine) + len(sets[j]) - both):
+                            linked_to.add(members[1][j])
+                            left.append(min(outs[x]["id"], rows[j]["id"]))
+                            right.append(max(outs[x]["id"], rows[j]["id"]))
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _blocks(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """key, outs, members: pairs of blocks of about BLOCK outsiders and BLOCK members of a bucket."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("inside")).alias("u"))
+    sized = rows.join(checkpoint(sizes.where("u > 0")), "key")
+    one = F.collect_list(F.struct(*fields))
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col(n) / BLOCK))
+    outs = checkpoint(sized.where(~F.col("inside")).groupBy("key", block("u").alias("block")).agg(one.alias("outs")).drop("block"))
+    return outs.join(checkpoint(sized.groupBy("key", block("n").alias("block")).agg(one.alias("members")).drop("block")), "key")
+
+
+def between(held: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of mixed buckets: all outside the main one against all members, block by block.
+
+    Blocks have about BLOCK members whatever the bucket's size, and a row of the join is a pair of blocks, never a pair of
+    sets. Registers alone first tell which sets have a possible link; only these fetch their full sets for the second pass,
+    which makes rows of confirmed links only.
+    """
+    fields = ["id", "component", "inside", "n_shingles", "regs"]
+    rows = held.join(classes.select("id", "n_shingles", "regs"), "id")
+    possible = checkpoint(_blocks(rows, fields).mapInArrow(_possible(percent / 100), "key long, id long").distinct())
+    wanted = possible.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    sets = checkpoint(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
+    full = rows.join(possible, ["key", "id"], "left_semi").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    return _blocks(full, [*fields, "shingles"]).mapInArrow(_linking(percent / 100, percent), "a long, b long").distinct()
+
+
+def mixed(buckets: DataFrame, reach: DataFrame) -> DataFrame:
+    """key, id, component, inside for the buckets whose members lie in several components: inside their largest part or not."""
+    where = buckets.join(reach, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
+    return checkpoint(where.join(main, "key").select("key", "id", "component", (F.col("component") == F.col("main")).alias("inside")))
+
+
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, id of the row's class; reach: id, component of the classes that have links)."""
     rows = checkpoint(signed(docs, k))
@@ -158,18 +267,12 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     links = checkpoint(confirmed(first, classes, docs, k, percent))
     reach = components(links)
 
-    # Buckets that still hold several components: all outside the main one against every member of another.
-    where = buckets.join(reach, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    parts = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    held = checkpoint(where.join(mixed, "key"))
-    outside = held.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    others = held.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    rest = outside.join(others, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(rest, classes, docs, k, percent)
-    more = checkpoint(more)
-    if not more.isEmpty():
-        reach = components(links.unionByName(more))
+    # What is left in buckets of several components is compared in blocks, so that no link between components is missed.
+    held = mixed(buckets, reach)
+    if not held.isEmpty():
+        more = checkpoint(between(held, classes, docs, k, percent))
+        if not more.isEmpty():
+            reach = components(links.unionByName(more))
     return members, reach
 
 
