@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-from .graph import components
+from .common import checkpoint, written
+from .graph import components, merged
 from .words import U, blocks, hashed_words, mix, separators, shingles
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 SLACK = 5.0
 #: Members of a block where buckets of several components are compared.
 BLOCK = 128
+#: Ids of eight bytes that may be broadcast to the texts; more are shuffled.
+FEW = 1 << 20
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -139,12 +141,22 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     one = classes.select("id", "n_shingles", "regs")
     with_a = pairs.join(one.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a")
     with_b = with_a.join(one.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
-    return verified(checkpoint(with_b.mapInArrow(_likely(percent / 100), "a long, b long")), docs, k, percent)
+    return verified(written(with_b.mapInArrow(_likely(percent / 100), "a long, b long")), docs, k, percent)
+
+
+def among(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose column `on` is in ids: up to FEW ids go to the rows, beyond that both meet in a shuffle."""
+    wanted = written(ids.select(on).distinct())
+    few = wanted.count() <= FEW
+    return rows.join(F.broadcast(wanted) if few else wanted, on, "left_semi")
+
+
+def full_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id")
 
 
 def verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    texts = full_texts(docs, likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
     sets = checkpoint(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>"))
     joined = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -219,14 +231,19 @@ def _linking(threshold: float, percent: int):
     return run
 
 
-def _blocks(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """key, outs, members: pairs of blocks of about BLOCK outsiders and BLOCK members of a bucket."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("inside")).alias("u"))
-    sized = rows.join(checkpoint(sizes.where("u > 0")), "key")
-    one = F.collect_list(F.struct(*fields))
-    block = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col(n) / BLOCK))
-    outs = checkpoint(sized.where(~F.col("inside")).groupBy("key", block("u").alias("block")).agg(one.alias("outs")).drop("block"))
-    return outs.join(checkpoint(sized.groupBy("key", block("n").alias("block")).agg(one.alias("members")).drop("block")), "key")
+def _blocks(places: DataFrame, sets: DataFrame, fields: list[str]) -> DataFrame:
+    """key, outs, members: pairs of blocks of about BLOCK outsiders and BLOCK members of a bucket, with their fields of sets.
+
+    The places (key, id, component, inside) are numbered and filtered while narrow; registers and sets join them last.
+    """
+    sizes = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("inside")).alias("u"))
+    sized = places.join(written(sizes.where("u > 0")), "key")
+
+    def gathered(rows: DataFrame, n: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col(n) / BLOCK))
+        return checkpoint(rows.join(sets, "id").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct(*fields)).alias(name)).drop("block"))
+
+    return gathered(sized.where(~F.col("inside")), "u", "outs").join(gathered(sized, "n", "members"), "key")
 
 
 def between(held: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -237,13 +254,13 @@ def between(held: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     which makes rows of confirmed links only.
     """
     fields = ["id", "component", "inside", "n_shingles", "regs"]
-    rows = held.join(classes.select("id", "n_shingles", "regs"), "id")
-    possible = checkpoint(_blocks(rows, fields).mapInArrow(_possible(percent / 100), "key long, id long").distinct())
-    wanted = possible.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    signs = written(among(classes.select("id", "n_shingles", "regs"), held, "id"))
+    possible = written(_blocks(held, signs, fields).mapInArrow(_possible(percent / 100), "key long, id long").distinct())
+    texts = full_texts(docs, possible.select(F.col("id").alias("doc_id")))
     sets = checkpoint(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
-    full = rows.join(possible, ["key", "id"], "left_semi").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
-    return _blocks(full, [*fields, "shingles"]).mapInArrow(_linking(percent / 100, percent), "a long, b long").distinct()
+    places = held.join(possible, ["key", "id"], "left_semi")
+    full = signs.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    return _blocks(places, full, [*fields, "shingles"]).mapInArrow(_linking(percent / 100, percent), "a long, b long").distinct()
 
 
 def mixed(buckets: DataFrame, reach: DataFrame) -> DataFrame:
@@ -251,28 +268,28 @@ def mixed(buckets: DataFrame, reach: DataFrame) -> DataFrame:
     where = buckets.join(reach, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    return checkpoint(where.join(main, "key").select("key", "id", "component", (F.col("component") == F.col("main")).alias("inside")))
+    return written(where.join(main, "key").select("key", "id", "component", (F.col("component") == F.col("main")).alias("inside")))
 
 
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, id of the row's class; reach: id, component of the classes that have links)."""
-    rows = checkpoint(signed(docs, k))
-    classes = checkpoint(rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
+    rows = written(signed(docs, k))
+    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
     members = rows.select("doc_id", "n_shingles", "sig").join(classes.select("sig", "n_shingles", "id"), ["sig", "n_shingles"], "left").select("doc_id", "n_shingles", "id")
 
     keys = classes.select("id", "regs").mapInArrow(_banded, "key long, id long")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    buckets = checkpoint(keys.join(heads, "key"))
+    buckets = written(keys.join(heads, "key"))
     first = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpoint(confirmed(first, classes, docs, k, percent))
+    links = written(confirmed(first, classes, docs, k, percent))
     reach = components(links)
 
     # What is left in buckets of several components is compared in blocks, so that no link between components is missed.
     held = mixed(buckets, reach)
     if not held.isEmpty():
-        more = checkpoint(between(held, classes, docs, k, percent))
+        more = written(between(held, classes, docs, k, percent))
         if not more.isEmpty():
-            reach = components(links.unionByName(more))
+            reach = merged(reach, more)
     return members, reach
 
 
