@@ -325,6 +325,23 @@ def test_components_of_long_chains(spark):
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, 101: 100}
 
 
+def test_further_links_merge_components(spark):
+    """Links between two components, from a component to an id without links, and between two such ids."""
+    first = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a long, b long")
+    more = spark.createDataFrame([(3, 11), (5, 20), (30, 31)], "a long, b long")
+    got = {r["id"]: r["component"] for r in graph.merged(graph.components(first), more).collect()}
+    assert got == {r["id"]: r["component"] for r in graph.components(first.unionByName(more)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 5: 5, 20: 5, 21: 5, 30: 30, 31: 30}
+
+
+def test_wanted_rows_are_the_same_beyond_the_broadcast(spark, odd, monkeypatch):
+    ids = spark.createDataFrame([(1,), (5,), (7,), (7,), (99,)], "doc_id long")
+    near = sorted((r["doc_id"], len(r["text"])) for r in near_dedup.full_texts(odd, ids).collect())
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    assert near == sorted((r["doc_id"], len(r["text"])) for r in near_dedup.full_texts(odd, ids).collect())
+    assert [i for i, _ in near] == [1, 1, 5, 7]
+
+
 # 6
 
 
