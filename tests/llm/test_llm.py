@@ -532,6 +532,40 @@ def test_planted_passages_go_and_the_rest_stays(spark):
     assert "p20" not in got[5]["text"] and "d5w79" in got[5]["text"] and "Tail of 5." in got[5]["text"]
 
 
+def test_passages_at_random_words_of_sentences_go(spark):
+    rng = np.random.default_rng(4)
+    pool = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(3000)]
+
+    def prose(n, closing):
+        return [str(w) + ("." if closing and rng.random() < 0.06 else "") for w in rng.choice(pool, n)]
+
+    rows, passages = [], {}
+    for k in range(60):
+        passage = [f"{w[:-1]}q{k}." if w.endswith(".") else f"{w}q{k}" for w in prose(int(rng.integers(51, 71)), k % 2)]
+        for copy in (0, 1):
+            host = prose(200, k % 3)
+            at = int(rng.integers(0, 201))
+            rows.append((2 * k + copy, " ".join(host[:at] + passage + host[at:])))
+        passages[2 * k + 1] = (set(passage), set(host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in substring_dedup.changed(docs, inside=True).collect()}
+    assert set(got) == set(passages) and all(r["first_doc_ids"] == [i - 1] for i, r in got.items())
+    share = []
+    for i, (passage, host) in passages.items():
+        left = set(got[i]["text"].split(" "))
+        assert host <= left
+        share.append(1 - len(passage & left) / len(passage))
+    assert min(share) > 0.6 and np.mean(share) > 0.88
+    clean = {r["doc_id"]: r["text"] for r in substring_dedup.cleaned(docs, inside=True).collect()}
+    assert all(clean[i] == (got[i]["text"] if i in got else t) for i, t in rows)
+
+
+def test_the_query_cuts_by_words(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r["doc_id"], r["removed_words"]) for r in substring_dedup.changed(docs, inside=True).collect()}
+    assert {(r["doc_id"], r["removed_words"]) for r in queries.op9_substring_dedup(spark, sf).collect()} == want
+
+
 def test_substring_dedup_defined_cases(odd, none):
     got = {r["doc_id"]: r for r in substring_dedup.changed(odd).collect()}
     assert set(got) == {6} and got[6]["first_doc_ids"] == [5]

@@ -53,7 +53,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose sentences, with what remains of them and the documents that hold the first copies."""
-    out = substring_dedup.changed(table(spark, sf_dir, "documents"))
+    out = substring_dedup.changed(table(spark, sf_dir, "documents"), inside=True)
     return out.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 

@@ -6,6 +6,11 @@ space and the case of A-Z aside, and met globally: of equal spans, the one in th
 and the sentences that any other one covers are removed. Counts are taken per hash before anything is joined, and only
 hashes that repeat come back, so a passage that a third of all documents share costs each task only its part.
 
+With inside=True sentences are cut, instead of every LONGEST words, at the pair of words with the least hash of each CUT pairs
+in a row. Such cuts hang on at most CUT words around them, so that copies of a passage that begins or ends in the middle of
+different sentences are cut alike from CUT words after its start. Every run of 24 + 3 * CUT words that two documents share
+then has a common span; at each end up to CUT words of it, or up to the next cuts, stay. The registered query does so.
+
 Defined cases: null text stays null; texts too short for a span never change; a null doc_id comes after all others; rows
 that repeat a doc_id are told apart by a hash of their text, and equal rows change alike; a span that repeats inside one
 document is removed at its later places; an empty table gives an empty result; other columns are carried by `cleaned`.
@@ -18,14 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, text_or_empty, written
 from .words import U, blocks, hashed_words, mix, separators
 
-SENTENCES, WORDS, LONGEST = 3, 24, 10
+SENTENCES, WORDS, LONGEST, CUT = 3, 24, 10, 6
 _Q = U(0xD6E8FEB86659FD93)
 
 
-def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _least_pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each CUT pairs of neighbouring words in a row inside one text, the one with the least hash, the last of equals."""
+    pairs = mix(words[:-1] * _Q + words[1:])
+    m = max(len(pairs) - CUT + 1, 0)
+    least, at = pairs[:m].copy(), np.arange(m)
+    for k in range(1, CUT):
+        here = pairs[k : k + m] <= least
+        least[here], at[here] = pairs[k : k + m][here], np.flatnonzero(here) + k
+    text = np.searchsorted(first, np.arange(len(words)), side="right")
+    return np.unique(at[text[:m] == text[CUT : CUT + m]])
+
+
+def _units(data: np.ndarray, offsets: np.ndarray, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word starts, word ends, first word of each unit and one more, first unit of each text and one more)."""
     words, starts, ends, first = hashed_words(data, offsets, separators())
     n = len(words)
@@ -38,6 +55,9 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if n:
         begins[1:n] |= stop[ends[:-1]] > stop[starts[:-1]]
         begins[1:n] |= line[starts[1:]] > line[ends[:-1]]
+    if n and inside:
+        begins[_least_pairs(words, first) + 1] = True
+    elif n:
         at = np.flatnonzero(begins)
         within = np.arange(n) - at[np.searchsorted(at, np.arange(n), side="right") - 1]
         begins[:n] |= within % LONGEST == 0
@@ -67,33 +87,38 @@ def _spans(words: np.ndarray, unit: np.ndarray, of_text: np.ndarray) -> tuple[np
     return a, b, mix((upto[y] - upto[x]) * inverse[x] + (y - x).astype(np.uint64))
 
 
-def _spanning(batches):
-    for batch in batches:
-        ids, texts = batch["doc_id"], batch["text"].to_pylist()
-        for i, j, data, offsets in blocks(texts):
-            words, _, _, unit, of_text = _units(data, offsets)
-            a, b, h = _spans(words, unit, of_text)
-            text = np.searchsorted(of_text, a, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), ids.take(pa.array(i + text)), batch["text_hash"].take(pa.array(i + text)), pa.array((a - of_text[text]).astype(np.int32)), pa.array((b - a).astype(np.int32))],
-                names=["hash", "doc_id", "text_hash", "sentence", "sentences"],
-            )
+def _spanning(inside: bool):
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch["doc_id"], batch["text"].to_pylist()
+            for i, j, data, offsets in blocks(texts):
+                words, _, _, unit, of_text = _units(data, offsets, inside)
+                a, b, h = _spans(words, unit, of_text)
+                text = np.searchsorted(of_text, a, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), ids.take(pa.array(i + text)), batch["text_hash"].take(pa.array(i + text)), pa.array((a - of_text[text]).astype(np.int32)), pa.array((b - a).astype(np.int32))],
+                    names=["hash", "doc_id", "text_hash", "sentence", "sentences"],
+                )
+
+    return run
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, inside: bool = False) -> DataFrame:
     """doc_id, text_hash, spans (sentence, sentences), first_ids: the non-first spans of each document that has any, and documents with their first ones."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
-    spans = rows.mapInArrow(_spanning, "hash long, doc_id long, text_hash long, sentence int, sentences int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash(text_or_empty()).alias("text_hash"))
+    every = rows.mapInArrow(_spanning(inside), "hash long, doc_id long, text_hash int, sentence int, sentences int")
+    # places are met only for hashes that repeat, so that the first shuffle of all spans moves their hashes alone
+    spans = written(every.join(every.groupBy("hash").count().where("count > 1").select("hash"), "hash"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "sentence")
-    firsts = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    firsts = spans.groupBy("hash").agg(F.min(place).alias("first"))
     later = spans.join(firsts, "hash").where(place > F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("sentence", "sentences")).alias("spans"), F.collect_set("first.doc_id").alias("first_ids"))
 
 
-def _cut(text: str, spans: list[dict]) -> tuple[str, int, int, int, int]:
+def _cut(text: str, spans: list[dict], inside: bool) -> tuple[str, int, int, int, int]:
     """(text without the covered sentences, sentences, removed sentences, removed words, removed characters)."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    words, starts, ends, unit, _ = _units(data, np.array([0, len(data)]))
+    words, starts, ends, unit, _ = _units(data, np.array([0, len(data)]), inside)
     n = len(unit) - 1
     gone = np.zeros(n + 1, np.int64)
     for s in spans:
@@ -109,11 +134,11 @@ def _cut(text: str, spans: list[dict]) -> tuple[str, int, int, int, int]:
     return out, n, int(gone.sum()), int(size[gone].sum()), len(text) - len(out)
 
 
-def _cutting(names: list[str]):
+def _cutting(names: list[str], inside: bool):
     def run(batches):
         for batch in batches:
             texts, spans = batch["text"].to_pylist(), batch["__spans"].to_pylist()
-            done = [_cut(t, s) if s and t is not None else (t, None, 0, 0, 0) for t, s in zip(texts, spans, strict=True)]
+            done = [_cut(t, s, inside) if s and t is not None else (t, None, 0, 0, 0) for t, s in zip(texts, spans, strict=True)]
             columns = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch[c] for c in names]
             more = [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "__sentences", "__removed", "__words", "__chars"])
@@ -121,23 +146,23 @@ def _cutting(names: list[str]):
     return run
 
 
-def _joined(docs: DataFrame, how: str) -> DataFrame:
-    found = checkpoint(covered(docs)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("first_ids").alias("__first"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
+def _joined(docs: DataFrame, how: str, inside: bool) -> DataFrame:
+    found = checkpoint(covered(docs, inside)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("first_ids").alias("__first"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.hash(text_or_empty()) == F.col("__hash"))
     return docs.join(found, same, how).drop("__id", "__hash")
 
 
-def changed(docs: DataFrame) -> DataFrame:
+def changed(docs: DataFrame, inside: bool = False) -> DataFrame:
     """One row for each document that loses sentences: doc_id, n_sentences, removed_sentences, removed_words, removed_chars, first_doc_ids, text (what remains)."""
-    met = _joined(docs.select("doc_id", "text"), "inner")
-    out = met.mapInArrow(_cutting(["doc_id", "text", "__first"]), "doc_id long, text string, __first array<long>, __sentences long, __removed long, __words long, __chars long")
+    met = _joined(docs.select("doc_id", "text"), "inner", inside)
+    out = met.mapInArrow(_cutting(["doc_id", "text", "__first"], inside), "doc_id long, text string, __first array<long>, __sentences long, __removed long, __words long, __chars long")
     return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("removed_sentences"), F.col("__words").alias("removed_words"), F.col("__chars").alias("removed_chars"), F.array_sort("__first").alias("first_doc_ids"), "text")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, inside: bool = False) -> DataFrame:
     """docs with the covered sentences removed from their texts; documents of which nothing stays have an empty text."""
     names = docs.columns
-    met = _joined(docs, "left").drop("__first")
+    met = _joined(docs, "left", inside).drop("__first")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = met.mapInArrow(_cutting(names), f"{schema}, __sentences long, __removed long, __words long, __chars long")
+    out = met.mapInArrow(_cutting(names, inside), f"{schema}, __sentences long, __removed long, __words long, __chars long")
     return out.select(*names)
