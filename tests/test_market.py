@@ -94,6 +94,35 @@ def test_hand_values(spark):
     assert got == {"a": 0.02, "b": 0.04, "c": 0.04, "d": 0.02}
 
 
+def test_whole_bootstrap_equals_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+
+    xs = {("a", "w", 7): [float(i * i % 5 < 3) for i in range(101)], ("b", "m", 70): [1.0] + [0.0] * 699, ("c", "w", 7): [1.0] * 69}
+    rows = spark.createDataFrame([(*k, i, x) for k, v in xs.items() for i, x in enumerate(v)], "symbol string, horizon string, forward int, pos long, x double")
+    got = {r["symbol"]: r for r in significance.mean_interval(rows, whole=True).collect()}
+    for (s, h, f), v in xs.items():
+        n, means = len(v), []
+        for b in range(2000):
+            starts = [int(hashlib.md5(f"{s}|{h}|{b}|{k}".encode()).hexdigest()[:8], 16) % (n - f + 1) for k in range(-(-n // f))]
+            means.append(np.mean([v[j] for k in starts for j in range(k, k + f)][:n]))
+        low, high = np.quantile(means, [0.025, 0.975])
+        ok = n / f >= 10 and low <= np.mean(v) <= high
+        assert ok == (s == "a") and (got[s]["low"] is not None) == ok == (got[s]["high"] is not None) == (got[s]["p_value"] is not None)
+        if ok:
+            p = min(1.0, 2 * (min(sum(m <= 0.5 for m in means), sum(m >= 0.5 for m in means)) + 1) / 2001)
+            assert abs(got[s]["low"] - low) < 1e-9 and abs(got[s]["high"] - high) < 1e-9 and abs(got[s]["p_value"] - p) < 1e-9 and got[s]["resamples"] == 2000
+
+
+def test_whole_month_shares_need_twenty_samples(spark):
+    from tidemark.plans import evaluation
+
+    months = spark.createDataFrame([("a", "w", k, 19 + (k > 0), 0.6) for k in range(7)] + [("b", "w", k, 19, 0.6) for k in range(7)], "symbol string, horizon string, month int, samples long, accuracy double")
+    assert [(r["symbol"], r["months"], r["share"]) for r in evaluation.shares(months, 20).collect()] == [("a", 6, 1.0)]
+    assert {"accuracy_ci_whole", "benjamini_hochberg_whole", "versus_whole", "month_shares_whole"} <= set(evaluation.queries())
+
+
 def test_quality_checks_find_planted_faults(spark):
     rows = bars_of(spark, [1, 2, 3, 4]).withColumns({"open": F.col("close"), "high": F.col("close"), "low": F.col("close"), "volume": F.lit(1.0)})
     bad = rows.unionByName(rows.limit(1)).withColumn("high", F.when(F.col("close") == 3, 0.5).otherwise(F.col("high")))

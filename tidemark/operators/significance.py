@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import domain as d
 
 c = F.col
-RESAMPLES = 400
+RESAMPLES, WHOLE_RESAMPLES = 400, 2000
 GRID = [round(0.25 * 1.35**k, 6) for k in range(28)]
 
 
@@ -18,27 +18,34 @@ def hits(quality: DataFrame) -> DataFrame:
     return quality.where("status = 'scored'").select("symbol", "horizon", "forward", (F.row_number().over(w) - 1).cast("long").alias("pos"), c("correct").cast("double").alias("x"))
 
 
-def mean_interval(rows: DataFrame, resamples: int = RESAMPLES, reference: float = 0.5) -> DataFrame:
+def mean_interval(rows: DataFrame, resamples: int | None = None, reference: float = 0.5, whole: bool = False) -> DataFrame:
     """Mean with the 2.5 and 97.5 percentiles of moving-block means, and the two-sided p against the reference.
 
     Blocks are one horizon long and start at md5(keys, resample, slot); a resample is the mean of its blocks, each read
     from prefix sums at its two ends, so its cost is its number of blocks. Refused (null) below ten blocks.
+
+    whole: WHOLE_RESAMPLES resamples of as many rows as the series has (the last block is shortened to fit), and bounds and p
+    are refused too where the interval misses the mean. Otherwise, as in SQL below: RESAMPLES of the whole blocks that fit.
     """
+    resamples = resamples or (WHOLE_RESAMPLES if whole else RESAMPLES)
     keys = ["symbol", "horizon"]
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.select(*keys, "pos", F.sum("x").over(w).alias("s"))
     base = rows.groupBy(*keys, "forward").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("value"))
     able = base.where(c("n") / c("forward") >= 10)
-    slots = able.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.floor(c("n") / c("forward")).cast("int") - 1)))
+    slots = able.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.ceil if whole else F.floor)(c("n") / c("forward")).cast("int") - 1)))
     start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "symbol", "horizon", c("b").cast("string"), c("slot").cast("string"))), 1, 8), 16, 10).cast("long"), c("n") - c("forward") + 1)
-    slots = slots.withColumn("start", start).withColumn("end", c("start") + c("forward") - 1)
+    size = F.least(c("forward").cast("long"), c("n") - c("slot") * c("forward"))
+    slots = slots.withColumn("start", start).withColumn("size", size).withColumn("end", c("start") + c("size") - 1)
     high = slots.join(sums.select(*keys, c("pos").alias("end"), c("s").alias("hi")), [*keys, "end"])
     both = high.join(sums.select(*keys, (c("pos") + 1).alias("start"), c("s").alias("lo")), [*keys, "start"], "left")
-    means = both.groupBy(*keys, "b").agg((F.sum(c("hi") - F.coalesce("lo", F.lit(0.0))) / F.sum("forward")).alias("m"))
+    means = both.groupBy(*keys, "b").agg((F.sum(c("hi") - F.coalesce("lo", F.lit(0.0))) / F.sum("size")).alias("m"))
     q = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count_if(c("m") <= reference).alias("below"), F.count_if(c("m") >= reference).alias("above"), F.count(F.lit(1)).alias("resamples"))
     out = base.join(q, keys, "left")
     p = F.when(c("resamples") > 0, F.least(F.lit(1.0), 2 * (F.least("below", "above") + 1) / (c("resamples") + 1)))
-    return out.select(*keys, "n", "value", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"), p.alias("p_value"), "resamples")
+    low, high = F.element_at("q", 1), F.element_at("q", 2)
+    kept = c("value").between(low, high) if whole else F.lit(True)
+    return out.select(*keys, "n", "value", *[F.when(kept, x).alias(name) for x, name in ((low, "low"), (high, "high"), (p, "p_value"))], "resamples")
 
 
 def versus(low: Column, high: Column, reference: float) -> Column:

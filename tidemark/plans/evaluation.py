@@ -212,8 +212,11 @@ def stability_by_month(spark, sf_dir):
 
 @query(select(f"{QUALITY}, {STAB}, ms AS (SELECT symbol, horizon, count(*) AS months, count_if(accuracy > 0.5) / count(*) AS share FROM st WHERE samples >= 10 GROUP BY 1, 2 HAVING count(*) >= 6)", "ms", "symbol, horizon, months", "share"))
 def month_shares(spark, sf_dir):
-    rows = forecasts.stability(quality(spark, sf_dir)).where("samples >= 10")
-    return rows.groupBy("symbol", "horizon").agg(F.count(F.lit(1)).alias("months"), (F.count_if(c("accuracy") > 0.5) / F.count(F.lit(1))).alias("share")).where("months >= 6")
+    return shares(forecasts.stability(quality(spark, sf_dir)), 10)
+
+
+def shares(months: DataFrame, least: int) -> DataFrame:
+    return months.where(c("samples") >= least).groupBy("symbol", "horizon").agg(F.count(F.lit(1)).alias("months"), (F.count_if(c("accuracy") > 0.5) / F.count(F.lit(1))).alias("share")).where("months >= 6")
 
 
 @query(f"WITH {QUALITY} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM q) GROUP BY flag")
@@ -366,6 +369,33 @@ def versus(spark, sf_dir):
     return rows.select("symbol", "horizon", significance.versus(c("low"), c("high"), 0.5).alias("verdict"))
 
 
+# The whole rule, which the SQL beside the three queries above and beside month_shares does not have.
+
+
+def whole_interval(spark, sf_dir) -> DataFrame:
+    return significance.mean_interval(significance.hits(quality(spark, sf_dir)), whole=True)
+
+
+@query()
+def accuracy_ci_whole(spark, sf_dir):
+    return whole_interval(spark, sf_dir)
+
+
+@query()
+def benjamini_hochberg_whole(spark, sf_dir):
+    return significance.benjamini_hochberg(whole_interval(spark, sf_dir)).select("symbol", "horizon", "p_value", "q_value")
+
+
+@query()
+def versus_whole(spark, sf_dir):
+    return whole_interval(spark, sf_dir).select("symbol", "horizon", significance.versus(c("low"), c("high"), 0.5).alias("verdict"))
+
+
+@query()
+def month_shares_whole(spark, sf_dir):
+    return shares(forecasts.stability(quality(spark, sf_dir)), 20)
+
+
 @query(select(f"""{QUALITY}, g AS (SELECT * FROM (VALUES {', '.join(f'({k}, {t})' for k, t in enumerate(significance.GRID))}) v(ord, t)), tn AS (SELECT horizon, ord, t, avg(-ln(greatest(pow(greatest(p_true, 1e-12), 1 / t) / (pow(greatest(p_true, 1e-12), 1 / t) + pow(greatest(1 - p_true, 1e-12), 1 / t)), 1e-12))) AS nll FROM q CROSS JOIN g WHERE status = 'scored' GROUP BY 1, 2, 3),
 tt AS (SELECT horizon, arg_min(t, (round(nll, 9), ord)) AS temperature, min(nll) AS nll FROM tn GROUP BY 1)""", "tt", "horizon", "temperature, nll"))
 def fit_temperature(spark, sf_dir):
