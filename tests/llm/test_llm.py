@@ -214,6 +214,27 @@ def test_toxicity_gradient_is_right():
         assert abs((loss(up) - loss(down)) / 4e-2 - g[name][i]) < 0.05 * abs(g[name][i]) + 2e-3, name
 
 
+def test_toxicity_sample_is_of_the_docs_and_has_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 4)
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: taught.append((texts, toxic)) or {"constant": np.zeros(1)})
+    order = sorted((i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(order)], "doc_id long, toxic int")
+    words = " ".join(f"w{k}" for k in range(20_000))
+    last = order[-8:]  # the docs hold only the last labelled ids in the sample's order, all of them long
+    docs = spark.createDataFrame([(i, f"start{i} {words} end{i}") for i in last], "doc_id long, text string")
+    toxicity.fit(docs, labels)
+    texts, toxic = taught.pop()
+    assert sorted(toxic) == [0] * 4 + [1] * 4 and {int(t.split(" ")[0][5:]) for t in texts} == set(last)
+    for t, k in zip(texts, toxic, strict=True):
+        at = [int(w[1:]) for w in re.findall(r"\bw\d+", t)]
+        assert t.endswith(f"end{t.split(' ')[0][5:]}") and np.diff(sorted(at)).max() < 20_000 / 8
+        assert len(t) < (toxicity.TOXIC_CHARS if k else toxicity.CLEAN_CHARS) + 40
+    with pytest.warns(RuntimeWarning, match="0 toxic"):
+        toxicity.fit(docs, labels.where("toxic = 0"))
+
+
 def test_toxicity_defined_cases(odd, none, spark):
     labels = spark.createDataFrame([(1, 0), (3, None), (None, 1), (7, 1), (7, 0)], "doc_id long, toxic int")
     m = toxicity.fit(odd, labels)

@@ -5,8 +5,9 @@ learned vectors of its character 3-, 4- and 5-grams, so that unseen spellings an
 gated recurrent passes read a window of WINDOW words, attention pools their states and a linear layer gives a logit.
 Windows overlap by a quarter and together cover the whole text; a document's logit is that of its worst window.
 
-Training is on the driver, on a sample bounded by SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents of at most
-SAMPLE_BYTES bytes each, chosen by md5(doc_id); labels of documents with crc32(doc_id) mod 4 = 2 are never seen. A toxic
+Training is on the driver, on a sample bounded by SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, chosen by md5(doc_id)
+among those that docs hold; labels of documents with crc32(doc_id) mod 4 = 2 are never seen. Of a text longer than
+TOXIC_CHARS or CLEAN_CHARS it takes pieces of PIECE characters, evenly spread over the whole text, of that size together. A toxic
 document teaches through the window that the model now finds worst, a clean one through that and random ones. The
 model, a few hundred kilobytes whatever the corpus, then goes to the tasks, which score every window of every text.
 
@@ -19,6 +20,7 @@ as toxic; empty tables give empty results; other columns are ignored by `scores`
 from __future__ import annotations
 
 import pickle
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ from .words import U, blocks, hashed_words, mix, separators
 WINDOW, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, BUCKETS = 4096, 1 << 14
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 600, 1200, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 1200
+TOXIC_CHARS, CLEAN_CHARS, PIECE = 24_000, 8_000, 800
 STEPS, BATCH, DROPOUT = 420, 256, 0.2
 THRESHOLD = 0.3
 _SEP = separators(b".,;:!?\"'()[]{}<>*#%$&+=/\\|~^_-")
@@ -310,17 +313,30 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """A model from a bounded sample of labelled documents that are not held out."""
+    """A model from a bounded sample of labelled documents of docs that are not held out; warns where one kind is missing."""
     kinds = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    there = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("__there"))
+    held = kinds.join(there, F.col("doc_id") == F.col("__there"), "left_semi")  # ids only: no text is shuffled
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
-    some = [kinds.where(rule).orderBy(*order).limit(2 * n) for rule, n in (("toxic > 0", SAMPLE_TOXIC), ("toxic <= 0", SAMPLE_CLEAN))]
+    some = [held.where(rule).orderBy(*order).limit(n) for rule, n in (("toxic > 0", SAMPLE_TOXIC), ("toxic <= 0", SAMPLE_CLEAN))]
     chosen = some[0].unionByName(some[1]).withColumn("__toxic", (F.col("toxic") > 0).cast("int")).select(F.col("doc_id").alias("__id"), "__toxic")
-    met = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN) ids
-    found = [met.where(F.col("__toxic") == k).orderBy(*order, F.md5("text")).limit(n).select("text", "__toxic") for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    met = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
+    found = [met.where(F.col("__toxic") == k).orderBy(*order, F.md5("text")).limit(n).select(_spread("text", most).alias("text"), "__toxic") for k, n, most in ((1, SAMPLE_TOXIC, TOXIC_CHARS), (0, SAMPLE_CLEAN, CLEAN_CHARS))]
     rows = found[0].collect() + found[1].collect()
+    toxic = sum(r["__toxic"] for r in rows)
+    if toxic in (0, len(rows)):
+        warnings.warn(f"toxicity: {toxic} toxic and {len(rows) - toxic} clean labelled texts in docs; every text scores the share of toxic ones", RuntimeWarning, stacklevel=2)
     return train([r["text"] for r in rows], [r["__toxic"] for r in rows])
 
 
+def _spread(name: str, most: int) -> Column:
+    """The text, or of one longer than `most` characters pieces from its start to its end, `most` characters together."""
+    text, n = F.col(name).cast("string"), most // PIECE
+    at = lambda k: (F.lit(1) + F.floor((F.length(text) - PIECE) * k / (n - 1))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, at(k), F.lit(PIECE)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def _scoring(blob: bytes):
     def run(batches):
         m = pickle.loads(blob)
