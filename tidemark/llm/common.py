@@ -1,15 +1,18 @@
-"""What the operators of this subpackage share: reading, cutting lineage, gapless positions."""
+"""What the operators of this subpackage share: reading, cutting lineage, bounded Arrow batches, gapless positions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rules, as a regular expression class body.
 WS = r"\x20\x09-\x0D"
+#: Bytes of an Arrow batch.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master, where it is unset, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if spark.conf.get("spark.checkpoint.dir", None) is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
@@ -40,6 +45,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES.
+
+    Spark's default of 64 MB makes a batch of whole texts the largest thing that a Python worker and the JVM beside it hold.
+    Spark has this bound as a setting of the session alone, so the default is lowered there; any other value stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its own names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_batches, text_or_empty
 from .words import U, mix, segment_hash
 
 SLOTS = 128
@@ -123,4 +123,4 @@ def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ends = heads.select(F.lit(None).cast("long").alias("doc_id"), after.getField("text").alias("text"), "range", F.lit(True).alias("head"))
     dealt = rows.withColumn("head", F.lit(False)).unionByName(ends).repartition(parts, "range")
     dealt = dealt.sortWithinPartitions("range", "head", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.select("doc_id", "text", "head").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_batches(dealt.select("doc_id", "text", "head"), _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

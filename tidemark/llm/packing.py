@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, positions
+from .common import checkpoint, in_batches, positions
 
 CAPACITY, GROUPS = 2048, 32
 SMALL = CAPACITY // 8
@@ -87,7 +87,7 @@ def _cut(capacity: int, folder: str | None):
 def pieces(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
     """doc_id, copy, piece, start, length, ids_crc32. copy tells rows of one doc_id apart, by task and row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("copy"))
-    return rows.mapInArrow(_cut(capacity, folder), "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(rows, _cut(capacity, folder), "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -271,4 +271,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, folder
     if not histogram:
         return cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     ranked = positions(cut, ["length"], [F.col("doc_id"), F.col("piece"), F.col("copy")], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(256)), "rank")
-    return ranked.mapInArrow(_placing(plan(histogram, capacity, groups)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_batches(ranked, _placing(plan(histogram, capacity, groups)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_batches, text_or_empty
 from .packing import encoder
 
 SEGMENT = 1024
@@ -164,7 +164,8 @@ def counted(docs: DataFrame, edits: Column | None = None, folder: str | None = N
     none = F.array().cast("array<struct<start:long,removed:long,inserted:string>>")
     trees = [F.col(c).cast("array<int>").alias(c) for c in ("segment_chars", "segment_tokens") if c in docs.columns]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (none if edits is None else edits.cast("array<struct<start:long,removed:long,inserted:string>>")).alias("edits"), *trees)
-    return rows.mapInArrow(
+    return in_batches(
+        rows,
         _counting(folder),
         "doc_id long, n_chars long, n_segments long, n_tokens long, edited_chars long, edited_tokens long, reencoded_chars long, edited_sha256 string, segment_chars array<int>, segment_tokens array<int>",
     )

@@ -27,62 +27,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .words import U, blocks, hashed_words, mix, separators
 
 WINDOW, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, BUCKETS = 4096, 1 << 14
-SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 1200
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 TOXIC_CHARS, CLEAN_CHARS, PIECE = 24_000, 8_000, 800
 STEPS, BATCH, DROPOUT = 420, 256, 0.2
 THRESHOLD = 0.3
+#: Bytes of text that a task scores at once.
+BLOCK_BYTES = 1 << 19
 _SEP = separators(b".,;:!?\"'()[]{}<>*#%$&+=/\\|~^_-")
 
 
+def _runs(offsets: np.ndarray, most: int):
+    """(from, to) of runs of texts with about `most` bytes; one longer text is a run of its own."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of data that begin at starts, one after the other."""
+    return data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
 class Corpus:
     """Words of texts as indices of distinct words, and the windows over them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        hashes, starts, ends, first = hashed_words(data, offsets, _SEP)
-        self.hashes, at, self.index = np.unique(hashes, return_index=True, return_inverse=True)
-        fold = np.arange(256, dtype=np.uint8)
-        fold[65:91] += 32
-        # the distinct words' bytes between a mark of the start and one of the end
-        a, n = starts[at], (ends - starts)[at]
-        size = n + 2
-        begin = np.concatenate([[0], np.cumsum(size)])
-        flat = np.zeros(int(begin[-1]), np.uint8)
-        word = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        flat[begin[:-1][word] + 1 + inner] = fold[data[a[word] + inner]]
-        flat[begin[:-1]], flat[begin[1:] - 1] = 1, 2
-        owner = np.repeat(np.arange(len(n)), size)
-        grams, owners = [], []
-        values = flat.astype(np.uint32)
-        for k in (3, 4, 5):
-            m = len(flat) - k + 1
-            if m <= 0:
-                continue
-            h = np.full(m, k, np.uint32)
-            for j in range(k):
-                h = h * np.uint32(0x01000193) ^ values[j : j + m]
-            ok = owner[:m] == owner[k - 1 :]
-            h = h[ok] * np.uint32(0x85EBCA6B)
-            grams.append(((h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35) >> np.uint32(18)).astype(np.int32))
-            owners.append(owner[:m][ok])
-        gram, own = (np.concatenate(grams), np.concatenate(owners)) if grams else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        order = np.argsort(own, kind="stable")
-        self.grams, self.owner = gram[order], own[order]
-        self.gram_first = np.searchsorted(self.owner, np.arange(len(n)))
-        self.gram_count = np.maximum(np.bincount(self.owner, minlength=len(n)), 1).astype(np.float32)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
+        """Reads runs of texts of about `most` bytes one by one, so that only distinct words and one index a word are kept of all."""
+        seen, letters, index, count = [], [], [], []
+        for i, j in _runs(offsets, most):
+            part = data[offsets[i] : offsets[j]]
+            hashes, starts, ends, first = hashed_words(part, offsets[i : j + 1] - offsets[i], _SEP)
+            distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+            letters.append(_gathered(part, starts[at], (ends - starts)[at]))
+            seen.append((distinct, (ends - starts)[at]))
+            index.append(place.astype(np.int32))
+            count.append(np.diff(first))
+        every, size = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.hashes, pick = np.unique(every, return_index=True)
+        self.index = np.concatenate([np.searchsorted(self.hashes, d).astype(np.int32)[i] for (d, _), i in zip(seen, index, strict=True)]) if seen else np.zeros(0, np.int32)
+        every = np.concatenate(letters) if letters else np.zeros(0, np.uint8)
+        self._spell(every, (np.cumsum(size) - size)[pick], size[pick])
+        count = np.concatenate(count) if count else np.zeros(0, np.int64)
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         # windows: (text, first word, words)
-        count = np.diff(first)
         windows = np.where(count == 0, 0, np.maximum(0, -(-(count - WINDOW) // STRIDE)) + 1)
         self.text = np.repeat(np.arange(len(count)), windows)
         within = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
         self.at = first[:-1][self.text] + np.minimum(within * STRIDE, np.maximum(count[self.text] - WINDOW, 0))
         self.length = np.minimum(count[self.text], WINDOW)
 
+    def _spell(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 15) -> None:
+        """Hashes of the 3-, 4- and 5-grams of each distinct word between a mark of its start and one of its end, `most` words at a time."""
+        fold = np.arange(256, dtype=np.uint8)
+        fold[65:91] += 32
+        grams, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(sizes), most):
+            n = sizes[i : i + most]
+            begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(n + 2)])
+            flat = np.zeros(int(begin[-1]), np.uint8)
+            word = np.repeat(np.arange(len(n)), n)
+            flat[np.arange(len(word)) + 2 * word + 1] = fold[_gathered(letters, starts[i : i + most], n)]
+            flat[begin[:-1]], flat[begin[1:] - 1] = 1, 2
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
+            found, owners = [], []
+            values = flat.astype(np.uint32)
+            for k in (3, 4, 5):
+                m = len(flat) - k + 1
+                if m <= 0:
+                    continue
+                h = np.full(m, k, np.uint32)
+                for j in range(k):
+                    h = h * np.uint32(0x01000193) ^ values[j : j + m]
+                ok = owner[:m] == owner[k - 1 :]
+                h = h[ok] * np.uint32(0x85EBCA6B)
+                found.append(((h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35) >> np.uint32(18)).astype(np.int32))
+                owners.append(owner[:m][ok])
+            own = np.concatenate(owners)
+            grams.append(np.concatenate(found)[np.argsort(own, kind="stable")])
+            counts.append(np.bincount(own, minlength=len(n)))
+        self.grams = np.concatenate(grams)
+        n = np.concatenate(counts)
+        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.gram_first = np.cumsum(n) - n
+        self.gram_count = np.maximum(n, 1).astype(np.float32)
+
     def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word indices, mask) of windows, WINDOW wide; places after a short text's end repeat its last word under a zero mask."""
         place = np.minimum(np.arange(WINDOW)[None, :], self.length[which][:, None] - 1)
@@ -103,14 +139,20 @@ def new_model(vocabulary: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     return m | {"att": r(2 * h, scale=0.3), "out": r(2 * h, scale=0.5), "bias": np.full(1, -1.0, np.float32), "shift": np.zeros(1, np.float32)}
 
 
-def word_inputs(m: dict, c: Corpus) -> tuple[np.ndarray, np.ndarray]:
+def word_inputs(m: dict, c: Corpus, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """(input vectors, vocabulary index) of the distinct words."""
     v = m["vocabulary"]
     at = np.searchsorted(v, c.hashes)
     known = v[np.minimum(at, len(v) - 1)] == c.hashes if len(v) else np.zeros(len(c.hashes), bool)
     at = np.where(known, at, len(v))
-    chars = np.add.reduceat(m["char"][c.grams], c.gram_first, axis=0) / c.gram_count[:, None] if len(c.hashes) else np.zeros((0, CHAR_DIM), np.float32)
-    return np.concatenate([m["word"][at], chars], axis=1).astype(np.float32), at
+    out = np.empty((len(at), WORD_DIM + CHAR_DIM), np.float32)
+    out[:, :WORD_DIM] = m["word"][at]
+    ends = np.append(c.gram_first, len(c.grams))
+    for i in range(0, len(at), most):  # a vector for each gram is the largest thing here
+        j = min(i + most, len(at))
+        sums = np.add.reduceat(m["char"][c.grams[ends[i] : ends[j]]], ends[i:j] - ends[i], axis=0)
+        out[i:j, WORD_DIM:] = sums / c.gram_count[i:j, None]
+    return out, at
 
 
 def _pass(x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, u: np.ndarray, back: bool, keep: bool):
@@ -204,7 +246,7 @@ def gradients(m: dict, c: Corpus, x: np.ndarray, at: np.ndarray, index: np.ndarr
     return g
 
 
-def window_logits(m: dict, c: Corpus, which: np.ndarray | None = None, most: int = 4096) -> np.ndarray:
+def window_logits(m: dict, c: Corpus, which: np.ndarray | None = None, most: int = 2048) -> np.ndarray:
     which = np.arange(len(c.text)) if which is None else which
     x, _ = word_inputs(m, c)
     out = np.empty(len(which), np.float32)
@@ -337,19 +379,25 @@ def _spread(name: str, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.array_join(pieces, "\n"))
 
 
+def _judged(m: dict, batch: pa.RecordBatch, rows: int = 128):
+    """(from, rows, scores) of runs of a batch's rows: few texts become Python strings at a time, few bytes are read at once."""
+    for at in range(0, batch.num_rows, rows):
+        for i, j, data, offsets in blocks(batch["text"].slice(at, rows).to_pylist(), BLOCK_BYTES):
+            c = Corpus(data, offsets)
+            if "constant" in m:
+                score = np.zeros(j - i)
+                score[np.unique(c.text)] = m["constant"][0]
+            else:
+                score = _sigmoid(text_logits(m, c, j - i).astype(float))
+            yield at + i, j - i, score
+
+
 def _scoring(blob: bytes):
     def run(batches):
         m = pickle.loads(blob)
         for batch in batches:
-            ids, held, texts = batch["doc_id"], batch["held_out"], batch["text"].to_pylist()
-            for i, j, data, offsets in blocks(texts, 2 << 20):
-                c = Corpus(data, offsets)
-                if "constant" in m:
-                    score = np.zeros(j - i)
-                    score[np.unique(c.text)] = m["constant"][0]
-                else:
-                    score = _sigmoid(text_logits(m, c, j - i).astype(float))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), held.slice(i, j - i), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
+            for i, n, score in _judged(m, batch):
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, n), batch["held_out"].slice(i, n), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return run
 
@@ -357,7 +405,7 @@ def _scoring(blob: bytes):
 def scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_scoring(pickle.dumps(model)), "doc_id long, held_out boolean, score double")
+    out = in_batches(rows, _scoring(pickle.dumps(model)), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -365,19 +413,12 @@ def _keeping(blob: bytes):
     def run(batches):
         m = pickle.loads(blob)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for i, j, data, offsets in blocks(texts, 2 << 20):
-                c = Corpus(data, offsets)
-                if "constant" in m:
-                    score = np.zeros(j - i)
-                    score[np.unique(c.text)] = m["constant"][0]
-                else:
-                    score = _sigmoid(text_logits(m, c, j - i).astype(float))
-                yield batch.slice(i, j - i).filter(pa.array(score < THRESHOLD))
+            for i, n, score in _judged(m, batch):
+                yield batch.slice(i, n).filter(pa.array(score < THRESHOLD))
 
     return run
 
 
 def clean(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """The rows of docs that are not predicted toxic, in one pass over the texts."""
-    return docs.mapInArrow(_keeping(pickle.dumps(model)), docs.schema)
+    return in_batches(docs, _keeping(pickle.dumps(model)), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir
+from .common import checkpoint, in_batches, shared_dir
 
 REVISIT_FROM, ARCHIVE_BYTES, BLOCK = 1000, 1 << 30, 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,7 +102,7 @@ def write(pages: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return checkpoint(decided(pages).mapInArrow(_writing(folder, most), "path string, records long"))
+    return checkpoint(in_batches(decided(pages), _writing(folder, most), "path string, records long"))
 
 
 def _head(raw: bytes) -> dict[str, str]:
@@ -204,7 +204,7 @@ def _reading(folder: str):
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in a manifest, each archive by one task."""
     archives = manifest.select("path").repartition(max(1, manifest.count()))
-    return archives.mapInArrow(_reading(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return in_batches(archives, _reading(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
