@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, written
+from .common import checkpoint, fresh, in_batches, text_or_empty, written
 from .graph import components, merged
 from .words import U, blocks, hashed_words, mix, separators, shingles
 
@@ -35,8 +35,8 @@ REGISTERS = BANDS * ROWS
 SLACK = 5.0
 #: Members of a block where buckets of several components are compared.
 BLOCK = 128
-#: Ids of eight bytes that may be broadcast to the texts; more are shuffled.
-FEW = 1 << 20
+#: Bytes of text that a task shingles at once.
+BLOCK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -81,7 +81,7 @@ def _signing(k: int):
         sep = separators()
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
-            for i, j, data, offsets in blocks(texts):
+            for i, j, data, offsets in blocks(texts, BLOCK_BYTES):
                 words, _, _, first = hashed_words(data, offsets, sep)
                 sets = shingles(words, first, k)
                 sigs = [(np.array([s.sum(dtype=np.uint64), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() if len(s) else None) for s in sets]
@@ -93,7 +93,7 @@ def _signing(k: int):
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signing(k), "doc_id long, n_shingles long, sig binary, regs binary")
+    return in_batches(rows, _signing(k), "doc_id long, n_shingles long, sig binary, regs binary")
 
 
 def _sets(k: int):
@@ -101,12 +101,12 @@ def _sets(k: int):
         sep = separators()
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
-            for i, j, data, offsets in blocks(texts):
+            for i, j, data, offsets in blocks(texts, BLOCK_BYTES):
                 words, _, _, first = hashed_words(data, offsets, sep)
                 sets = shingles(words, first, k)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), values], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), values], names=["id", "shingles"])
 
     return run
 
@@ -136,33 +136,24 @@ def _likely(threshold: float):
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids with 100 * intersection >= percent * union of full shingle sets."""
     one = classes.select("id", "n_shingles", "regs")
     with_a = pairs.join(one.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a")
     with_b = with_a.join(one.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
-    return verified(written(with_b.mapInArrow(_likely(percent / 100), "a long, b long")), docs, k, percent)
-
-
-def among(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """The rows whose column `on` is in ids: up to FEW ids go to the rows, beyond that both meet in a shuffle."""
-    wanted = written(ids.select(on).distinct())
-    few = wanted.count() <= FEW
-    return rows.join(F.broadcast(wanted) if few else wanted, on, "left_semi")
-
-
-def full_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id")
-
-
-def verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    texts = full_texts(docs, likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
-    sets = checkpoint(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>"))
-    joined = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    likely = written(in_batches(with_b, _likely(percent / 100), "a long, b long"))
+    joined = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return joined.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the rows of docs whose doc_id is among ids. Ids and texts meet in a shuffle, whatever their number."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = texts.join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    return checkpoint(in_batches(met, _sets(k), "id long, shingles array<long>"))
+
+
 def _near(x: int, outs: list[dict], rx: np.ndarray, members: tuple, key: int, threshold: float) -> np.ndarray:
     """Members that outsider x may link to by the estimate: in another component, in this band as their first common one."""
     ids, components_, inside, sizes, regs = members
@@ -246,7 +237,7 @@ def _blocks(places: DataFrame, sets: DataFrame, fields: list[str]) -> DataFrame:
     return gathered(sized.where(~F.col("inside")), "u", "outs").join(gathered(sized, "n", "members"), "key")
 
 
-def between(held: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def between(held: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of mixed buckets: all outside the main one against all members, block by block.
 
     Blocks have about BLOCK members whatever the bucket's size, and a row of the join is a pair of blocks, never a pair of
@@ -254,13 +245,11 @@ def between(held: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     which makes rows of confirmed links only.
     """
     fields = ["id", "component", "inside", "n_shingles", "regs"]
-    signs = written(among(classes.select("id", "n_shingles", "regs"), held, "id"))
-    possible = written(_blocks(held, signs, fields).mapInArrow(_possible(percent / 100), "key long, id long").distinct())
-    texts = full_texts(docs, possible.select(F.col("id").alias("doc_id")))
-    sets = checkpoint(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
+    signs = written(classes.select("id", "n_shingles", "regs").join(held.select("id").distinct(), "id", "left_semi"))
+    possible = written(in_batches(_blocks(held, signs, fields), _possible(percent / 100), "key long, id long").distinct())
     places = held.join(possible, ["key", "id"], "left_semi")
-    full = signs.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
-    return _blocks(places, full, [*fields, "shingles"]).mapInArrow(_linking(percent / 100, percent), "a long, b long").distinct()
+    full = signs.join(possible.select("id").distinct(), "id", "left_semi").join(sets, "id")
+    return in_batches(_blocks(places, full, [*fields, "shingles"]), _linking(percent / 100, percent), "a long, b long").distinct()
 
 
 def mixed(buckets: DataFrame, reach: DataFrame) -> DataFrame:
@@ -268,6 +257,7 @@ def mixed(buckets: DataFrame, reach: DataFrame) -> DataFrame:
     where = buckets.join(reach, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
+    main = written(main)  # a table of its own leaves Spark free to split a hot bucket in the join
     return written(where.join(main, "key").select("key", "id", "component", (F.col("component") == F.col("main")).alias("inside")))
 
 
@@ -277,17 +267,18 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
     members = rows.select("doc_id", "n_shingles", "sig").join(classes.select("sig", "n_shingles", "id"), ["sig", "n_shingles"], "left").select("doc_id", "n_shingles", "id")
 
-    keys = classes.select("id", "regs").mapInArrow(_banded, "key long, id long")
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
+    keys = in_batches(classes.select("id", "regs"), _banded, "key long, id long")
+    heads = written(keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"))
     buckets = written(keys.join(heads, "key"))
+    sets = full_sets(docs, written(buckets.select("id").distinct()), k)
     first = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(first, classes, docs, k, percent))
+    links = written(confirmed(first, classes, sets, percent))
     reach = components(links)
 
     # What is left in buckets of several components is compared in blocks, so that no link between components is missed.
     held = mixed(buckets, reach)
     if not held.isEmpty():
-        more = written(between(held, classes, docs, k, percent))
+        more = written(between(held, classes, sets, percent))
         if not more.isEmpty():
             reach = merged(reach, more)
     return members, reach
@@ -301,8 +292,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document of each component, the one with the smallest doc_id."""
-    kept = classes(docs, k, percent).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    one = keyed.join(kept, "__key", "left_semi").withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.length("text").desc_nulls_last())))
-    return one.where("__copy = 1 or __key = ''").drop("__key", "__copy")
+    """The rows of docs that stay: one document of each component, the one with the smallest doc_id.
+
+    Of rows that repeat a kept doc_id each different text stays once; rows without a doc_id all stay, each different text once.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key, copy = fresh(docs, "key"), fresh(docs, "copy")
+    kept = classes(docs, k, percent).where("kept").select(name.alias(key)).distinct()
+    keyed = docs.withColumn(key, name)
+    one = keyed.join(kept, key, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(key, F.sha2(text_or_empty(), 256)).orderBy(key)))
+    return one.where(F.col(copy) == 1).drop(key, copy)
