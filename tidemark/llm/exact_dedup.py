@@ -4,7 +4,8 @@ A snapshot's digests are grouped into buckets by their first bits, so many that
 digests whatever the snapshot's size, and each bucket gets a static 3-wise binary-fuse filter of 16-bit fingerprints.
 The duplicates inside the incoming batch are grouped first, on their own; what is left, one row a digest, is screened by
 the filter of its bucket. Only positives join the snapshot's exact buckets, on all 32 bytes of the digest and the
-length; negatives are certainly new.
+length, and what meets there is compared byte by byte: one normalised text of either side; negatives are certainly new.
+Buckets are as many as the larger side needs, so that a first batch beside an empty snapshot is spread as well.
 
 Texts are equal when they are identical after deleting every character of [\\x20\\x09-\\x0D]; null counts as empty. Of
 equal texts the row with most code points stays, then the smallest doc_id. A null doc_id comes after every other. Rows
@@ -18,21 +19,28 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, checkpoint, text_or_empty
+from .common import WS, checkpoint, fresh, text_or_empty, written
 from .words import U, mix
 
 KEYS_PER_BUCKET = 100_000
 SLOTS = 1 << 24
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def normalised() -> Column:
+    return F.regexp_replace(text_or_empty(), f"[{WS}]+", "")
+
+
+def sha256(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
+def digests(docs: DataFrame, hex_digest=sha256) -> DataFrame:
     """doc_id, digest (32 bytes of SHA-256), norm_len (bytes), n_chars, slot (of the digest)."""
-    norm = F.regexp_replace(text_or_empty(), f"[{WS}]+", "")
-    rows = docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n_chars"), norm.alias("norm"))
-    rows = rows.select("doc_id", "n_chars", F.octet_length("norm").cast("long").alias("norm_len"), F.sha2("norm", 256).alias("hex"))
+    rows = docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n_chars"), normalised().alias("norm"))
+    rows = rows.select("doc_id", "n_chars", F.octet_length("norm").cast("long").alias("norm_len"), hex_digest(F.col("norm")).alias("hex"))
     return rows.select("doc_id", "n_chars", "norm_len", F.unhex("hex").alias("digest"), F.conv(F.substring("hex", 1, 6), 16, 10).cast("int").alias("slot"))
 
 
@@ -131,22 +139,38 @@ def screened(incoming: DataFrame, filt: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").cogroup(filt.groupBy("bucket")).applyInPandas(screen, "digest binary, maybe boolean")
 
 
-def resolved(snapshot_rows: DataFrame, incoming_rows: DataFrame) -> DataFrame:
-    """One row for each digest of either side: n, best, known (the snapshot already held it)."""
-    old, new = grouped(snapshot_rows), grouped(incoming_rows)
-    n = old.count()
-    buckets = max(1, min(SLOTS, math.ceil(n / KEYS_PER_BUCKET)))
-    flags = screened(new, filters(old, buckets), buckets)
-    new = new.join(flags, "digest")
+def differing(met: DataFrame, docs: DataFrame, is_old: Column, hex_digest=sha256) -> DataFrame:
+    """The digest and norm_len of met (digest, norm_len, best, new_best) whose normalised texts differ in a byte.
+
+    Ids of one row of either side go to the texts in a shuffle, whatever their number; only those texts are normalised.
+    """
+    side = lambda best, old: met.select("digest", "norm_len", (-F.col(f"{best}.minus_id")).alias("doc_id"), F.lit(old).alias("old"))
+    wanted = written(side("best", True).unionByName(side("new_best", False)))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    texts = docs.select(name, is_old.alias("old"), text_or_empty().alias("text"))
+    texts = texts.join(wanted.select(name, "old").distinct().hint("shuffle_hash"), ["name", "old"], "left_semi")
+    norms = texts.select("name", "old", normalised().alias("norm")).select("name", "old", "norm", F.octet_length("norm").cast("long").alias("norm_len"), F.unhex(hex_digest(F.col("norm"))).alias("digest"))
+    found = norms.join(wanted.select(name, "old", "norm_len", "digest"), ["name", "old", "norm_len", "digest"], "left_semi")
+    # Texts of either side, one for each digest: min and max agree where no byte differs.
+    ends = found.groupBy("digest", "norm_len").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    return written(ends.where("a <> b").select("digest", "norm_len"))
+
+
+def resolved(rows: DataFrame, docs: DataFrame, is_old: Column, hex_digest=sha256) -> DataFrame:
+    """digest, norm_len, old, n, best, known (the snapshot held it): one row for each text of either side that holds it."""
+    old, new = (written(grouped(rows.where(rule))) for rule in ("old", "not old"))
+    buckets = max(1, min(SLOTS, math.ceil(max(old.count(), new.count()) / KEYS_PER_BUCKET)))
+    new = new.join(screened(new, filters(old, buckets), buckets), "digest")
     exact = new.where("maybe").select("digest", "norm_len", F.col("n").alias("new_n"), F.col("best").alias("new_best"))
-    met = old.join(exact, ["digest", "norm_len"], "left").select(
-        "digest", (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"), F.greatest("best", "new_best").alias("best"), F.lit(True).alias("known")
-    )
-    fresh = new.join(old.select("digest", "norm_len", F.lit(True).alias("old")), (new.digest == old.digest) & (new.norm_len == old.norm_len) & new.maybe, "left_anti")
-    return met.unionByName(fresh.select("digest", "n", "best", F.lit(False).alias("known")))
+    met = written(old.join(exact, ["digest", "norm_len"]))
+    met = met.join(differing(met, docs, is_old, hex_digest), ["digest", "norm_len"], "left_anti")
+    met = written(met.select("digest", "norm_len", (F.col("n") + F.col("new_n")).alias("n"), F.greatest("best", "new_best").alias("best"), F.lit(True).alias("known")))
+    both = met.withColumn("old", F.explode(F.array(F.lit(True), F.lit(False))))
+    alone = [side.join(met.select("digest", "norm_len"), ["digest", "norm_len"], "left_anti").select("digest", "norm_len", "n", "best", F.lit(k).alias("known"), F.lit(k).alias("old")) for side, k in ((old, True), (new, False))]
+    return both.unionByName(alone[0]).unionByName(alone[1])
 
 
-def decisions(docs: DataFrame, is_snapshot=None) -> DataFrame:
+def decisions(docs: DataFrame, is_snapshot: Column | None = None, hex_digest=sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, known for every row of docs.
 
     is_snapshot is a boolean Column: rows for which it is not true come in as the new batch. By default the even
@@ -154,10 +178,10 @@ def decisions(docs: DataFrame, is_snapshot=None) -> DataFrame:
     """
     flag = F.coalesce(F.pmod(F.col("doc_id"), F.lit(2)) == 0 if is_snapshot is None else is_snapshot, F.lit(False))
     old_docs, new_docs = docs.where(flag), docs.where(~flag)
-    rows = checkpoint(digests(old_docs).withColumn("old", F.lit(True)).unionByName(digests(new_docs).withColumn("old", F.lit(False))))
-    groups = resolved(rows.where("old"), rows.where(~F.col("old"))).select("digest", "n", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "known")
-    out = rows.join(groups, "digest").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-    first = F.row_number().over(Window.partitionBy("digest", "doc_id", "stays").orderBy("n_chars"))
+    rows = checkpoint(digests(old_docs, hex_digest).withColumn("old", F.lit(True)).unionByName(digests(new_docs, hex_digest).withColumn("old", F.lit(False))))
+    groups = resolved(rows, docs, flag, hex_digest).select("digest", "norm_len", "old", "n", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "known")
+    out = rows.join(written(groups), ["digest", "norm_len", "old"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
+    first = F.row_number().over(Window.partitionBy("digest", "norm_len", "keep_id", "doc_id", "stays").orderBy("n_chars"))
     out = out.repartition("digest", "doc_id")  # else the window holds the join above to whole digests, and a hot one to one task
     return out.withColumn("copy", F.when(F.col("stays"), first)).select(
         "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), (F.col("stays") & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known"
@@ -166,8 +190,8 @@ def decisions(docs: DataFrame, is_snapshot=None) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their own columns."""
-    kept = decisions(docs).where("kept").select(F.concat_ws(":", "text_sha256", "doc_id").alias("__key"))
-    norm = F.regexp_replace(text_or_empty(), f"[{WS}]+", "")
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.sha2(norm, 256), F.col("doc_id").cast("string")))
-    one = keyed.join(kept, "__key", "left_semi").withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.length(text_or_empty()).desc())))
-    return one.where("__copy = 1").drop("__key", "__copy")
+    key, copy = fresh(docs, "key"), fresh(docs, "copy")
+    kept = decisions(docs).where("kept").select(F.concat_ws(":", "text_sha256", "doc_id").alias(key))
+    keyed = docs.withColumn(key, F.concat_ws(":", F.sha2(normalised(), 256), F.col("doc_id").cast("string")))
+    one = keyed.join(kept, key, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(F.length(text_or_empty()).desc())))
+    return one.where(F.col(copy) == 1).drop(key, copy)
