@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, text_or_empty
+from .common import WS, fresh, text_or_empty
 
 BUDGET, CAP = 1.5, 2
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -59,9 +59,9 @@ def due(at: Column, target: Column, slope: Column) -> Column:
     return F.when(b == 0, q).otherwise(root)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position, second_position, and text_order for repeated ids, range-sorted by position."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.xxhash64(text_or_empty()).alias("text_order"))
+def mix(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position, second_position, first (words of the first reading) and the columns `also`, range-sorted by position."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.xxhash64(text_or_empty()).alias("text_order"), *also)
     rows = rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("chunk", F.substring("hash", 1, 3))
     # Words before each document: inside its (source, chunk) by a window, before its chunk by a table of at most 4096 rows a source.
     chunks = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
@@ -69,7 +69,7 @@ def mix(docs: DataFrame) -> DataFrame:
     chunks = chunks.withColumn("before", F.sum("words").over(of) - F.col("words"))
     sources = targets(chunks.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "s")
     starts = chunks.join(sources, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("chunk").alias("c"), "before", "source_size", "slope", "target")
-    inside = Window.partitionBy("source", "chunk").orderBy("hash", "doc_id", "text_order").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "chunk").orderBy("hash", "doc_id", "text_order", *also).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     rows = rows.withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
@@ -79,25 +79,33 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", part(F.col("start"))).withColumn("second", part(again))
     rows = rows.withColumn("position", F.when(F.col("first") > 0, due(F.col("start"), F.col("target"), F.col("slope"))))
     rows = rows.withColumn("second_position", F.when(F.col("second") > 0, due(again, F.col("target"), F.col("slope"))))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("second")).cast("long").alias("taken"), "position", "second_position", "first", "text_order")
+    out = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("second")).cast("long").alias("taken"), "position", "second_position", "first", *also)
     # What is not taken has no position; it is spread after the end, by hash.
     last = F.coalesce("position", 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
     return out.repartitionByRange(last, "doc_id").sortWithinPartitions(last, "doc_id")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix as rows of docs: a document once for each time it is taken, in order of position; what the target cuts off keeps its first words."""
-    plan = mix(docs).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_order").alias("__text"), F.col("size").alias("__size"),
-        F.explode(F.filter(F.array(F.struct("position", F.col("first").alias("words")), F.struct(F.col("second_position").alias("position"), (F.col("taken") - F.col("first")).alias("words"))), lambda x: x.words > 0)).alias("__at"),
-    ).distinct()
-    met = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__text")))
+    """The mix as rows of docs: a document once for each time it is taken, in order of position; what the target cuts off keeps its first words.
+
+    A row is known by 96 bits of hashes of all its columns. Rows that are equal in every column are joined as one to the
+    places of all of them, so that k equal rows make k readings and not k * k.
+    """
+    names = [fresh(docs, n) for n in ("row_hash", "row_hash_too", "full_size", "place", "copy")]
+    a, b, size, place, copy = names
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    keyed = docs.withColumns({a: F.xxhash64(*values), b: F.hash(*values)})
+    times = F.array(F.struct("position", F.col("first").alias("words")), F.struct(F.col("second_position").alias("position"), (F.col("taken") - F.col("first")).alias("words")))
+    plan = mix(keyed, (a, b)).where("taken > 0").select(a, b, F.col("size").alias(size), F.explode(F.filter(times, lambda x: x.words > 0)).alias(place))
+    one = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(a, b).orderBy(a))).where(F.col(copy) == 1)
+    met = one.join(plan, [a, b])
     pieces = F.split("text", f"(?<=[^{WS}])(?=[{WS}])")  # white space stays before its word
-    cut = F.when(F.col("__at.words") < F.col("__size"), F.array_join(F.slice(pieces, F.lit(1), F.col("__at.words").cast("int")), "")).otherwise(F.col("text"))
-    out = met.withColumn("text", cut)
+    words = F.col(place).getField("words")
+    out = met.withColumn("text", F.when(words < F.col(size), F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartitionByRange(F.col("__at.position"), F.col("__id")).sortWithinPartitions(F.col("__at.position"), F.col("__id")).select(*docs.columns)
+    order = [F.col(place).getField("position"), F.col("doc_id"), F.col(a)]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _sql() -> str:
