@@ -1,12 +1,13 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (at words with . ! or ?, at line ends, and every LONGEST words of a sentence that goes on).
-From every sentence a span runs over at least SENTENCES sentences and WORDS words. Spans are hashed on their words, white
-space and the case of A-Z aside, and met globally: of equal spans, the one in the smallest (doc_id, sentence) is the first,
+A text is cut into sentences (at words with . ! or ? and at line ends). From every sentence a span runs over at least
+`sentences` sentences and `words` words, on to the first sentence end at which it has both. Spans are hashed on their words,
+white space and the case of A-Z aside, and met globally: of equal spans, the one in the smallest (doc_id, sentence) is the first,
 and the sentences that any other one covers are removed. Counts are taken per hash before anything is joined, and only
-hashes that repeat come back, so a passage that a third of all documents share costs each task only its part.
+hashes that repeat come back. The counts and the first places are tables of their own before they meet the spans, so that
+Spark can split the hash of a passage that a third of all documents share over many tasks.
 
-With inside=True sentences are cut, instead of every LONGEST words, at the pair of words with the least hash of each CUT pairs
+With inside=True sentences are also cut at the pair of words with the least hash of each CUT pairs
 in a row. Such cuts hang on at most CUT words around them, so that copies of a passage that begins or ends in the middle of
 different sentences are cut alike from CUT words after its start. Every run of 24 + 3 * CUT words that two documents share
 then has a common span; at each end up to CUT words of it, or up to the next cuts, stay. The registered query does so.
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty, written
+from .common import checkpoint, fresh, in_batches, text_or_empty, written
 from .words import U, blocks, hashed_words, mix, separators
 
-SENTENCES, WORDS, LONGEST, CUT = 3, 24, 10, 6
+#: Sentences and words that a span has at least, and pairs of words of which one is cut with inside=True.
+SENTENCES, WORDS, CUT = 3, 24, 6
 _Q = U(0xD6E8FEB86659FD93)
 
 
@@ -57,20 +59,16 @@ def _units(data: np.ndarray, offsets: np.ndarray, inside: bool = False) -> tuple
         begins[1:n] |= line[starts[1:]] > line[ends[:-1]]
     if n and inside:
         begins[_least_pairs(words, first) + 1] = True
-    elif n:
-        at = np.flatnonzero(begins)
-        within = np.arange(n) - at[np.searchsorted(at, np.arange(n), side="right") - 1]
-        begins[:n] |= within % LONGEST == 0
     unit = np.flatnonzero(begins)
     return words, starts, ends, unit, np.searchsorted(unit, first)
 
 
-def _spans(words: np.ndarray, unit: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(words: np.ndarray, unit: np.ndarray, of_text: np.ndarray, least: tuple[int, int] = (SENTENCES, WORDS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first unit, unit after the last, hash) of every span."""
     n = len(unit) - 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    last = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(unit, unit[:-1] + WORDS, side="left"))
+    last = np.maximum(np.arange(n) + least[0], np.searchsorted(unit, unit[:-1] + least[1], side="left"))
     text_end = of_text[np.searchsorted(of_text, np.arange(n), side="right")]
     ok = last <= text_end
     a, b = np.flatnonzero(ok), last[ok]
@@ -87,13 +85,13 @@ def _spans(words: np.ndarray, unit: np.ndarray, of_text: np.ndarray) -> tuple[np
     return a, b, mix((upto[y] - upto[x]) * inverse[x] + (y - x).astype(np.uint64))
 
 
-def _spanning(inside: bool):
+def _spanning(inside: bool, least: tuple[int, int]):
     def run(batches):
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
-            for i, j, data, offsets in blocks(texts):
+            for i, j, data, offsets in blocks(texts, 1 << 19):
                 words, _, _, unit, of_text = _units(data, offsets, inside)
-                a, b, h = _spans(words, unit, of_text)
+                a, b, h = _spans(words, unit, of_text, least)
                 text = np.searchsorted(of_text, a, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), ids.take(pa.array(i + text)), batch["text_hash"].take(pa.array(i + text)), pa.array((a - of_text[text]).astype(np.int32)), pa.array((b - a).astype(np.int32))],
@@ -103,14 +101,15 @@ def _spanning(inside: bool):
     return run
 
 
-def covered(docs: DataFrame, inside: bool = False) -> DataFrame:
+def covered(docs: DataFrame, inside: bool = False, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, spans (sentence, sentences), first_ids: the non-first spans of each document that has any, and documents with their first ones."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash(text_or_empty()).alias("text_hash"))
-    every = rows.mapInArrow(_spanning(inside), "hash long, doc_id long, text_hash int, sentence int, sentences int")
+    every = in_batches(rows, _spanning(inside, (sentences, words)), "hash long, doc_id long, text_hash int, sentence int, sentences int")
     # places are met only for hashes that repeat, so that the first shuffle of all spans moves their hashes alone
-    spans = written(every.join(every.groupBy("hash").count().where("count > 1").select("hash"), "hash"))
+    repeated = written(every.groupBy("hash").count().where("count > 1").select("hash"))
+    spans = written(every.join(repeated, "hash"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "sentence")
-    firsts = spans.groupBy("hash").agg(F.min(place).alias("first"))
+    firsts = written(spans.groupBy("hash").agg(F.min(place).alias("first")))
     later = spans.join(firsts, "hash").where(place > F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("sentence", "sentences")).alias("spans"), F.collect_set("first.doc_id").alias("first_ids"))
 
@@ -134,35 +133,39 @@ def _cut(text: str, spans: list[dict], inside: bool) -> tuple[str, int, int, int
     return out, n, int(gone.sum()), int(size[gone].sum()), len(text) - len(out)
 
 
-def _cutting(names: list[str], inside: bool):
+def _cutting(names: list[str], spans: str, counts: list[str], inside: bool):
+    """Batches of the columns `names`, texts cut, and of the four counts of `_cut`."""
+
     def run(batches):
         for batch in batches:
-            texts, spans = batch["text"].to_pylist(), batch["__spans"].to_pylist()
-            done = [_cut(t, s, inside) if s and t is not None else (t, None, 0, 0, 0) for t, s in zip(texts, spans, strict=True)]
+            done = []
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                done += [_cut(t, s, inside) if s and t is not None else (t, None, 0, 0, 0) for t, s in zip(some["text"].to_pylist(), some[spans].to_pylist(), strict=True)]
             columns = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch[c] for c in names]
             more = [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "__sentences", "__removed", "__words", "__chars"])
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, *counts])
 
     return run
 
 
-def _joined(docs: DataFrame, how: str, inside: bool) -> DataFrame:
-    found = checkpoint(covered(docs, inside)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("first_ids").alias("__first"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.hash(text_or_empty()) == F.col("__hash"))
-    return docs.join(found, same, how).drop("__id", "__hash")
+def _cleared(docs: DataFrame, how: str, inside: bool, least: tuple[int, int]) -> tuple[DataFrame, str, list[str]]:
+    """(docs with the covered sentences cut from their texts, beside the ids of first copies and four counts; names of these columns)."""
+    key, text_hash, spans, first, *counts = (fresh(docs, n) for n in ("found_id", "found_hash", "spans", "first_ids", "n_sentences", "removed_sentences", "removed_words", "removed_chars"))
+    found = checkpoint(covered(docs, inside, *least)).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("spans").alias(spans), F.col("first_ids").alias(first))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.hash(text_or_empty()) == F.col(text_hash))
+    met = docs.join(found, same, how).drop(key, text_hash)
+    names = [*docs.columns, first]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.drop(spans).schema)
+    return in_batches(met.select(*[f"`{c}`" for c in names], spans), _cutting(names, spans, counts, inside), schema + "".join(f", `{c}` long" for c in counts)), first, counts
 
 
-def changed(docs: DataFrame, inside: bool = False) -> DataFrame:
+def changed(docs: DataFrame, inside: bool = False, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """One row for each document that loses sentences: doc_id, n_sentences, removed_sentences, removed_words, removed_chars, first_doc_ids, text (what remains)."""
-    met = _joined(docs.select("doc_id", "text"), "inner", inside)
-    out = met.mapInArrow(_cutting(["doc_id", "text", "__first"], inside), "doc_id long, text string, __first array<long>, __sentences long, __removed long, __words long, __chars long")
-    return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("removed_sentences"), F.col("__words").alias("removed_words"), F.col("__chars").alias("removed_chars"), F.array_sort("__first").alias("first_doc_ids"), "text")
+    out, first, counts = _cleared(docs.select("doc_id", "text"), "inner", inside, (sentences, words))
+    return out.select("doc_id", *counts, F.array_sort(first).alias("first_doc_ids"), "text")
 
 
-def cleaned(docs: DataFrame, inside: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, inside: bool = False, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """docs with the covered sentences removed from their texts; documents of which nothing stays have an empty text."""
-    names = docs.columns
-    met = _joined(docs, "left", inside).drop("__first")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = met.mapInArrow(_cutting(names, inside), f"{schema}, __sentences long, __removed long, __words long, __chars long")
-    return out.select(*names)
+    return _cleared(docs, "left", inside, (sentences, words))[0].select(*[f"`{c}`" for c in docs.columns])
