@@ -96,6 +96,23 @@ def test_exact_dedup_finds_across_and_inside_snapshots(spark):
     assert not any(got.values()) and len(got) == 6
 
 
+def test_a_first_batch_is_dealt_to_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_BUCKET", 500)
+    asked = []
+    screened = exact_dedup.screened
+    monkeypatch.setattr(exact_dedup, "screened", lambda new, filt, buckets: asked.append(buckets) or screened(new, filt, buckets))
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 4000).cast("string")).alias("text"))
+    out = exact_dedup.decisions(docs, F.lit(False))
+    assert out.where("kept").count() == 4000 and out.where("known").count() == 0 and asked == [8]
+
+
+def test_texts_of_one_digest_are_told_apart_by_their_bytes(spark):
+    docs = spark.createDataFrame([(2, "ab c"), (3, "xyz"), (4, "abc"), (5, "x yz"), (7, "long er")], "doc_id long, text string")
+    weak = lambda norm: F.sha2(F.length(norm).cast("string"), 256)
+    got = {r["doc_id"]: r for r in exact_dedup.decisions(docs, hex_digest=weak).collect()}
+    assert [(i, got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) for i in sorted(got)] == [(2, 2, 2, True), (3, 5, 2, False), (4, 2, 2, False), (5, 5, 2, True), (7, 7, 1, True)]
+
+
 def test_fuse_filters_hold_every_key():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 3, 17, 1000, 20_000):
@@ -287,10 +304,21 @@ def test_mixing_defined_cases(odd, none):
     assert len(rows) == odd.count()
     assert all(r["taken"] == 0 for r in rows if r["size"] == 0)
     out = mixing.mixed(odd)
-    assert out.columns == odd.columns and out.count() >= 1
+    assert out.columns == odd.columns
+    assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == sum(r["taken"] for r in rows)
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_repeated_rows_are_mixed_as_planned(spark):
+    rows = [(1, "one two three", "a", "x")] * 3 + [(1, "one two three", "a", "y"), (1, "other words", "b", "x"), (2, "four five six seven", "a", None), (None, "no id", "c", "x"), (None, "no id", "c", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_hash string")
+    plan = mixing.mix(docs).collect()
+    out = mixing.mixed(docs).collect()
+    assert sum(len(WORD.findall(r["text"])) for r in out) == sum(r["taken"] for r in plan)
+    assert len(out) == sum((r["position"] is not None) + (r["second_position"] is not None) for r in plan)
+    assert Counter(r["row_hash"] for r in out if r["doc_id"] == 1 and r["source"] == "a")["x"] <= 6
+
+
 # 5
 
 
@@ -355,12 +383,10 @@ def test_further_links_merge_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 5: 5, 20: 5, 21: 5, 30: 30, 31: 30}
 
 
-def test_wanted_rows_are_the_same_beyond_the_broadcast(spark, odd, monkeypatch):
-    ids = spark.createDataFrame([(1,), (5,), (7,), (7,), (99,)], "doc_id long")
-    near = sorted((r["doc_id"], len(r["text"])) for r in near_dedup.full_texts(odd, ids).collect())
-    monkeypatch.setattr(near_dedup, "FEW", 0)
-    assert near == sorted((r["doc_id"], len(r["text"])) for r in near_dedup.full_texts(odd, ids).collect())
-    assert [i for i, _ in near] == [1, 1, 5, 7]
+def test_near_dedup_keeps_other_texts_of_a_repeated_id(spark):
+    rows = [(4, "a b c d e f"), (4, "g h i j k l"), (4, "a b c d e f"), (9, "A b c d e  f"), (None, "m n o p q r")]
+    got = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "m n o p q r"), (4, "a b c d e f"), (4, "g h i j k l")]
 
 
 # 6
@@ -402,16 +428,19 @@ def test_plans_place_every_piece_once(seed):
     lengths = np.minimum(rng.lognormal(5.5, 1.3, 4000).astype(int) + 1, 2048)
     histogram = dict(Counter(lengths.tolist()))
     runs = packing.plan(histogram)
-    fill = np.zeros(int((runs["sequence"] + runs["rank_to"] - runs["rank_from"]).max()), int)
-    seen = Counter()
+    placed, seen = [], Counter()
     for r in runs.itertuples():
         n = r.rank_to - r.rank_from
-        part = slice(r.sequence, r.sequence + n)
-        assert (fill[part] == r.offset).all() or True
-        fill[part] += r.length
+        placed += [(r.sequence + k, r.offset, r.length) for k in range(n)]
         seen[r.length] += n
-    assert seen == Counter(histogram) and fill.max() <= 2048
-    assert len(fill) <= 1.01 * -(-lengths.sum() // 2048) + 1
+    placed.sort()
+    end = (None, 0)
+    for sequence, offset, length in placed:  # each piece begins where the one before it ends
+        assert offset == (end[1] if end[0] == sequence else 0)
+        end = (sequence, offset + length)
+        assert end[1] <= 2048
+    assert seen == Counter(histogram)
+    assert len({s for s, _, _ in placed}) <= 1.01 * -(-lengths.sum() // 2048) + 1
 
 
 def test_packing_defined_cases(odd, none):
@@ -511,7 +540,7 @@ def units(text):
         cur = []
         for w in WORD.findall(line):
             cur.append(w)
-            if re.search("[.!?]", w) or len(cur) == 10:
+            if re.search("[.!?]", w):
                 out.append(cur)
                 cur = []
         if cur:
