@@ -56,7 +56,8 @@ def propagate(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
         moving = checkpoint(moving.where("admitted > 0").select("key", "shard", "to", "admitted"))
         if moving.isEmpty():
             break
-        ranked = positions(linked.join(moving.select("key", "shard"), ["key", "shard"], "left_semi"), ["key", "shard"], [F.col("id")], F.pmod(F.xxhash64("id", F.lit(3)), F.lit(256)), "rank")
+        leaving = linked.join(moving.select("key", "shard"), ["key", "shard"], "left_semi").repartition("id")  # else the numbering keeps a hot key in one task
+        ranked = positions(leaving, ["key", "shard"], [F.col("id")], F.pmod(F.xxhash64("id", F.lit(3)), F.lit(256)), "rank")
         moved = ranked.join(moving, ["key", "shard"]).select("id", "key", "linked", F.when(F.col("rank") < F.col("admitted"), F.col("to")).otherwise(F.col("shard")).cast("int").alias("shard"))
         still = linked.join(moving.select("key", "shard"), ["key", "shard"], "left_anti").select("id", "key", "linked", "shard")
         linked = checkpoint(moved.unionByName(still))
@@ -86,7 +87,9 @@ def levelled(state: DataFrame, shards: int = SHARDS) -> DataFrame:
     goal = [n // shards] * shards
     for s in by_load[: n % shards]:
         goal[s] += 1
-    chunk = F.when(F.col("linked"), F.pmod(F.xxhash64("key"), F.lit(256))).otherwise(256 + F.pmod(F.xxhash64("id"), F.lit(256)))
+    # Linked documents by key first and unlinked ones last; the members of a hot key are numbered in 64 parts.
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    chunk = F.when(F.col("linked"), 64 * F.pmod(F.xxhash64("key"), F.lit(256)) + part).otherwise(64 * 256 + F.pmod(F.xxhash64("id"), F.lit(256)))
     ranked = positions(state, ["shard"], [F.col("key"), F.col("id")], chunk, "rank")
     ranked = checkpoint(ranked.withColumn("over", F.col("rank") - _of(goal, F.col("shard"))))
     surplus = [max(0, a - b) for a, b in zip(load, goal, strict=True)]
