@@ -1,6 +1,7 @@
 """Operators over bars: SQL agreement on the smallest tables, hand values and properties."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -8,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import domain as d
 from tidemark.operators import features, forecasts, quality, rollups, series, significance
-from tidemark.plans import evaluation, files, market
+from tidemark.plans import evaluation, files, learning, market, study
 from tidemark.sources import candles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = market.oracle_sql() | evaluation.oracle_sql() | files.oracle_sql()
-QUERIES = market.queries() | evaluation.queries() | files.queries()
+PLANS = (market, evaluation, files, study, learning)
+SQL = {k: v for p in PLANS for k, v in p.oracle_sql().items()}
+QUERIES = {k: v for p in PLANS for k, v in p.queries().items()}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +35,9 @@ def plain(rows):
     return sorted((tuple(one(v) for v in r) for r in rows), key=str)
 
 
-FAST = ["to_bars", "rollup_bars", "rollup_many", "qa_report", "gaps_chart", "inventory", "build_features", "intraday_daily", "forward_labels", "training_slice", "baseline_forecast", "metrics_by_horizon", "graded_sequence", "replay_roi", "accuracy_ci", "match_bar", "chart_join"]
+FAST = ["to_bars", "rollup_bars", "rollup_many", "qa_report", "gaps_chart", "inventory", "build_features", "intraday_daily", "forward_labels", "training_slice", "baseline_forecast", "metrics_by_horizon", "graded_sequence", "replay_roi", "accuracy_ci", "match_bar", "chart_join", "score_forecasts", "pair_forecasts", "mistimed_replay", "calibrate_forecasts", "holdout_split", "architecture_spread", "verify_manifest", "list_runs", "read_prediction_lines"]
+if os.environ.get("ALL_SQL"):  # every query that has SQL; some minutes
+    FAST = sorted(SQL)
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -94,14 +98,14 @@ def test_hand_values(spark):
     assert got == {"a": 0.02, "b": 0.04, "c": 0.04, "d": 0.02}
 
 
-def test_whole_bootstrap_equals_brute_force(spark):
+def test_bootstrap_equals_brute_force(spark):
     import hashlib
 
     import numpy as np
 
     xs = {("a", "w", 7): [float(i * i % 5 < 3) for i in range(101)], ("b", "m", 70): [1.0] + [0.0] * 699, ("c", "w", 7): [1.0] * 69}
     rows = spark.createDataFrame([(*k, i, x) for k, v in xs.items() for i, x in enumerate(v)], "symbol string, horizon string, forward int, pos long, x double")
-    got = {r["symbol"]: r for r in significance.mean_interval(rows, whole=True).collect()}
+    got = {r["symbol"]: r for r in significance.mean_interval(rows).collect()}
     for (s, h, f), v in xs.items():
         n, means = len(v), []
         for b in range(2000):
@@ -115,12 +119,9 @@ def test_whole_bootstrap_equals_brute_force(spark):
             assert abs(got[s]["low"] - low) < 1e-9 and abs(got[s]["high"] - high) < 1e-9 and abs(got[s]["p_value"] - p) < 1e-9 and got[s]["resamples"] == 2000
 
 
-def test_whole_month_shares_need_twenty_samples(spark):
-    from tidemark.plans import evaluation
-
+def test_month_shares_need_twenty_samples(spark):
     months = spark.createDataFrame([("a", "w", k, 19 + (k > 0), 0.6) for k in range(7)] + [("b", "w", k, 19, 0.6) for k in range(7)], "symbol string, horizon string, month int, samples long, accuracy double")
-    assert [(r["symbol"], r["months"], r["share"]) for r in evaluation.shares(months, 20).collect()] == [("a", 6, 1.0)]
-    assert {"accuracy_ci_whole", "benjamini_hochberg_whole", "versus_whole", "month_shares_whole"} <= set(evaluation.queries())
+    assert [(r["symbol"], r["months"], r["share"]) for r in evaluation.shares(months).collect()] == [("a", 6, 1.0)]
 
 
 def test_quality_checks_find_planted_faults(spark):

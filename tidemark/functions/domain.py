@@ -16,7 +16,21 @@ LARGE_MOVE = 13.0
 INTERVALS = {"1m": 1, "3m": 3, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "2h": 120, "4h": 240, "6h": 360, "8h": 480, "12h": 720, "1d": 1440, "3d": 4320, "1w": 10080}
 EXPOSURE = {"Strong Buy": 1.0, "Buy": 0.7, "Accumulate": 0.4, "Reduce": 0.2, "Sell": 0.0, "Strong Sell": 0.0}
 STATIC_GATES, QUANTILES, LEAST_HISTORY = (0.20, 0.30, 0.40), (0.40, 0.70, 0.90), 52
-ROUND_TRIP_COST, MIN_TRAIN = 0.004, 30
+ROUND_TRIP_COST, MIN_TRAIN, MIN_ROWS, MIN_INDEPENDENT = 0.004, 30, 730, 3
+# Temperatures tried, in order.
+TEMPERATURES = (
+    0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0,
+    15.0, 20.0, 30.0, 50.0, 70.0, 100.0, 150.0, 200.0, 300.0, 500.0, 1000.0,
+)
+LEAST_FITTED, HELD_OUT = 40, 0.25
+# The columns that models are trained on, in order.
+TRAINING_COLUMNS = (
+    "log_return_1b", "log_return_3b", "log_return_7b", "log_return_14b", "rolling_vol_7", "rolling_vol_14", "rolling_vol_30",
+    "realized_vol_1d", "candle_range", "rolling_drawdown_30", "rolling_drawdown_90", "max_intraday_drawdown", "jump_count", "rsi_14",
+    "taker_buy_ratio", "taker_buy_ratio_14", "flow_imbalance", "trade_count_rel_30",
+    "ma_10_rel", "ma_30_rel", "ma_diff_rel", "ma_slope_rel", "bb_mid_rel", "bb_upper_rel", "bb_lower_rel", "atr_14_rel", "macd_hist_rel",
+    "open_rel", "high_rel", "low_rel", "volume_rel_30", "obv_change_rel", "avg_trade_size_rel_30",
+)
 
 
 def c(x: str | Column) -> Column:
@@ -143,10 +157,71 @@ def horizons(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(HORIZONS.items()), "horizon string, forward int")
 
 
+def ideal_window(forward: Column) -> Column:
+    """Bars of a training window that holds enough labelled rows and enough independent ones."""
+    return forward + F.greatest(F.lit(MIN_ROWS), MIN_INDEPENDENT * forward)
+
+
 def window_steps(forward: Column, history: Column) -> Column:
-    """Training window in bars: the horizon and 730 bars or three horizons, less where the history is short."""
-    ideal = forward + F.greatest(F.lit(730), 3 * forward)
-    return F.greatest(forward + MIN_TRAIN, F.least(ideal, F.floor(history / 2)))
+    """Training window in bars: the ideal one where it leaves enough bars to score, else at most half of the history."""
+    ideal = ideal_window(forward)
+    short = F.greatest(forward + MIN_TRAIN, F.least(ideal, F.floor(history / 2)))
+    return F.when(ideal <= history - (1 + MIN_INDEPENDENT) * forward, ideal).otherwise(short)
+
+
+def steps_of_days(days: Column, minutes: int) -> Column:
+    return F.greatest(F.lit(1), F.bround(days * 1440 / minutes, 0).cast("long"))
+
+
+def fitted_temperature_source(fitted: Column, carried: Column) -> Column:
+    return F.when(fitted.isNotNull(), "fitted").when(carried.isNotNull(), "carried").otherwise("prior")
+
+
+def quality_reason(status: Column, correct: Column, predicted: Column, actual: Column, confidence: Column, fwd_return: Column) -> Column:
+    """The verdict of a quality row in words."""
+    verdict = F.when(correct, "correct").otherwise("wrong")
+    number = lambda x, pattern: F.call_function("format_number", x, F.lit(pattern))
+    words = F.format_string("%s %s vs %s at %s%% confidence; return %s%%.", verdict, predicted, actual, number(confidence * 100, "0.0"), number(fwd_return * 100, "0.00"))
+    return F.when(status == "missing_target", "Target candle is not available yet for this horizon.").when(status == "scored", words)
+
+
+def exposure_policy(raw: str | None) -> dict[str, float]:
+    """`grade=share` pairs laid over the fixed shares; Hold, unknown grades and shares outside 0 to 1 are refused."""
+    known = {k.lower().replace(" ", "_"): k for k in EXPOSURE}
+    policy = dict(EXPOSURE)
+    for part in filter(None, (x.strip() for x in (raw or "").split(","))):
+        key, equals, value = part.partition("=")
+        key = key.strip().lower().replace(" ", "_").replace("-", "_")
+        if not equals or key not in known:
+            raise ValueError(f"{part!r}: expected grade=share with one of {', '.join(sorted(known))}; Hold keeps what it finds and has no share")
+        share = float(value)
+        if not 0 <= share <= 1:
+            raise ValueError(f"{part!r}: a share lies between 0 and 1")
+        policy[known[key]] = share
+    return policy
+
+
+def bar_key(value: Column) -> Column:
+    """A time in ISO form (with Z, an offset, fractions, or a date alone) as an instant; null for what is none."""
+    return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
+
+
+def slug_parts(slug: Column) -> Column:
+    """model, interval and run_ts of a run's slug; null for a name that is none or that has unsafe characters."""
+    safe = slug.rlike(r"^[A-Za-z0-9][A-Za-z0-9-]*_[0-9]+[mhdw]_[0-9]{8}T[0-9]{6}$")
+    part = lambda k: F.split_part(slug, F.lit("_"), F.lit(k))
+    return F.when(safe, F.struct(part(1).alias("model"), part(2).alias("interval"), part(3).alias("run_ts")))
+
+
+def bin_lower(label: Column) -> Column:
+    """Lower edge of a depth bin in percent, from its name."""
+    return F.regexp_extract(label, r"^([0-9]+)", 1).try_cast("double")
+
+
+def bin_midpoint(label: Column) -> Column:
+    """Middle of a depth bin in percent; an open bin counts a quarter above its edge."""
+    high = F.regexp_extract(label, r"-([0-9]+)$", 1).try_cast("double")
+    return F.coalesce((bin_lower(label) + high) / 2, bin_lower(label) * 1.25)
 
 
 def horizon_label(days: Column) -> Column:

@@ -1,43 +1,118 @@
-"""Exposure paths set against simple strategies."""
+"""Exposure paths set against simple strategies and against themselves at other times."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .forecasts import HKEYS, replay
+from ..sources.tables import settled
+from .forecasts import HKEYS, exposure, graded, growth, replay, roi, signals
+from .series import beside, carried, dealt, indexed
 
 c = F.col
+#: Bars of a chunk of prices and of exposures whose products are formed together.
+TILE = 512
 
 
-def next_bar(graded: DataFrame, bars: DataFrame) -> DataFrame:
-    """A signal gets the open and close of the bar after its own; without one, or at prices of 0, it is dropped."""
-    w = Window.partitionBy(*HKEYS).orderBy("idx")
-    rows = graded.join(bars.select("symbol", "open_time", "open"), ["symbol", "open_time"])
-    rows = rows.withColumns({"next_open": F.lead("open").over(w), "next_close": F.lead("close").over(w)})
-    return rows.where("next_open > 0 and next_close > 0")
+def executed(forecasts: DataFrame, bars: DataFrame, policy: dict[str, float] | None = None) -> DataFrame:
+    """The exposure path: signals that get the open and close of the bar after their own, graded in order, with the exposure held.
 
+    A signal without a next bar, or with prices of 0 there, is dropped before it is graded.
+    """
+    after = indexed(bars.select("symbol", "interval", "open_time", "open", "close")).select("symbol", "interval", (c("idx") - 1).alias("idx"), c("open").alias("next_open"), c("close").alias("next_close"))
+    rows = signals(forecasts).join(after, ["symbol", "interval", "idx"]).where("next_open > 0 and next_close > 0")
+    fields = [*HKEYS, "open_time", "idx", "verdict", "next_open", "next_close"]
+    return settled(exposure(settled(graded(rows, HKEYS, "idx").select(*fields)), policy))
 
-def buy_and_hold(bars: DataFrame, cost: float) -> DataFrame:
-    out = bars.groupBy("symbol").agg(F.min(F.struct("open_time", "open")).getField("open").alias("entry"), F.max(F.struct("open_time", "close")).getField("close").alias("exit"))
-    return out.withColumn("roi", c("exit") / c("entry") * (1 - cost) * (1 - cost) - 1)
 
+def buy_and_hold(path: DataFrame, cost: float, keys: list[str] = HKEYS) -> DataFrame:
+    """Bought at the first executed open, at one cost, and held to the last close."""
+    out = path.groupBy(*keys).agg(F.min(F.struct("idx", "next_open")).getField("next_open").alias("entry"), F.max(F.struct("idx", "next_close")).getField("next_close").alias("exit"))
+    return out.withColumn("roi", c("exit") / c("entry") * (1 - cost) - 1)
 
-def momentum(bars: DataFrame, lookback: int) -> DataFrame:
-    """Fully in while the close is above the one `lookback` bars ago."""
-    w = Window.partitionBy("symbol").orderBy("open_time")
-    rows = bars.withColumn("exposure", F.when(c("close") > F.lag("close", lookback).over(w), 1.0).otherwise(0.0)).withColumn("idx", c("open_time"))
-    rows = replay(rows, keys=["symbol"])
-    return rows.groupBy("symbol").agg(F.sum(F.ln(F.greatest("f", F.lit(1e-300)))).alias("log_growth"), F.avg("exposure").alias("mean_exposure"), F.sum("turn").alias("turnover"), F.count_if(c("turn") > 0).alias("trades"), F.count(F.lit(1)).alias("bars"))
+
+def momentum(bars: DataFrame, lookback: int, cost: float = 0.002) -> DataFrame:
+    """Fully in while the close is above the one `lookback` bars ago, replayed over the closes."""
+    keys = ["symbol", "interval"]
+    rows = beside(indexed(bars.select(*keys, "open_time", "close")), {"exposure": lambda w: F.when(c("close") > F.lag("close", lookback).over(w), 1.0).otherwise(0.0)}, keys, "idx", back=lookback)
+    return roi(replay(rows, cost, keys, "close"), keys)
 
 
 def path_stats(path: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*HKEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = path.withColumn("le", F.sum(F.ln(F.greatest("f", F.lit(1e-300)))).over(w)).withColumn("fall", F.exp(c("le") - F.max("le").over(w)) - 1)
-    return rows.groupBy("symbol", "horizon").agg((-F.min("fall")).alias("max_drawdown"), (F.avg(c("f") - 1) / F.stddev_samp(c("f") - 1) * F.sqrt(F.lit(365.0))).alias("sharpe"))
+    """Deepest fall from the highest value so far and the yearly Sharpe ratio of a replayed path."""
+    rows = carried(path.where("f is not null"), "sum", {"level": growth(c("f"))}, HKEYS)
+    rows = carried(rows, "max", {"peak": c("level")}, HKEYS)
+    sharpe = F.try_divide(F.avg(c("f") - 1), F.stddev_samp(c("f") - 1)) * F.sqrt(F.lit(365.0))
+    return rows.groupBy(*HKEYS).agg((-F.min(F.exp(c("level") - c("peak")) + F.lit(-1.0))).alias("max_drawdown"), sharpe.alias("sharpe"))
 
 
 def constant_exposure(path: DataFrame, cost: float) -> DataFrame:
-    """The path's mean exposure entered once, at one cost, and held from the first close to the last."""
-    rows = path.where("close > 0").groupBy("symbol", "horizon").agg(F.avg("exposure").alias("exposure"), F.min(F.struct("idx", "close")).getField("close").alias("first"), F.max(F.struct("idx", "close")).getField("close").alias("last"))
-    return rows.select("symbol", "horizon", "exposure", (c("exposure") * (c("last") / c("first") - 1) - c("exposure") * cost).alias("roi"))
+    """The path's mean exposure bought once, at one cost, at the first mark and held to the last."""
+    at = lambda pick: pick(F.struct("idx", "next_close")).getField("next_close")
+    rows = path.groupBy(*HKEYS).agg(F.avg("exposure").alias("exposure"), at(F.min).alias("first"), at(F.max).alias("last"))
+    return rows.select(*HKEYS, "exposure", (c("exposure") * ((1 - cost) * c("last") / c("first") - 1)).alias("roi"))
+
+
+def _shifted(cost: float):
+    """Sums of log growth by shift, for a tile of returns (from place `at`) and a tile of exposures (from place `from`)."""
+
+    def run(tiles):
+        for pdf in tiles:
+            out = []
+            for row in pdf.itertuples(index=False):
+                r, e, turn = (np.asarray(x, float) for x in (row.r, row.e, row.turn))
+                first = row.at == 0
+                f = 1 + r[:, None] * e[None, :] - turn[None, :] * cost
+                if first:  # nothing is held before the first return
+                    f[0] = 1 + r[0] * e - np.abs(e) * cost
+                shift = (row.start + np.arange(len(e)))[None, :] - (row.at + np.arange(len(r)))[:, None]
+                shift = (shift % row.n).ravel()
+                kinds, place = np.unique(shift, return_inverse=True)
+                out.append(pd.DataFrame({
+                    "symbol": row.symbol, "interval": row.interval, "horizon": row.horizon, "shift": kinds,
+                    "growth": np.bincount(place, np.log(np.maximum(f, 1e-300)).ravel()), "ruined": np.bincount(place, (f <= 0).ravel()).astype(np.int64),
+                }))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def mistimed(path: DataFrame, cost: float = 0.002) -> DataFrame:
+    """All circular shifts of the exposures against the same prices: samples, percentile of the real timing (ties half), median ROI.
+
+    A path of n bars has n - 1 shifts of n - 1 steps. Returns and exposures are cut into tiles of TILE bars; a row of the join is a
+    pair of tiles, whose products are summed by shift before anything is shuffled, so no task holds a series. Log growths that
+    differ by less than 1e-9 are ties.
+    """
+    rows = settled(replay(path, cost))
+    before = beside(rows, {"last_exposure": lambda w: F.lag("exposure").over(w)}, HKEYS, back=1)
+    n = rows.groupBy(*HKEYS).agg(F.max("pos").alias("top"), F.max(F.struct("pos", "exposure")).getField("exposure").alias("end")).where("top >= 2")
+    rows = before.join(n, HKEYS).withColumns({"n": c("top") + 1, "turned": F.abs(c("exposure") - F.coalesce("last_exposure", "end")), "tile": F.floor(c("pos") / TILE)})
+    marks = beside(rows, {"later": lambda w: F.lead("next_close").over(w)}, HKEYS, ahead=1).withColumn("r", c("later") / c("next_close") - 1).where("r is not null")
+    gathered = lambda of, *fields: of.groupBy(*HKEYS, "tile", "n").agg(F.min("pos").alias("lowest"), F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("rows"))
+    left = gathered(marks, "r").select(*HKEYS, "n", c("lowest").alias("at"), c("rows.r").alias("r"))
+    right = gathered(rows, "exposure", "turned").select(*HKEYS, c("lowest").alias("start"), c("rows.exposure").alias("e"), c("rows.turned").alias("turn"))
+    pairs = left.join(right, HKEYS)
+    parts = dealt(pairs).mapInPandas(_shifted(cost), "symbol string, interval string, horizon string, shift long, growth double, ruined long")
+    shifts = parts.groupBy(*HKEYS, "shift").agg(F.sum("growth").alias("growth"), F.sum("ruined").alias("ruined"))
+    shifts = shifts.withColumn("growth", F.when(c("ruined") > 0, float("-inf")).otherwise(c("growth")))
+    real = shifts.where("shift = 0").select(*HKEYS, c("growth").alias("real"))
+    met = shifts.where("shift > 0").join(real, HKEYS)
+    tie = (c("growth") == c("real")) | (F.abs(c("growth") - c("real")) <= 1e-9)
+    value = F.percentile(F.exp("growth") - 1, 0.5)
+    out = met.groupBy(*HKEYS).agg(F.count(F.lit(1)).alias("samples"), (100 * F.sum(F.when(tie, 0.5).when(c("growth") < c("real"), 1.0).otherwise(0.0)) / F.count(F.lit(1))).alias("percentile"), value.alias("median_roi"), (F.exp(F.max("real")) - 1).alias("roi"))
+    return out
+
+
+def summary(path: DataFrame, bars: DataFrame, cost: float = 0.002, lookback: int = 7) -> DataFrame:
+    """One row a path: its ROI beside holding, a constant exposure, its own shifts and the momentum rule, and its deepest fall."""
+    rows = settled(replay(path, cost))
+    out = roi(rows).select(*HKEYS, "roi")
+    for name, other in (("hold_roi", buy_and_hold(path, cost)), ("constant_roi", constant_exposure(path, cost))):
+        out = out.join(other.select(*HKEYS, c("roi").alias(name)), HKEYS)
+    out = out.join(momentum(bars, lookback, cost).select("symbol", "interval", c("roi").alias("momentum_roi")), ["symbol", "interval"])
+    out = out.join(mistimed(path, cost).select(*HKEYS, "percentile"), HKEYS, "left").join(path_stats(rows), HKEYS, "left")
+    return out.select(*HKEYS, "roi", *[(c("roi") - c(f"{x}_roi")).alias(f"over_{x}") for x in ("hold", "constant", "momentum")], "percentile", "max_drawdown")

@@ -97,10 +97,10 @@ def intraday_daily(minutes: DataFrame, jump: float = 0.02) -> DataFrame:
     """For each UTC day: sum of squared returns, returns over `jump`, and the worst fall from the day's running high."""
     day = Window.partitionBy("symbol", "date").orderBy("open_time")
     rows = minutes.withColumn("date", F.to_date("open_time"))
-    r = F.ln("close") - F.ln(F.lag("close").over(day))
+    r = F.try_divide(c("close"), F.lag("close").over(day)) - 1
     fall = F.try_divide(c("close"), F.max("close").over(day.rowsBetween(Window.unboundedPreceding, 0))) - 1
     rows = rows.withColumns({"r": r, "fall": fall})
-    return rows.groupBy("symbol", "date").agg(F.sum(c("r") * c("r")).alias("realized_vol_1d"), F.count_if(F.abs("r") > jump).alias("jump_count"), F.min("fall").alias("max_intraday_drawdown"))
+    return rows.groupBy("symbol", "date").agg(F.coalesce(F.sum(c("r") * c("r")), F.lit(0.0)).alias("realized_vol_1d"), F.count_if(F.abs("r") > jump).alias("jump_count"), F.min("fall").alias("max_intraday_drawdown"))
 
 
 def build(bars: DataFrame, intraday: DataFrame | None = None) -> DataFrame:

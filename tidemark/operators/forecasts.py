@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from .series import chunked, done, indexed, over
+from .series import beside, carried, chunked, dealt, done, indexed, numbered, over
 
 c = F.col
 HKEYS = ["symbol", "interval", "horizon"]
@@ -37,8 +37,8 @@ def default_window(forward: int) -> int:
     return forward + max(730, 3 * forward)
 
 
-def baseline(rows: DataFrame, alpha: float = 1.0, horizons: dict[str, int] = d.HORIZONS, windows: dict[str, int] | None = None) -> DataFrame:
-    """The frequency forecast of every bar and horizon from labels known before it: bars i-W .. i-F-1.
+def counted(rows: DataFrame, horizons: dict[str, int] = d.HORIZONS, windows: dict[str, int] | None = None) -> DataFrame:
+    """Labels with n_up, n_down (counts by depth bin), longs, shorts and known of the labels known before each bar: bars i-W .. i-F-1.
 
     Counts are running sums inside a chunk, read twice by lag, so a row costs the same whatever the window.
     """
@@ -56,17 +56,34 @@ def baseline(rows: DataFrame, alpha: float = 1.0, horizons: dict[str, int] = d.H
     rows = done(rows.withColumn("n", counts)).drop("sums")
     k = len(d.DEPTH_BINS)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    rows = rows.withColumns({"n_up": F.slice("n", 1, k), "n_down": F.slice("n", k + 1, k)}).withColumns({"longs": total(c("n_up")), "shorts": total(c("n_down"))})
-    known = c("longs") + c("shorts")
-    trained = known >= d.MIN_TRAIN
+    rows = rows.withColumns({"n_up": F.slice("n", 1, k), "n_down": F.slice("n", k + 1, k)}).drop("n")
+    return rows.withColumns({"longs": total(c("n_up")), "shorts": total(c("n_down"))}).withColumn("known", c("longs") + c("shorts"))
+
+
+def smoothed(counts: DataFrame, alpha: float | Column = 1.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """The frequency forecast from counts; alpha may be a column, so that many forecasts come from one count."""
+    k = len(d.DEPTH_BINS)
+    trained = c("known") >= d.MIN_TRAIN
     bins = lambda a, n: F.transform(a, lambda x: d.laplace(x, n, k, alpha))
-    return rows.select(
-        *HKEYS, "open_time", "idx", "close", "forward", "fwd_return", "direction", "depth_bin", "target_time", trained.alias("trained"), known.alias("known"),
-        F.when(trained, d.laplace(c("longs"), known, 2, alpha)).alias("p_long"), F.when(trained, d.laplace(c("shorts"), known, 2, alpha)).alias("p_short"),
+    return counts.select(
+        *HKEYS, *also, "open_time", "idx", "close", "forward", "fwd_return", "direction", "depth_bin", "target_time", trained.alias("trained"), "known",
+        F.when(trained, d.laplace(c("longs"), c("known"), 2, alpha)).alias("p_long"), F.when(trained, d.laplace(c("shorts"), c("known"), 2, alpha)).alias("p_short"),
         F.when(trained, bins(c("n_up"), c("longs"))).alias("up"), F.when(trained, bins(c("n_down"), c("shorts"))).alias("down"),
     )
 
 
+def baseline(rows: DataFrame, alpha: float = 1.0, horizons: dict[str, int] = d.HORIZONS, windows: dict[str, int] | None = None) -> DataFrame:
+    """The frequency forecast of every bar and horizon from labels known before it."""
+    return smoothed(counted(rows, horizons, windows), alpha)
+
+
+def several(rows: DataFrame, runs: list[tuple[str, int, float]]) -> DataFrame:
+    """Forecasts of several runs (model, seed, alpha) from one count of the labels."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed"), F.lit(float(a)).alias("alpha")) for m, s, a in runs])
+    counts = counted(rows).withColumn("run", F.explode(each)).withColumns({"model": c("run.model"), "seed": c("run.seed")})
+    return smoothed(counts, c("run.alpha"), ("model", "seed"))
+
+
 def scored(forecasts: DataFrame) -> DataFrame:
     """The quality row of every trained forecast: status, scores, depth errors, flags and the reason in words."""
     rows = forecasts.where("trained")
@@ -84,7 +101,8 @@ def scored(forecasts: DataFrame) -> DataFrame:
     })
     rows = rows.withColumn("quality_score", F.when(ok, d.quality_score(c("correct"), c("confidence"), c("brier"), c("nll"), c("depth_abs_error_pct"))))
     flags = d.quality_flags(c("correct"), c("confidence"), c("entropy"), c("depth_abs_error_pct"), c("predicted_bin"), c("depth_bin"))
-    return rows.withColumns({"error_score": 100 - c("quality_score"), "flags": F.when(ok, flags)}).drop("side")
+    reason = d.quality_reason(c("status"), c("correct"), c("predicted"), c("direction"), c("confidence"), c("fwd_return"))
+    return rows.withColumns({"error_score": 100 - c("quality_score"), "flags": F.when(ok, flags), "reason": reason}).drop("side")
 
 
 def calibration_curve(quality: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
@@ -110,46 +128,105 @@ def metrics(quality: DataFrame, keys: list[str]) -> DataFrame:
     return out.join(ece(quality, keys), keys)
 
 
-def decisions(forecasts: DataFrame) -> DataFrame:
-    """edge, risk, expected move, gates from strictly earlier risks, and the verdict of every trained forecast."""
-    rows = forecasts.where("trained").withColumns({"edge": d.edge(c("p_long"), c("p_short")), "risk": d.risk(c("p_long"), c("p_short"), c("up"), c("down")), "expected": d.expected_move(c("p_long"), c("p_short"), c("up"), c("down"))})
-    earlier = Window.partitionBy(*HKEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"history": F.count("risk").over(earlier), "__q": F.percentile("risk", F.array(*map(F.lit, d.QUANTILES))).over(earlier)})
+def signals(forecasts: DataFrame) -> DataFrame:
+    """edge, risk and expected move of every trained forecast."""
+    return forecasts.where("trained").withColumns({"edge": d.edge(c("p_long"), c("p_short")), "risk": d.risk(c("p_long"), c("p_short"), c("up"), c("down")), "expected": d.expected_move(c("p_long"), c("p_short"), c("up"), c("down"))})
+
+
+def graded(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Gates from strictly earlier risks, and the verdict, of rows with edge, risk and expected move."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt(rows, *keys).withColumns({"history": F.count("risk").over(earlier), "__q": F.percentile("risk", F.array(*map(F.lit, d.QUANTILES))).over(earlier)})
     gates = [F.when(c("history") >= d.LEAST_HISTORY, F.element_at("__q", k + 1)).otherwise(F.lit(g)) for k, g in enumerate(d.STATIC_GATES)]
     rows = rows.withColumns({f"gate_{k}": g for k, g in enumerate(gates)}).drop("__q")
     return rows.withColumn("verdict", d.recommendation(c("edge"), c("risk"), F.abs("expected") > d.ROUND_TRIP_COST, [c(f"gate_{k}") for k in range(3)]))
 
 
-def exposure(graded: DataFrame) -> DataFrame:
+def decisions(forecasts: DataFrame) -> DataFrame:
+    return graded(signals(forecasts), HKEYS, "idx")
+
+
+def exposure(decided: DataFrame, policy: dict[str, float] | None = None) -> DataFrame:
     """Target share of each verdict, held through Hold, 0 before the first signal."""
-    shares = F.create_map(*[F.lit(x) for k, v in d.EXPOSURE.items() for x in (k, v)])
-    w = Window.partitionBy(*HKEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return graded.withColumn("exposure", F.coalesce(F.last(F.try_element_at(shares, c("verdict")), ignorenulls=True).over(w), F.lit(0.0)))
+    shares = F.create_map(*[F.lit(x) for k, v in (policy or d.EXPOSURE).items() for x in (k, v)])
+    rows = carried(decided, "last", {"exposure": F.try_element_at(shares, c("verdict"))}, HKEYS, "idx")
+    return rows.withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
 
 
 def weekly_windows(forecasts: DataFrame) -> DataFrame:
-    rows = forecasts.where("trained").withColumns({"edge": d.edge(c("p_long"), c("p_short")), "risk": d.risk(c("p_long"), c("p_short"), c("up"), c("down")), "expected": d.expected_move(c("p_long"), c("p_short"), c("up"), c("down"))})
+    rows = signals(forecasts)
     out = rows.groupBy(*HKEYS, F.date_trunc("week", "open_time").alias("monday")).agg(F.avg("edge").alias("edge"), F.avg("risk").alias("risk"), F.avg("expected").alias("expected"), F.count(F.lit(1)).alias("bars"))
     return out.withColumn("sunday", F.date_add("monday", 6))
 
 
-def replay(path: DataFrame, cost: float = 0.002, keys: list[str] = HKEYS) -> DataFrame:
-    """Growth of an exposure path: product of 1 + e_i r_(i+1) - |change of e_i| cost, less 1; ruin is -1."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    rows = path.where("close > 0").withColumns({"r": F.lead("close").over(w) / c("close") - 1, "turn": F.abs(c("exposure") - F.coalesce(F.lag("exposure").over(w), F.lit(0.0)))})
-    rows = rows.withColumn("f", 1 + c("exposure") * F.coalesce("r", F.lit(0.0)) - c("turn") * cost)
-    return rows
+def plan_windows(forecasts: DataFrame) -> DataFrame:
+    """Weekly windows graded in order by gates from the risks of earlier weeks, with the month of their Monday."""
+    return graded(weekly_windows(forecasts), HKEYS, "monday").withColumns({"month": F.date_format("monday", "yyyy-MM"), "cost_cleared": F.abs("expected") > d.ROUND_TRIP_COST})
+
+
+def replay(path: DataFrame, cost: float = 0.002, keys: list[str] = HKEYS, price: str = "next_close", order: str = "idx") -> DataFrame:
+    """path with pos, turn and f: exposure i is held into the price after the next, f = 1 + e_i r_(i+1) - |e_i - e_(i-1)| cost.
+
+    The last bar has no return: its f is null and its turnover is not paid. Bars with a price of 0 are passed over.
+    """
+    rows = beside(numbered(path, keys, order), {"later": lambda w: F.lead(price).over(w)}, keys, ahead=1)
+    rows = numbered(rows.where(c(price) > 0).drop("pos"), keys, order)
+    rows = beside(rows, {"held": lambda w: F.coalesce(F.lag("exposure").over(w), F.lit(0.0))}, keys, back=1)
+    rows = rows.withColumn("turn", F.when(c("later").isNotNull(), F.abs(c("exposure") - c("held"))))
+    return rows.withColumn("f", 1 + c("exposure") * (c("later") / c(price) - 1) - c("turn") * cost).drop("later", "held")
+
+
+def growth(f: Column) -> Column:
+    """Logarithm of a step's growth; a ruined path stays far below any other, and a bar without a step has none."""
+    return F.when(f.isNotNull(), F.ln(F.greatest(f, F.lit(1e-300))))
 
 
 def roi(rows: DataFrame, keys: list[str] = HKEYS) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.when(F.min("f") <= 0, -1.0).otherwise(F.exp(F.sum(F.ln(F.greatest("f", F.lit(1e-300))))) - 1).alias("roi"), F.avg("exposure").alias("mean_exposure"), F.sum("turn").alias("turnover"), F.count_if(c("turn") > 0).alias("trades"), F.count(F.lit(1)).alias("bars"))
+    """Return of replayed paths; -1 once a step takes all."""
+    value = F.when(F.min("f") <= 0, -1.0).otherwise(F.exp(F.coalesce(F.sum(growth(c("f"))), F.lit(0.0))) - 1)
+    return rows.groupBy(*keys).agg(value.alias("roi"), F.avg("exposure").alias("mean_exposure"), F.coalesce(F.sum("turn"), F.lit(0.0)).alias("turnover"), F.count_if(c("turn") > 0).alias("trades"), F.count(F.lit(1)).alias("bars"))
 
 
-def stability(quality: DataFrame) -> DataFrame:
-    out = quality.where("status = 'scored'").groupBy("symbol", "horizon", F.date_trunc("month", "open_time").alias("month")).agg(F.count(F.lit(1)).alias("samples"), F.avg("nll").alias("logloss"), F.avg("brier").alias("brier"), F.avg(c("correct").cast("double")).alias("accuracy"))
+def stability(quality: DataFrame, horizons: dict[str, int] = d.HORIZONS) -> DataFrame:
+    """Per symbol, month and horizon: samples and mean scores, sparse below five; a month that lacks a horizon has a row of nulls for it."""
+    by = quality.where("status = 'scored'").groupBy("symbol", "horizon", F.date_trunc("month", "open_time").alias("month")).agg(F.count(F.lit(1)).alias("samples"), F.avg("nll").alias("logloss"), F.avg("brier").alias("brier"), F.avg(c("correct").cast("double")).alias("accuracy"))
+    grid = by.select("symbol", "month").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    out = grid.join(by, ["symbol", "month", "horizon"], "left").fillna({"samples": 0})
     return out.withColumn("sparse", c("samples") < 5)
 
 
+def one_month(rows: DataFrame, month: str, limit: int = 5000) -> DataFrame:
+    """Rows of a calendar month (YYYY-MM), the first `limit` (1 to 5000) in time order, with how many matched and whether some are left out."""
+    found = rows.where(F.date_format("open_time", "yyyy-MM") == month)
+    n = found.agg(F.count(F.lit(1)).alias("matched"))
+    limit = max(1, min(limit, 5000))
+    return found.orderBy("open_time", "symbol", "horizon").limit(limit).crossJoin(F.broadcast(n)).withColumn("truncated", c("matched") > limit)  # one row
+
+
+def known_horizons(rows: DataFrame, horizons: dict[str, int] = d.HORIZONS) -> DataFrame:
+    """The rows of horizons that this build knows; raises where there are rows and none is known."""
+    known = rows.where(c("horizon").isin(list(horizons)))
+    if known.isEmpty() and not rows.isEmpty():
+        there = [r["horizon"] for r in rows.select("horizon").distinct().orderBy("horizon").limit(20).collect()]
+        raise ValueError(f"no known horizon among {', '.join(map(str, there))}; known are {', '.join(horizons)}")
+    return known
+
+
+def snapshots(quality: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
+    """quality with feat_ columns: the features of the first bar of the forecast's date, finite values only."""
+    w = Window.partitionBy("symbol", "date").orderBy("open_time")
+    finite = lambda n: F.when(F.abs(n) < float("inf"), c(n)).alias(f"feat_{n}")
+    first = features.withColumn("date", F.to_date("open_time")).withColumn("k", F.row_number().over(w)).where("k = 1")
+    return quality.withColumn("date", F.to_date("open_time")).join(first.select("symbol", "date", *map(finite, names)), ["symbol", "date"], "left").drop("date")
+
+
+def recommendations(rows: DataFrame, limit: int = 500) -> DataFrame:
+    """The best scored rows by quality score, then by edge, with whether some are left out."""
+    ok = rows.where("status = 'scored'").withColumn("edge", d.edge(c("p_long"), c("p_short")))
+    n = ok.agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    return ok.orderBy(c("quality_score").desc(), F.round(F.abs("edge"), 9).desc(), "open_time", "horizon", "symbol").limit(limit).crossJoin(F.broadcast(n))  # one row
+
+
 def cutoffs(bars: DataFrame) -> DataFrame:
     """The first bar of each calendar month serves that month."""
     return bars.groupBy("symbol", F.date_trunc("month", "open_time").alias("month")).agg(F.min("open_time").alias("cutoff"))
@@ -168,7 +245,7 @@ def training_slice(rows: DataFrame, first: int) -> DataFrame:
     run = rows.withColumns({"k1": F.sum("known").over(w), "u1": F.sum("up").over(w)}).join(starts, [*HKEYS, "part"])
     run = run.select("symbol", "horizon", "idx", "forward", "open_time", (c("k0") + c("k1")).alias("k"), (c("u0") + c("u1")).alias("u"))
     at = run.where(c("idx") >= first).groupBy("symbol", "horizon", "forward", F.date_trunc("month", "open_time").alias("month")).agg(F.min("idx").alias("at"))
-    window = c("forward") + F.greatest(F.lit(730), 3 * c("forward"))
+    window = d.ideal_window(c("forward"))
     ends = at.select("symbol", "horizon", "at", (c("at") - c("forward") - 1).alias("idx"), (c("at") - window - 1).alias("low"))
     upper = ends.join(run.select("symbol", "horizon", "idx", "k", "u"), ["symbol", "horizon", "idx"]).drop("idx").withColumnRenamed("low", "idx")
     lower = run.select("symbol", "horizon", "idx", c("k").alias("k_low"), c("u").alias("u_low"))
@@ -184,8 +261,20 @@ def match_bar(times: DataFrame, bars: DataFrame) -> DataFrame:
     return met.select("symbol", "at", F.coalesce("t1", "f.open_time").alias("bar_time"), F.coalesce("c1", "f.close").alias("close"))
 
 
-def runs(bars: DataFrame) -> DataFrame:
-    """The run catalogue: one run a symbol and year, with its slug."""
-    stamp = F.date_format(F.date_trunc("year", "open_time"), "yyyyMMdd'T'HHmmss")
-    rows = bars.select("symbol", F.lit("baseline").alias("model"), F.lit("1d").alias("interval"), stamp.alias("run_ts")).distinct()
-    return rows.withColumn("slug", F.concat_ws("_", "model", "interval", "run_ts"))
+def named_runs(forecasts: DataFrame) -> DataFrame:
+    """The catalogue of stored forecasts (symbol, model, interval, run_ts): one row a run, with its slug, rows and span."""
+    keys = ["symbol", "model", "interval", "run_ts"]
+    out = forecasts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
+    return out.withColumn("slug", F.concat_ws("_", "model", "interval", "run_ts"))
+
+
+def resolve(runs: DataFrame, symbol: str, model: str | None = None, interval: str | None = None, run_ts: str | None = None) -> DataFrame:
+    """The newest run that matches, or the named one; raises with the symbol's candidates where there is none."""
+    found = runs.where(c("symbol") == symbol)
+    for name, value in (("model", model), ("interval", interval), ("run_ts", run_ts)):
+        found = found.where(c(name) == value) if value else found
+    found = found.orderBy(c("run_ts").desc(), "model", "interval").limit(1)
+    if found.isEmpty():
+        near = [r["slug"] for r in runs.where(c("symbol") == symbol).orderBy(c("run_ts").desc(), "slug").limit(20).collect()]
+        raise ValueError(f"no run of {symbol} for {model or 'any model'}, {interval or 'any interval'}, {run_ts or 'newest'}; there are: {', '.join(near) or 'none'}")
+    return found

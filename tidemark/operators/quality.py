@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEYS
+from .series import KEYS, beside, indexed
 
 c = F.col
 
@@ -22,8 +22,8 @@ def ohlc_violations(bars: DataFrame) -> DataFrame:
 
 
 def gaps(bars: DataFrame, over_seconds: int) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy("open_time")
-    rows = bars.select(*KEYS, c("open_time").alias("until"), F.lag("open_time").over(w).alias("since"))
+    rows = beside(indexed(bars.select(*KEYS, "open_time")), {"since": lambda w: F.lag("open_time").over(w)}, KEYS, "idx", back=1)
+    rows = rows.select(*KEYS, c("open_time").alias("until"), "since")
     return rows.withColumn("seconds", F.unix_seconds("until") - F.unix_seconds("since")).where(c("seconds") > over_seconds)
 
 

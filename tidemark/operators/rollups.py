@@ -60,11 +60,21 @@ def first_wins(rows: DataFrame, ordinal: str) -> DataFrame:
 
 
 def latest(bars: DataFrame, n: int) -> DataFrame:
-    """The newest n bars (1 to 5000) of each series."""
+    """The newest n bars (1 to 5000) of each series; of bars with one time the last by close."""
+    once = Window.partitionBy("symbol", "open_time").orderBy(c("close").desc())
+    bars = bars.withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k")
     w = Window.partitionBy("symbol").orderBy(c("open_time").desc())
     return bars.withColumn("__k", F.row_number().over(w)).where(c("__k") <= max(1, min(n, 5000))).drop("__k")
 
 
+def ends(bars: DataFrame, n: int) -> DataFrame:
+    """The first and last n bars of each symbol, named head and tail (head where a bar is both)."""
+    last = latest(bars, n).select("symbol", "open_time", F.lit(True).alias("late"))
+    first = bars.withColumn("__k", F.row_number().over(Window.partitionBy("symbol").orderBy("open_time"))).where(c("__k") <= n).select("symbol", "open_time", F.lit(True).alias("early"))
+    met = bars.join(first.join(last, ["symbol", "open_time"], "full"), ["symbol", "open_time"])
+    return met.withColumn("part", F.when(c("early"), "head").otherwise("tail")).drop("early", "late")
+
+
 def symbol_parts(symbols: DataFrame, quotes: list[str]) -> DataFrame:
     pattern = "^(.+)(" + "|".join(sorted(quotes, key=lambda q: (-len(q), q))) + ")$"
     return symbols.select("symbol", F.regexp_extract("symbol", pattern, 1).alias("base"), F.regexp_extract("symbol", pattern, 2).alias("quote"))

@@ -7,6 +7,8 @@ after) that a bounded window can look at. Rows of the halo are dropped when the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,7 +18,21 @@ KEYS = ["symbol", "interval"]
 
 def indexed(bars: DataFrame, keys: list[str] = KEYS, order: str = "open_time", days: int = 32, out: str = "idx") -> DataFrame:
     """bars with `idx`, the row's number from 0 in its series in time order."""
-    rows = bars.withColumn("__part", F.floor(F.unix_seconds(order) / (86400 * days)))
+    return _counted(bars, keys, order, F.floor(F.unix_seconds(order) / (86400 * days)), out)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys (or evenly) to a stated number of partitions, which adaptive execution does not merge: for work that is heavy for its bytes."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str = "idx", out: str = "pos", size: int = CHUNK) -> DataFrame:
+    """rows with `pos`, gapless numbers from 0 in the order of a whole number of which a series may lack some."""
+    return _counted(rows, keys, order, F.floor(F.col(order) / size), out)
+
+
+def _counted(rows: DataFrame, keys: list[str], order: str, part: Column, out: str) -> DataFrame:
+    rows = rows.withColumn("__part", part)
     counts = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -24,23 +40,49 @@ def indexed(bars: DataFrame, keys: list[str] = KEYS, order: str = "open_time", d
     return rows.withColumn("__row", F.row_number().over(inside) - 1).join(starts, [*keys, "__part"]).withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__part", "__row", "__start")
 
 
-def chunked(rows: DataFrame, back: int, ahead: int = 0, size: int = CHUNK) -> DataFrame:
-    """rows (with idx) beside copies for the neighbouring chunks whose windows look `back` and `ahead` rows."""
+def carried(rows: DataFrame, kind: str, named: dict[str, Column], keys: list[str], order: str = "pos", size: int = CHUNK) -> DataFrame:
+    """rows with running values up to and including each row: of kind `sum`, `max`, or `last` (the last one that is known).
+
+    A value is found inside its chunk and joined to that of the chunks before, one row a chunk.
+    """
+    whole, running, joined = {
+        "sum": (F.sum, F.sum, lambda before, here: F.coalesce(before, F.lit(0)) + here),
+        "max": (F.max, F.max, F.greatest),
+        "last": (lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))), lambda v: F.last(v, ignorenulls=True), lambda before, here: F.coalesce(here, before)),
+    }[kind]
+    rows = rows.withColumns({"__part": F.floor(F.col(order) / size)} | {f"__v_{k}": v for k, v in named.items()})
+    chunks = rows.groupBy(*keys, "__part").agg(*[whole(f"__v_{k}").alias(f"__c_{k}") for k in named])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*keys, "__part", *[running(f"__c_{k}").over(before).alias(f"__b_{k}") for k in named])
+    inside = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumns({f"__h_{k}": running(f"__v_{k}").over(inside) for k in named}).join(chunks, [*keys, "__part"])
+    out = met.withColumns({k: joined(F.col(f"__b_{k}"), F.col(f"__h_{k}")) for k in named})
+    return out.drop("__part", *[f"__{x}_{k}" for x in "vbh" for k in named])
+
+
+def beside(rows: DataFrame, named: dict[str, Callable[[WindowSpec], Column]], keys: list[str], order: str = "pos", back: int = 0, ahead: int = 0) -> DataFrame:
+    """rows with columns that look at most `back` rows before and `ahead` rows after; each value takes the window."""
+    w = over(keys=keys, order=order)
+    return done(chunked(rows, back, ahead, order=order).withColumns({k: f(w) for k, f in named.items()}))
+
+
+def chunked(rows: DataFrame, back: int, ahead: int = 0, size: int = CHUNK, order: str = "idx") -> DataFrame:
+    """rows (numbered without gaps) beside copies for the neighbouring chunks whose windows look `back` and `ahead` rows."""
     size = max(size, back, ahead)
-    own, within = F.floor(F.col("idx") / size), F.col("idx") % size
+    own, within = F.floor(F.col(order) / size), F.col(order) % size
     places = [F.when(within >= size - back, own + 1)] * bool(back) + [F.when(within < ahead, own - 1)] * bool(ahead)
     if not places:
         return rows.withColumn("chunk", own).withColumn("own", F.lit(True))
     out = rows.withColumn("chunk", F.explode(F.array_compact(F.array(own, *places))))
-    return out.withColumn("own", F.col("chunk") == F.floor(F.col("idx") / size))
+    return out.withColumn("own", F.col("chunk") == F.floor(F.col(order) / size))
 
 
 def done(rows: DataFrame) -> DataFrame:
     return rows.where("own").drop("own", "chunk")
 
 
-def over(first: int | None = None, last: int = 0, keys: list[str] = KEYS) -> WindowSpec:
-    w = Window.partitionBy(*keys, "chunk").orderBy("idx")
+def over(first: int | None = None, last: int = 0, keys: list[str] = KEYS, order: str = "idx") -> WindowSpec:
+    w = Window.partitionBy(*keys, "chunk").orderBy(order)
     return w if first is None else w.rowsBetween(first, last)
 
 
@@ -55,13 +97,14 @@ MEMORY = 511
 
 
 def ewm(x: Column, span: int, keys: list[str] = KEYS) -> Column:
-    """Recursive exponentially weighted mean with alpha = 2 / (span + 1), seeded with the series' first value.
+    """Recursive exponentially weighted mean with alpha = 2 / (span + 1), seeded with the first value that is not null.
 
-    In a chunk with MEMORY rows of halo, y_p = b^p (x_0 + sum a x_i b^-i) with p the place in the chunk: one running sum.
+    Nulls are passed over and have no mean themselves. In a chunk with MEMORY rows of halo, with p the number of values
+    before, y_p = b^p (x_0 + sum a x_i b^-i): one running sum.
     """
     a = 2.0 / (span + 1)
     w = over(Window.unboundedPreceding, 0, keys)
-    p = (F.col("idx") - F.min("idx").over(w)).cast("double")
+    p = (F.count(x).over(w) - 1).cast("double")
     weight = F.when(p == 0, F.lit(1.0)).otherwise(F.lit(a))
     grown = F.sum(x * weight * F.pow(F.lit(1 / (1 - a)), p)).over(w)
-    return grown * F.pow(F.lit(1 - a), p)
+    return F.when(x.isNotNull(), grown * F.pow(F.lit(1 - a), p))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators import features, forecasts, rollups
+from ..functions import domain as d
+from ..operators import features, forecasts
 from ..sources import candles
-from ..sources.tables import BARS, daily_bars, tick_bars
-from . import evaluation, market
-from .evaluation import FC, LAB, QUALITY
+from ..sources.tables import BARS, daily_bars, scratch, table, tick_bars
+from . import evaluation
+from .evaluation import COUNTED, FC, LAB, QUALITY, several
 from .market import FEATURES, HOURS, c, rounded, select
 
 FOUND: dict = {}
@@ -25,23 +23,45 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark) -> str:
-    """A new folder under the cluster's shared one, or a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base}/{uuid.uuid4().hex}"
+def candle_lines(spark, sf_dir, folder: str) -> None:
+    """Hourly bars as candle files, one a symbol: times in milli- or microseconds, and lines that are too short or hold no numbers."""
+    rows = tick_bars(spark, sf_dir, "hour")
+    at = F.unix_millis("open_time") * F.when(F.hour("open_time") % 2 == 0, 1).otherwise(1000)
+    parts = [at.cast("string"), *[c(x).cast("string") for x in ("open", "high", "low", "close", "volume")], (F.unix_millis("open_time") + 3_599_999).cast("string"), c("quote_asset_volume").cast("string"), c("num_trades").cast("string")]
+    good = rows.select("symbol", F.concat_ws(",", *parts).alias("value"))
+    bad = rows.where(F.hour("open_time") == 5).select("symbol", F.explode(F.array(F.concat_ws(",", *parts[:4]), F.concat(parts[0], F.lit(",1,2,x,1,1")), F.lit("open_time,open,high,low,close,volume"))).alias("value"))
+    good.unionByName(bad).repartition("symbol").write.partitionBy("symbol").text(folder)
 
 
-@query(select(HOURS, "hours", "symbol, open_time", "open, high, low, close, volume"))
+@query(select(HOURS, "hours", "symbol, open_time, num_trades", "open, high, low, close, volume"))
 def ingest_bars(spark, sf_dir):
-    """Hourly bars written as candle lines and read back."""
+    """Candle files read back: broken lines are skipped."""
     folder = scratch(spark)
-    rows = tick_bars(spark, sf_dir, "hour")
-    line = F.concat_ws(",", (F.unix_millis("open_time")).cast("string"), *[c(x).cast("string") for x in ("open", "high", "low", "close", "volume")], F.lit("x"))
-    rows.select("symbol", line.alias("value")).write.partitionBy("symbol").text(folder)
-    symbols = spark.read.text(folder)
-    f = F.split("value", ",")
-    bars = symbols.select("symbol", rollups.normalize_time(f[0].cast("bigint")).alias("open_time"), *[f[k + 1].try_cast("double").alias(x) for k, x in enumerate(("open", "high", "low", "close", "volume"))])
-    return bars.dropna(subset=["open", "close"])
+    candle_lines(spark, sf_dir, folder)
+    return candles.ingest(spark, folder, "1h").select("symbol", "open_time", "num_trades", "open", "high", "low", "close", "volume")
+
+
+@query("SELECT DISTINCT event_type AS symbol, event_type NOT IN ('click', 'error') AS ok FROM events")
+def verify_manifest(spark, sf_dir):
+    """Candle files against a manifest that lacks one of them and has a wrong digest for another."""
+    folder, manifest = scratch(spark), scratch(spark)
+    candle_lines(spark, sf_dir, folder)
+    lines = candles.digests(spark, folder).where(~c("name").contains("symbol=click"))
+    digest = F.when(c("name").contains("symbol=error"), F.reverse("digest")).otherwise(c("digest"))
+    lines.select(F.concat_ws("  ", F.upper(digest), "name").alias("value")).write.text(manifest)
+    return candles.verify_lines(spark, folder, manifest).groupBy(F.regexp_extract("name", "symbol=([^/]+)", 1).alias("symbol")).agg(F.bool_and("ok").alias("ok"))
+
+
+@query("SELECT DISTINCT event_type || 'USDT' AS symbol FROM events WHERE event_type NOT IN ('error', 'view')")
+def spot_symbols(spark, sf_dir):
+    """Trading spot symbols from an exchange's document, in which one is halted and one may not be traded on the spot."""
+    folder = scratch(spark)
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    each = kinds.withColumn("quote", F.explode(F.array(F.lit("USDT"), F.lit("BTC"))))
+    permissions = F.when(c("event_type") == "view", F.array(F.lit("MARGIN"))).when(c("event_type") == "click", F.array(F.lit("SPOT"), F.lit("MARGIN")))
+    one = F.struct(F.concat("event_type", "quote").alias("symbol"), F.when(c("event_type") == "error", "HALT").otherwise("TRADING").alias("status"), c("quote").alias("quoteAsset"), permissions.alias("permissions"))
+    each.agg(F.to_json(F.struct(F.collect_list(one).alias("symbols"))).alias("value")).write.text(folder)  # one entry a symbol
+    return candles.spot_symbols(spark, folder, "USDT")
 
 
 @query(select(BARS, "bars WHERE open_time >= timestamp '1998-02-01' AND open_time < timestamp '1998-05-01'", "symbol, open_time", "close"))
@@ -84,30 +104,109 @@ def realized_outcome(spark, sf_dir):
     return evaluation.quality(spark, sf_dir).where("status = 'scored'").select("symbol", "horizon", "open_time", "target_time", "fwd_return")
 
 
-RUNS = "runs AS (SELECT DISTINCT symbol, 'baseline' AS model, '1d' AS interval, strftime(date_trunc('year', open_time), '%Y%m%dT%H%M%S') AS run_ts FROM bars)"
+@query(select(f"{FC}", "fc WHERE trained", "symbol, horizon, open_time, list_extract(up, 1)::double = list_extract(up, 1) AS complete", "p_long, p_short"))
+def read_prediction_lines(spark, sf_dir):
+    """Forecasts written as JSON lines, beside lines that are broken, and read back."""
+    folder = scratch(spark)
+    names = list(d.HORIZONS)
+    rows = evaluation.baseline(spark, sf_dir).where("trained")
+    candles.write_prediction_lines(rows, folder, names, d.DEPTH_BINS)
+    rows.select("symbol").distinct().select(F.concat(F.lit('{"open_time": '), "symbol").alias("value")).write.mode("append").text(folder)
+    out = candles.read_prediction_lines(spark, folder, names)
+    return out.select("symbol", "horizon", "open_time", (F.size("up") == len(d.DEPTH_BINS)).alias("complete"), "p_long", "p_short")
+
+
+@query(select(QUALITY, "q", "symbol, horizon, open_time, status, array_to_string(flags; '|') AS flags", "confidence, quality_score").replace(";", ","))
+def write_quality(spark, sf_dir):
+    """The quality table written and read back."""
+    folder = scratch(spark)
+    candles.write_quality(evaluation.quality(spark, sf_dir), folder)
+    return spark.read.parquet(folder).select("symbol", "horizon", "open_time", "status", "flags", "confidence", "quality_score")
+
+
+@query(select(QUALITY, "(SELECT * FROM q WHERE status = 'scored' ORDER BY 100 - quality_score DESC, open_time, horizon, symbol LIMIT 100)", "symbol, horizon, predicted, direction", "quality_score, 100 - quality_score AS error_score"))
+def write_worst(spark, sf_dir):
+    """The worst forecasts as CSV, read back."""
+    folder = scratch(spark)
+    candles.write_worst(evaluation.quality(spark, sf_dir), folder)
+    rows = spark.read.option("header", True).csv(folder)
+    return rows.select("symbol", "horizon", "predicted", "direction", *[c(x).cast("double").alias(x) for x in ("quality_score", "error_score")])
+
+
+SNAP = ["rsi_14", "log_return_7b", "rolling_vol_14"]
+
+
+@query(select(f"{FEATURES}{QUALITY[len(BARS) :]}, sn AS (SELECT q.symbol, q.horizon, q.open_time, {', '.join(f'f3.{x} AS feat_{x}' for x in SNAP)} FROM q LEFT JOIN f3 ON f3.symbol = q.symbol AND f3.open_time = q.open_time)", "sn", "symbol, horizon, open_time", ", ".join(f"feat_{x}" for x in SNAP)))
+def snapshot_join(spark, sf_dir):
+    """Scored forecasts beside the features of their date's first bar."""
+    rows = evaluation.quality(spark, sf_dir).select("symbol", "horizon", "open_time")
+    return forecasts.snapshots(rows, features.build(daily_bars(spark, sf_dir)), SNAP)
+
+
+#: Stored runs: both models, and the first again a month later without one symbol.
+STAMPS = {"a1": "20240101T000000", "a20": "20240102T000000"}
+AGAIN = "20240201T000000"
+
+
+def stored_runs(spark, sf_dir):
+    """Forecasts of three runs written and read back."""
+    folder = scratch(spark)
+    stamp = F.create_map(*[F.lit(x) for k, v in STAMPS.items() for x in (k, v)])
+    rows = evaluation.two_models(spark, sf_dir).where("trained").select("symbol", "model", "interval", "horizon", "open_time", "p_long", "p_short").withColumn("run_ts", stamp[c("model")])
+    again = rows.where("model = 'a1' and symbol <> 'N'").withColumn("run_ts", F.lit(AGAIN))
+    candles.write_forecasts(rows.unionByName(again), folder)
+    return candles.read_forecasts(spark, folder)
+
+
+STORED = f"""{COUNTED}, {several('tw', evaluation.TWO_RUNS)}, sr0 AS (SELECT symbol, model, interval, horizon, open_time, CASE model WHEN 'a1' THEN '{STAMPS['a1']}' ELSE '{STAMPS['a20']}' END AS run_ts FROM tw WHERE trained),
+sr AS (SELECT * FROM sr0 UNION ALL SELECT symbol, model, interval, horizon, open_time, '{AGAIN}' FROM sr0 WHERE model = 'a1' AND symbol <> 'N'), runs AS (SELECT symbol, model, interval, run_ts, count(*) AS rows, min(open_time) AS first, max(open_time) AS last, model || '_' || interval || '_' || run_ts AS slug FROM sr GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"WITH {BARS}, {RUNS} SELECT symbol, model, interval, run_ts, model || '_' || interval || '_' || run_ts AS slug FROM runs")
+@query(f"WITH {STORED} SELECT symbol, model, interval, run_ts, rows, first, last, slug FROM runs")
 def list_runs(spark, sf_dir):
-    return forecasts.runs(daily_bars(spark, sf_dir))
+    return forecasts.named_runs(stored_runs(spark, sf_dir)).orderBy(c("run_ts").desc())
 
 
-@query(f"WITH {BARS}, {RUNS} SELECT symbol, max(run_ts) AS run_ts FROM runs GROUP BY symbol")
+@query(f"WITH {STORED}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY run_ts DESC) AS k FROM runs) SELECT symbol, model, run_ts, 'newest' AS asked FROM k WHERE k = 1 AND symbol IN ('A', 'N') UNION ALL SELECT symbol, model, run_ts, 'a1' FROM runs WHERE symbol = 'N' AND model = 'a1'")
 def resolve_run(spark, sf_dir):
-    return forecasts.runs(daily_bars(spark, sf_dir)).groupBy("symbol").agg(F.max("run_ts").alias("run_ts"))
+    """The newest run of two symbols, and one symbol's run of a model."""
+    runs = forecasts.named_runs(stored_runs(spark, sf_dir))
+    asked = [("A", None, "newest"), ("N", None, "newest"), ("N", "a1", "a1")]
+    parts = [forecasts.resolve(runs, s, m).select("symbol", "model", "run_ts", F.lit(a).alias("asked")) for s, m, a in asked]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {STORED} SELECT symbol, slug, model, interval, run_ts, true AS readable FROM runs")
+def run_slug(spark, sf_dir):
+    """Slugs of stored runs, taken apart again; a name with unsafe characters is refused."""
+    runs = forecasts.named_runs(stored_runs(spark, sf_dir)).withColumn("p", d.slug_parts(c("slug")))
+    return runs.select("symbol", "slug", "p.model", "p.interval", "p.run_ts", (c("p").isNotNull() & d.slug_parts(F.concat(F.lit("../"), "slug")).isNull()).alias("readable"))
 
 
-@query(f"WITH {BARS}, {RUNS}, der AS (SELECT DISTINCT symbol, strftime(date_trunc('year', open_time) + interval 1 year, '%Y%m%dT%H%M%S') AS run_ts FROM bars) SELECT symbol, run_ts FROM der ANTI JOIN runs USING (symbol, run_ts)")
+@query(f"WITH {STORED} SELECT symbol, model, run_ts, horizon, count(*) AS rows FROM sr WHERE run_ts = '{AGAIN}' GROUP BY ALL")
 def orphan_artifacts(spark, sf_dir):
-    bars = daily_bars(spark, sf_dir)
-    made = bars.select("symbol", F.date_format(F.date_trunc("year", "open_time") + F.expr("interval 1 year"), "yyyyMMdd'T'HHmmss").alias("run_ts")).distinct()
-    return made.join(forecasts.runs(bars), ["symbol", "run_ts"], "left_anti")
+    """Tables derived from all stored runs, after the newest of them was deleted."""
+    rows = stored_runs(spark, sf_dir)
+    derived = rows.groupBy("symbol", "model", "run_ts", "horizon").agg(F.count(F.lit(1)).alias("rows"))
+    return derived.join(forecasts.named_runs(rows.where(c("run_ts") != AGAIN)), ["symbol", "model", "run_ts"], "left_anti")
 
 
-@query(f"WITH {BARS}, {RUNS} SELECT model || '_' || interval || '_' || run_ts AS slug, ('0x' || substr(md5('7|' || model || '|' || symbol || '|' || substr(run_ts, 1, 6)), 1, 8))::bigint AS seed, symbol FROM runs")
+@query(f"WITH {STORED} SELECT DISTINCT symbol, model, horizon, date_trunc('month', open_time)::timestamp AS month, ('0x' || substr(md5('7|' || model || '|' || symbol || '|' || horizon || '|' || strftime(open_time, '%Y%m')), 1, 8))::bigint AS seed FROM sr")
 def seed_key(spark, sf_dir):
-    rows = forecasts.runs(daily_bars(spark, sf_dir))
-    return rows.select("slug", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("7"), "model", "symbol", F.substring("run_ts", 1, 6))), 1, 8), 16, 10).cast("long").alias("seed"), "symbol")
+    """A seed for every refit of the stored runs, from the base seed, model, symbol, horizon and month alone."""
+    rows = stored_runs(spark, sf_dir).select("symbol", "model", "horizon", F.date_trunc("month", "open_time").alias("month")).distinct()
+    name = F.concat_ws("|", F.lit("7"), "model", "symbol", "horizon", F.date_format("month", "yyyyMM"))
+    return rows.withColumn("seed", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"))
+
+
+@query(f"WITH {FC}, b AS (SELECT DISTINCT symbol, horizon, unnest({d.DEPTH_BINS}) AS bin FROM fc WHERE trained), e AS (SELECT *, split_part(replace(bin, '+', ''), '-', 1)::double AS low FROM b) SELECT symbol, horizon, bin, low, CASE WHEN bin LIKE '%+' THEN low * 1.25 ELSE (low + split_part(bin, '-', 2)::double) / 2 END AS midpoint, low >= 13 AS large FROM e")
+def depth_scheme(spark, sf_dir):
+    """The depth bins that stored forecasts name, with their lower edge, midpoint and whether they hold large moves."""
+    folder = scratch(spark)
+    names = list(d.HORIZONS)
+    candles.write_prediction_lines(evaluation.baseline(spark, sf_dir).where("trained"), folder, names, d.DEPTH_BINS)
+    rows = candles.read_prediction_lines(spark, folder, names).select("symbol", "horizon", F.explode(F.map_keys("up")).alias("bin")).distinct()
+    return rows.select("symbol", "horizon", "bin", d.bin_lower(c("bin")).alias("low"), d.bin_midpoint(c("bin")).alias("midpoint"), (d.bin_lower(c("bin")) >= d.LARGE_MOVE).alias("large"))
 
 
 def queries() -> dict:

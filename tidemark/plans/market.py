@@ -308,9 +308,9 @@ for _name, _columns in NAMES.items():
     _feature_query(_name, _columns)
 _feature_query("relative_features", RELATIVE)
 
-INTRADAY = f"""{MINUTES}, x AS (SELECT symbol, open_time::date AS date, ln(close) - ln(lag(close) OVER (PARTITION BY symbol, open_time::date ORDER BY open_time)) AS r,
+INTRADAY = f"""{MINUTES}, x AS (SELECT symbol, open_time::date AS date, close / lag(close) OVER (PARTITION BY symbol, open_time::date ORDER BY open_time) - 1 AS r,
  close / max(close) OVER (PARTITION BY symbol, open_time::date ORDER BY open_time) - 1 AS fall FROM minutes),
-intra AS (SELECT symbol, date, sum(r * r) AS realized_vol_1d, count_if(abs(r) > 0.02)::bigint AS jump_count, min(fall) AS max_intraday_drawdown FROM x GROUP BY 1, 2)"""
+intra AS (SELECT symbol, date, coalesce(sum(r * r), 0) AS realized_vol_1d, count_if(abs(r) > 0.02)::bigint AS jump_count, min(fall) AS max_intraday_drawdown FROM x GROUP BY 1, 2)"""
 
 
 @query(select(INTRADAY, "intra", "symbol, date::varchar AS date, jump_count", "realized_vol_1d, max_intraday_drawdown"))
@@ -344,11 +344,61 @@ def chart_rows(spark, sf_dir):
     return rows.where(finite("open") & finite("high") & finite("low") & finite("close") & finite("volume")).select("symbol", "open_time", *[F.when(finite(x), c(x)).alias(x) for x in ("close", "rsi_14", "macd_hist")])
 
 
-@query("SELECT i AS interval, n AS horizon, greatest(1, round_even(k * 1440.0 / m, 0))::bigint AS steps FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in d.INTERVALS.items()) + ") a(i, m) CROSS JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in d.HORIZONS.items()) + ") b(n, k) WHERE EXISTS (SELECT 1 FROM events)")
+MANY_SERIES = f"""{HOURS}, u AS ({' UNION ALL '.join(f"SELECT DISTINCT '{i}' AS interval, symbol, {b} AS open_time FROM hours" for i, b in MANY)}), se AS (SELECT symbol, interval, count(*) AS bars FROM u GROUP BY 1, 2),
+im AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in d.INTERVALS.items())}) a(interval, m)), hm AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in d.HORIZONS.items())}) b(horizon, k))"""
+
+
+@query(f"WITH {MANY_SERIES}, st AS (SELECT symbol, interval, horizon, bars, greatest(1, round_even(k * 1440.0 / m, 0))::bigint AS steps FROM se JOIN im USING (interval) CROSS JOIN hm) SELECT symbol, interval, horizon, steps, greatest(0, bars - steps)::bigint AS labelled FROM st")
 def interval_steps(spark, sf_dir):
-    """Steps of every horizon at every interval, for the horizons of a table with rows."""
-    some = tables.table(spark, sf_dir, "events").limit(1).select(F.explode(F.array(*map(F.lit, d.INTERVALS))).alias("interval"))
-    return some.crossJoin(d.horizons(spark)).select("interval", F.col("horizon"), d.interval_steps(c("forward"), c("interval")).alias("steps"))
+    """Steps of every horizon in every series that the ticks hold, and the bars of it whose label lies inside."""
+    bars = rollups.rollup_many(tick_bars(spark, sf_dir, "hour"), [i for i, _ in MANY])
+    series_ = bars.groupBy("symbol", "interval").agg(F.count(F.lit(1)).alias("bars"))
+    rows = series_.crossJoin(d.horizons(spark)).withColumn("steps", d.interval_steps(c("forward"), c("interval")))
+    return rows.select("symbol", "interval", "horizon", "steps", F.greatest(F.lit(0), c("bars") - c("steps")).cast("long").alias("labelled"))
+
+
+RAW = """rw AS (SELECT event_type AS symbol, '1m' AS interval, epoch_ms(date_trunc('minute', ts)) AS t, value AS price, event_id FROM events)"""
+
+
+@query(f"WITH {RAW}, fw AS (SELECT symbol, interval, t, arg_min(price, event_id) AS close FROM rw GROUP BY 1, 2, 3) SELECT symbol, make_timestamp(t * 1000) AS open_time, round(close + {SHIFT}, 6) + 0.0 AS close FROM fw")
+def first_wins(spark, sf_dir):
+    """Ticks as candles of their minute, ingested in the order of their id: of those of one minute the first counts."""
+    rows = tables.ticks(spark, sf_dir).withColumns({"interval": F.lit("1m"), "open_time": rollups.normalize_time(F.unix_millis(F.date_trunc("minute", "open_time"))), "close": c("price")})
+    return rollups.first_wins(rows, "event_id").select("symbol", "open_time", "close")
+
+
+@query(f"WITH {BARS}, o AS (SELECT symbol, open_time, close, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS a, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS z FROM bars) SELECT symbol, open_time, round(close + {SHIFT}, 6) + 0.0 AS close, CASE WHEN a <= 5 THEN 'head' ELSE 'tail' END AS part FROM o WHERE a <= 5 OR z <= 5")
+def profile_rows(spark, sf_dir):
+    """First and last five bars of each symbol."""
+    return rollups.ends(daily_bars(spark, sf_dir), 5).select("symbol", "open_time", "close", "part")
+
+
+@query("SELECT k AS days, CASE WHEN k = 364 THEN '1 year' WHEN k = 7 THEN '1 week' WHEN k % 7 = 0 THEN (k // 7)::varchar || ' weeks' ELSE k::varchar || ' days' END AS label, count(*) AS orders FROM (SELECT greatest(1, date_diff('day', timestamp '1995-01-01', o_orderdate) % 400) AS k FROM orders) GROUP BY 1, 2")
+def horizon_label(spark, sf_dir):
+    """Horizons of as many days as orders are old, in words."""
+    days = F.greatest(F.lit(1), F.date_diff(c("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) % 400).cast("long")
+    return tables.table(spark, sf_dir, "orders").select(days.alias("days")).groupBy("days").agg(F.count(F.lit(1)).alias("orders")).select("days", d.horizon_label(c("days")).alias("label"), "orders")
+
+
+@query(f"""WITH v AS (SELECT symbol, day, {", ".join(f"coalesce(sum(CASE WHEN value BETWEEN {a} AND {b} THEN value - 100 END), 0) AS p{k}" for k, (a, b) in enumerate(((0, 120), (120, 240), (240, 500))))} FROM (SELECT event_type AS symbol, ts::date AS day, value FROM events) GROUP BY 1, 2),
+w AS (SELECT *, greatest(p0, 0) + greatest(p1, 0) + greatest(p2, 0) AS s FROM v) SELECT symbol, day::varchar AS day, {", ".join(f"round(CASE WHEN s > 1e-12 THEN greatest(p{k}, 0) / s ELSE 1.0 / 3 END + {SHIFT}, 6) + 0.0 AS p{k}" for k in range(3))} FROM w""")
+def normalize_probs(spark, sf_dir):
+    """Daily sums of values in three ranges, less 100 each, read as weights: negative ones count as 0."""
+    part = lambda a, b: F.coalesce(F.sum(F.when(c("price").between(a, b), c("price") - 100)), F.lit(0.0))
+    rows = tables.ticks(spark, sf_dir).groupBy("symbol", F.to_date("open_time").cast("string").alias("day")).agg(part(0, 120).alias("a"), part(120, 240).alias("b"), part(240, 500).alias("e"))
+    rows = rows.withColumn("p", d.normalized(F.array("a", "b", "e"), 3))
+    return rows.select("symbol", "day", *[c("p")[k].alias(f"p{k}") for k in range(3)])
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS open_time FROM events WHERE event_id % 5 <> 4")
+def bar_key(spark, sf_dir):
+    """Times written in four ISO forms, and some that are none, read as instants."""
+    at = c("ts").cast("timestamp")
+    iso = lambda pattern: F.date_format(at, pattern)
+    kind = c("event_id") % 4
+    text = F.when(kind == 0, iso("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 1, iso("yyyy-MM-dd'T'HH:mm:ss'.000+00:00'")).when(kind == 2, iso("yyyy-MM-dd HH:mm:ss")).otherwise(iso("yyyy-MM-dd"))
+    rows = tables.table(spark, sf_dir, "events").select("event_id", d.bar_key(F.when(c("event_id") % 5 == 4, F.lit("no time")).otherwise(text)).alias("open_time"))
+    return rows.where("open_time is not null").select("event_id", c("open_time").cast("timestamp_ntz").alias("open_time"))
 
 
 def queries() -> dict:
