@@ -692,3 +692,59 @@ def test_pipeline_stages_and_run(spark, sf, tmp_path):
         if k == 4:
             assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert p.run(spark, sf).count() == docs.count()
+
+
+# independent checks
+
+
+def lz_phrases(text):
+    """The phrases of a text by the definition: each the longest phrase met before plus one character."""
+    met, i = set(), 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and text[i : i + n] in met:
+            n += 1
+        if i + n > len(text):
+            break
+        met.add(text[i : i + n])
+        i += n
+    return met
+
+
+def test_phrases_by_their_definition(texts):
+    for text in [*list(texts.values())[:60], "", "a", "aaaaaaa", "abababab é漢é漢", "x" * 500]:
+        seen: dict = {}
+        fingerprints.parse(seen, "", text)
+        assert set(seen) == lz_phrases(text)
+
+
+def test_fit_never_sees_held_out_labels(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: taught.append(list(zip(texts, toxic, strict=True))) or {"constant": np.zeros(1)})
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2}
+    for flip in (0, 1):
+        labels = spark.createDataFrame([(i, 0, int((i % 3 == 0) ^ bool(flip and i in held))) for i in range(400)], "doc_id long, quality int, toxic int")
+        toxicity.fit(docs, labels)
+    assert sorted(taught[0]) == sorted(taught[1]) and not {t for t, _ in taught[0]} & {f"text number {i}" for i in held}
+    assert len(taught[0]) == 400 - len(held)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["key", "copy", "row_hash", "place", "spans", "found_id", "full_size", "first_ids", "n_sentences"]
+    rows = [(i, f"Some text of number {i % 3} and more of it here. " * 5, "ab"[i % 2], *([i] * len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for stage in (exact_dedup.dedup, near_dedup.dedup, mixing.mixed, substring_dedup.cleaned):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r[n] == r["doc_id"] for r in out.collect() for n in names)
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and (docs is odd or out.count() == 0), name
+    assert corpus_pipeline.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
