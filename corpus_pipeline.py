@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: toxic texts out, copies out, near copies out, sources mixed, sequences packed."""
+"""A training corpus from raw documents: toxic texts out, copies out, near copies out, sources mixed, sequences packed.
+
+Defined cases are those of the operators: null, empty and blank texts pass the first three stages (of equal ones one stays) and are
+taken by none in the mix; rows that repeat a doc_id stay while their texts differ; empty tables give empty tables; other columns,
+whatever their names, are carried up to the last stage.
+"""
 
 from __future__ import annotations
 
