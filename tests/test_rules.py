@@ -182,3 +182,13 @@ def test_departures_draw_survivors_again(spark):
     got = {r["model"]: r for r in significance.departures(df, study.RUN, 400, 1000).collect()}
     assert got["good"]["p_precise"] < 0.01 and got["good"]["q_precise"] < 0.05 and got["good"]["p_double_block"] is not None
     assert got["coin"]["q_value"] > 0.05 and got["coin"]["p_precise"] is None
+
+
+def test_block_sums_reach_the_draws_either_way(spark, monkeypatch):
+    rows = [("A", 3, i, float(i % 2)) for i in range(60)] + [("N", 7, i, float(i % 3 == 0)) for i in range(75)] + [("R", 30, i, 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "symbol string, forward int, pos long, x double")
+    told = lambda: sorted(map(tuple, significance.resampled(df, ["symbol"], ["x"], 50).select("symbol", "b", "n", "x").collect()))
+    near = told()
+    monkeypatch.setattr(significance, "LOOKUP_VALUES", 0)
+    assert near == told()
+    assert len(near) == 100 and {r[0] for r in near} == {"A", "N"}  # R has fewer than ten blocks

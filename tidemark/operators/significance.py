@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
-from .series import carried, numbered
+from .series import carried, dealt, numbered
 
 c = F.col
 #: Draws of an interval, of a p-value, and of the p-values that survive a correction; blocks that a series has at least.
 RESAMPLES, P_RESAMPLES, PRECISE_RESAMPLES, LEAST_BLOCKS = 2000, 20_000, 200_000, 10
+#: Values (rows times columns, some 50 MB) up to which the block sums go to the draws; beyond it the draws go to them.
+LOOKUP_VALUES = 4_000_000
 CHANCE, DISCOVERIES = 0.5, 0.05
 SERIES = ["symbol", "horizon"]
 
@@ -29,7 +31,7 @@ def resampled(rows: DataFrame, keys: list[str], values: list[str], resamples: in
     lookup whatever the block's length. Series of fewer than LEAST_BLOCKS blocks have no rows.
     """
     base = rows.groupBy(*keys).agg((F.max("forward") * stretch).cast("long").alias("block"), F.count(F.lit(1)).alias("n"))
-    able = base.where(c("n") / c("block") >= LEAST_BLOCKS).withColumn("slots", F.ceil(c("n") / c("block")))
+    able = settled(base.where(c("n") / c("block") >= LEAST_BLOCKS).withColumn("slots", F.ceil(c("n") / c("block"))))
     sums = settled(carried(rows, "sum", {f"upto_{v}": c(v) for v in values}, keys).select(*keys, "pos", *values, *[f"upto_{v}" for v in values]))
     low = sums.join(able, keys).where(c("pos") <= c("n") - c("block")).withColumn("whole_end", c("pos") + c("block") - 1)
     low = low.withColumn("short_end", c("pos") + c("n") - (c("slots") - 1) * c("block") - 1)
@@ -37,10 +39,12 @@ def resampled(rows: DataFrame, keys: list[str], values: list[str], resamples: in
         low = low.join(sums.select(*keys, c("pos").alias(f"{name}_end"), *[c(f"upto_{v}").alias(f"{name}_{v}") for v in values]), [*keys, f"{name}_end"])
     starts = low.select(*keys, c("pos").alias("start"), *[(c(f"{name}_{v}") - c(f"upto_{v}") + c(v)).alias(f"{name}_{v}") for name in ("whole", "short") for v in values])
     # The few rows of `able` would leave all draws to one task, so the resamples are dealt out before their slots are made.
-    draws = able.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(*keys, "b").withColumn("slot", F.explode(F.sequence(F.lit(0), (c("slots") - 1).cast("int"))))
+    draws = dealt(able.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))), *keys, "b").withColumn("slot", F.explode(F.sequence(F.lit(0), (c("slots") - 1).cast("int"))))
     name = F.concat_ws("|", *[c(k).cast("string") for k in keys], c("b").cast("string"), c("slot").cast("string"))
     draws = draws.withColumn("start", F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), c("n") - c("block") + 1))
-    met = draws.join(starts.hint("shuffle_hash"), [*keys, "start"])  # a row for each start of a series; draws need no sort
+    size = (able.agg(F.sum(c("n") - c("block") + 1)).first()[0] or 0) * (len(keys) + 1 + 2 * len(values))
+    # Beside sums that fit in memory no draw moves, and a resample is added up where it was dealt to.
+    met = draws.join(F.broadcast(starts) if size <= LOOKUP_VALUES else starts.hint("shuffle_hash"), [*keys, "start"])
     return met.groupBy(*keys, "b", "n").agg(*[F.sum(F.when(c("slot") == c("slots") - 1, c(f"short_{v}")).otherwise(c(f"whole_{v}"))).alias(v) for v in values])
 
 
