@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import KEYS, beside, indexed
@@ -14,11 +14,15 @@ def duplicates(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEYS, "open_time").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def ohlc_violations(bars: DataFrame) -> DataFrame:
-    kinds = F.array_compact(F.array(
+def violations() -> Column:
+    """The rules of prices that a bar breaks."""
+    return F.array_compact(F.array(
         F.when(F.least("open", "high", "low", "close", "volume") < 0, F.lit("negative")), F.when(c("high") < F.greatest("open", "close"), F.lit("high_below_body")), F.when(c("low") > F.least("open", "close"), F.lit("low_above_body")),
     ))
-    return bars.select(*KEYS, "open_time", F.explode(kinds).alias("kind"))
+
+
+def ohlc_violations(bars: DataFrame) -> DataFrame:
+    return bars.select(*KEYS, "open_time", F.explode(violations()).alias("kind"))
 
 
 def gaps(bars: DataFrame, over_seconds: int) -> DataFrame:
@@ -38,13 +42,12 @@ def sortedness(bars: DataFrame, ingest_order: list[str]) -> DataFrame:
 
 
 def report(bars: DataFrame, over_seconds: int) -> DataFrame:
+    """Rows, repeated rows, broken rules and gaps by month; all but the gaps come from one pass over the bars."""
     month = lambda x: F.date_trunc("month", x).alias("month")
-    keys = [*KEYS, "month"]
-    rows = bars.groupBy(*KEYS, month("open_time")).agg(F.count(F.lit(1)).alias("rows"))
-    dup = duplicates(bars).groupBy(*KEYS, month("open_time")).agg(F.sum("copies").alias("duplicates"))
-    bad = ohlc_violations(bars).groupBy(*KEYS, month("open_time")).agg(F.count(F.lit(1)).alias("violations"))
+    at = bars.groupBy(*KEYS, "open_time").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.size(violations())).alias("broken"))
+    rows = at.groupBy(*KEYS, month("open_time")).agg(F.sum("copies").alias("rows"), F.sum(F.when(c("copies") > 1, c("copies")).otherwise(0)).alias("duplicates"), F.sum("broken").alias("violations"))
     gap = gaps(bars, over_seconds).groupBy(*KEYS, month("until")).agg(F.count(F.lit(1)).alias("gaps"))
-    out = rows.join(dup, keys, "left").join(bad, keys, "left").join(gap, keys, "left").fillna(0, ["duplicates", "violations", "gaps"])
+    out = rows.join(gap, [*KEYS, "month"], "left").fillna(0, ["gaps"])
     return out.withColumn("passed", c("duplicates") + c("violations") + c("gaps") == 0)
 
 
