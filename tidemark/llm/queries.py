@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, warc
+from . import exact_dedup, fill_middle, fingerprints, line_dedup, mixing, near_dedup, packing, prefix_trie, sharding, substring_dedup, token_counts, toxicity, warc
 from .common import WS, table, text_or_empty
 
 
@@ -63,6 +63,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("segment_chars", "segment_tokens")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.decided(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transformed(table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)}
+    return out.withColumns(digests).drop("output")
+
+
 #: SQL for the record types; the archives in between are held to it.
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -73,8 +88,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_toxicity, op4_mixing, op5_near_dedup, op6_packing, op7_sharding, op8_warc, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_toxicity, op4_mixing, op5_near_dedup, op6_packing, op7_sharding, op8_warc, op9_substring_dedup, op10_token_counts, op11_prefix_trie, op12_line_dedup, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing.SQL, "op8_warc": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing.SQL, "op8_warc": OP8_SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_line_dedup": line_dedup.SQL, "op13_fill_middle": fill_middle.SQL}
