@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from .series import beside, carried, chunked, dealt, done, indexed, numbered, over
+from ..sources.tables import settled
+from . import quantiles
+from .series import beside, carried, chunked, done, indexed, numbered, over
 
 c = F.col
 HKEYS = ["symbol", "interval", "horizon"]
@@ -134,11 +136,12 @@ def signals(forecasts: DataFrame) -> DataFrame:
 
 
 def graded(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Gates from strictly earlier risks, and the verdict, of rows with edge, risk and expected move."""
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt(rows, *keys).withColumns({"history": F.count("risk").over(earlier), "__q": F.percentile("risk", F.array(*map(F.lit, d.QUANTILES))).over(earlier)})
-    gates = [F.when(c("history") >= d.LEAST_HISTORY, F.element_at("__q", k + 1)).otherwise(F.lit(g)) for k, g in enumerate(d.STATIC_GATES)]
-    rows = rows.withColumns({f"gate_{k}": g for k, g in enumerate(gates)}).drop("__q")
+    """Gates from strictly earlier risks, and the verdict, of rows with edge, risk and expected move; order is a whole number."""
+    rows = settled(numbered(rows, keys, order, "__at"))
+    gates = quantiles.expanding(rows.withColumnRenamed("__at", "pos").select(*keys, "pos", "risk"), keys, "risk", list(d.QUANTILES)).withColumnRenamed("pos", "__at")
+    rows = rows.join(gates, [*keys, "__at"]).drop("__at")
+    known = [F.when(c("history") >= d.LEAST_HISTORY, c(f"q_{k}")).otherwise(F.lit(g)) for k, g in enumerate(d.STATIC_GATES)]
+    rows = rows.withColumns({f"gate_{k}": g for k, g in enumerate(known)}).drop(*[f"q_{k}" for k in range(len(d.QUANTILES))])
     return rows.withColumn("verdict", d.recommendation(c("edge"), c("risk"), F.abs("expected") > d.ROUND_TRIP_COST, [c(f"gate_{k}") for k in range(3)]))
 
 
@@ -161,7 +164,8 @@ def weekly_windows(forecasts: DataFrame) -> DataFrame:
 
 def plan_windows(forecasts: DataFrame) -> DataFrame:
     """Weekly windows graded in order by gates from the risks of earlier weeks, with the month of their Monday."""
-    return graded(weekly_windows(forecasts), HKEYS, "monday").withColumns({"month": F.date_format("monday", "yyyy-MM"), "cost_cleared": F.abs("expected") > d.ROUND_TRIP_COST})
+    weeks = weekly_windows(forecasts).withColumn("week", F.floor(F.unix_seconds("monday") / 604800))
+    return graded(weeks, HKEYS, "week").drop("week").withColumns({"month": F.date_format("monday", "yyyy-MM"), "cost_cleared": F.abs("expected") > d.ROUND_TRIP_COST})
 
 
 def replay(path: DataFrame, cost: float = 0.002, keys: list[str] = HKEYS, price: str = "next_close", order: str = "idx") -> DataFrame:
