@@ -62,3 +62,13 @@ def test_grading_has_no_window_over_a_series(spark):
     plan = forecasts.graded(rows, forecasts.HKEYS, "idx")._jdf.queryExecution().optimizedPlan().toString()
     specs = re.findall(r"windowspecdefinition\((.*?) ASC", plan)
     assert specs and all("bucket" in x or "part" in x for x in specs)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 3001])
+def test_quantiles_of_whole_groups(spark, n):
+    rng = np.random.default_rng(n)
+    values = {"plain": rng.normal(0, 1, n), "ties": rng.choice([1.0, 2.0, 3.0], n), "floor": np.where(rng.random(n) < 0.7, -1.0, rng.random(n))}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x], "k string, x double")
+    for q in (0.0, 0.5, 0.93, 1.0):
+        got = {r["k"]: r["m"] for r in quantiles.whole(rows, ["k"], "x", q, "m").collect()}
+        assert all(abs(got[k] - np.quantile(x, q)) < 1e-12 for k, x in values.items())

@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import domain as d
-from tidemark.operators import calibration, economics, forecasts, learning, series, significance, study
+from tidemark.operators import boosting, calibration, economics, forecasts, learning, series, significance, study
 
 c = F.col
 
@@ -67,10 +68,28 @@ def test_shifts_equal_brute_force(spark, monkeypatch):
         got = economics.mistimed(path_of(spark, marks, exposures)).first()
         assert got["samples"] == 49 and abs(got["median_roi"] - np.median(others)) < 1e-9
         assert abs(got["percentile"] - 100 * sum(x < real for x in others) / 49) < 1e-9
+        ruin = [3.0, 1.0, 2.0, 0.5, 1.0, 1.5, 0.1, 0.2]  # at twice the money some timings lose all of it
+        held = [0.0, 2.0, 0.0, 2.0, 0.0, 0.0, 1.0, 0.0]
+        others_ruined = [replayed(ruin, held[k:] + held[:k], 0.1) for k in range(8)]
+        got = economics.mistimed(path_of(spark, ruin, held), 0.1).first()
+        assert min(others_ruined) == -1.0 and abs(got["median_roi"] - np.median(others_ruined[1:])) < 1e-9 and abs(got["roi"] - others_ruined[0]) < 1e-9
     flat = economics.mistimed(path_of(spark, marks, [0.0] * 50)).first()
     assert flat["percentile"] == 50.0
 
 
+def test_shifts_of_a_long_path(spark):
+    """200,000 bars: any shift's sum is the plain sum over its steps."""
+    rng = np.random.default_rng(4)
+    r, e = rng.normal(0, 0.02, 199_999), rng.choice([0, 0.2, 0.4, 0.7, 1.0], 200_000)
+    turn = np.round(np.abs(e - np.roll(e, 1)), 12)
+    row = {"symbol": "s", "interval": "1m", "horizon": "week", "n": 200_000, "at": 0, "r": r, "start": 0, "e": e, "turn": turn}
+    out = pd.concat(economics._shifted(0.002)([pd.DataFrame([row])])).groupby("shift")["growth"].sum()
+    for k in (0, 1, 777, 199_999):
+        moved, paid = np.roll(e, -k)[:-1], np.roll(turn, -k)[:-1]
+        paid[0] = abs(moved[0])
+        assert abs(out[k] - np.log(1 + r * moved - 0.002 * paid).sum()) < 1e-9
+
+
 def test_constant_exposure_pays_once(spark):
     got = economics.constant_exposure(path_of(spark, [100, 150, 200], [0.5, 0.5, 0.5]), 0.01).first()
     assert abs(got["roi"] - (0.5 * 0.99 / 100 * 200 + 0.5 - 1)) < 1e-12
@@ -119,9 +138,13 @@ def test_splits_equal_brute_force(spark):
         cases[k] = (slots, ["long" if x else "short" for x in rng.random(n) < share])
     for k, (slots, labels) in cases.items():
         h = ["week", "month"][k % 2]
-        df = spark.createDataFrame([("m", h, i, s, y) for i, (s, y) in enumerate(zip(slots, labels, strict=True))], "month string, horizon string, pos int, slot long, direction string")
+        by = {x: [y for z, y in zip(slots, labels, strict=True) if z == x] for x in sorted(set(slots))}
+        df = spark.createDataFrame([("m", h, d.HORIZONS[h], x, len(y), y.count("long")) for x, y in by.items()], "month string, horizon string, forward int, slot long, n long, longs long")
         got = learning.holdouts(df).first()
-        assert (got["fit_end"], got["held_from"]) == brute_split(slots, labels, d.HORIZONS[h]), k
+        want = brute_split(slots, labels, d.HORIZONS[h])
+        assert (got["fit_end"], got["held_from"]) == want, k
+        if want[1] < len(slots):
+            assert (sum(x < got["fit_before"] for x in slots), sum(x < got["held_slot"] for x in slots)) == want, k
 
 
 def test_boosting_learns_and_does_not_look_ahead(spark):
@@ -129,7 +152,7 @@ def test_boosting_learns_and_does_not_look_ahead(spark):
     x = rng.normal(size=(600, 4))
     x[::17, 2] = np.nan
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    predict, gains = learning.boost(x[:400], y[:400], 50, 4, 0.1)
+    predict, gains = boosting.boost(x[:400], y[:400], 50, 4, 0.1)
     assert ((predict(x[400:]) > 0.5) == y[400:]).mean() > 0.9 and gains[:2].sum() > 0.8 * gains.sum()
 
     def run(late):
@@ -149,6 +172,80 @@ def test_boosting_learns_and_does_not_look_ahead(spark):
     assert all(abs(r["p_long"] + r["p_short"] - 1) < 1e-12 for r in late) and not one[min(one)]["trained"] and one[min(one)]["p_long"] == 0.5
 
 
+def brute_tree(b, g, h, depth, least=boosting.LEAST):
+    """Column, cut and gain of every node of one tree, row by row."""
+    out, nodes = [], [np.arange(len(b))]
+    for _ in range(depth):
+        below = []
+        for rows in nodes:
+            worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1)
+            best = max(
+                ((worth(left) + worth(right) - worth(rows), -column, -cut, left, right) for column in range(b.shape[1]) for cut in range(boosting.BINS)
+                 if len(left := rows[b[rows, column] <= cut]) >= least and len(right := rows[b[rows, column] > cut]) >= least), key=lambda x: (round(x[0], 6), *x[1:3]), default=None)
+            if best is None or best[0] <= 1e-9:
+                out.append(None)
+                below += [rows, rows[:0]]
+            else:
+                out.append((-best[1], -best[2], best[0]))
+                below += best[3:]
+        nodes = below
+    return out
+
+
+def test_splits_of_a_tree_are_the_best_there_are():
+    rng = np.random.default_rng(6)
+    b = rng.integers(0, 12, (300, 3)).astype(np.uint8)
+    y = ((b[:, 0] > 5) ^ (b[:, 2] > 3)).astype(np.int64)
+    forest = boosting.grown(b, y, np.bincount(y), 1, 3, 0.1)
+    p = np.full(300, y.mean())
+    want = brute_tree(b, p - y, p * (1 - p), 3)
+    got = [(int(column), int(cut)) for columns, cuts in forest["trees"][0][0] for column, cut in zip(columns, cuts, strict=True)]
+    assert [g if g[1] < boosting.BINS else None for g in got] == [w and w[:2] for w in want]
+    assert abs(forest["gain"].sum() - sum(w[2] for w in want if w)) < 1e-3
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_models_over_many_tasks_are_those_of_one(spark, monkeypatch, classes):
+    """Pieces of 64 rows and scores kept every second tree: the same trees, gains and leaves."""
+    monkeypatch.setattr(boosting, "PIECE_ROWS", 64)
+    monkeypatch.setattr(boosting, "KEPT_EVERY", 2)
+    rng = np.random.default_rng(classes)
+    rows, want = [], {}
+    for model in ("a", "b"):
+        b = rng.integers(0, 64, (700, 5)).astype(np.uint8)
+        y = (b[:, 1].astype(int) // (64 // classes) + rng.integers(0, 2, 700)) % classes
+        want[model] = boosting.grown(b, y, np.bincount(y), 5, 3, 0.3)
+        rows += [(model, f"s{i % 7}", i, int(k), r.tobytes()) for i, (r, k) in enumerate(zip(b, y, strict=True))]
+    df = spark.createDataFrame(rows, "model string, symbol string, open_time long, y int, bins binary").repartition(5)
+    got = boosting.grown_over(df, 5, 3, 0.3, single=classes == 2)
+    for model, forest in want.items():
+        assert np.array_equal(got[model]["base"], forest["base"]) and np.allclose(got[model]["gain"], forest["gain"])
+        for (levels, value), (other, leaf) in zip(forest["trees"], got[model]["trees"], strict=True):
+            assert all(np.array_equal(x, y) for one, two in zip(levels, other, strict=True) for x, y in zip(one, two, strict=True)) and np.array_equal(value, leaf)
+
+
+def test_a_run_is_the_same_with_large_models(spark, monkeypatch):
+    """Both learners over a pool of two symbols, every model in one task and every model over all tasks."""
+    rng = np.random.default_rng(9)
+    rows = [(f"s{k}", i, "week", 7, *(("long", int(rng.integers(0, 3))) if (r := rng.random()) < 0.5 else ("short", 1)), [r, float(rng.random()), float(i % 5)]) for k in range(2) for i in range(300)]
+    pool = spark.createDataFrame(rows, "symbol string, slot long, horizon string, forward int, direction string, depth_bin int, x array<double>").withColumn("open_time", F.timestamp_seconds(c("slot") * 86400))
+    plan = learning.plan(pool.select("open_time"), {"week": 7}, days=120)
+    told = lambda: [sorted((tuple(r) for r in x.collect()), key=str) for x in (learning.fitted(pool, ["a", "b", "e"], plan, (3, 2, 0.3)).drop("symbol", "open_time"), learning.depth_model(pool, plan, (2, 2, 0.3)))]
+    near = told()
+    monkeypatch.setattr(boosting, "TASK_ROWS", 0)
+    assert near == told() and {r[2] for r in near[0]} == {"held", "score", "gain"}
+
+
+def test_rows_that_symbols_give(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(i), "week", "long" if rng.random() < 0.8 else None) for s in ("a", "b") for i in range(200) if rng.random() < 0.7 or s == "a"]
+    pool = spark.createDataFrame(rows, "symbol string, slot long, horizon string, direction string")
+    plan = spark.createDataFrame([(m, "week", m * 30, 7, 60) for m in range(1, 8)], "month int, horizon string, cutoff long, forward int, steps int")
+    got = {(r["month"], r["symbol"]): r["rows"] for r in learning.contributions(pool, plan).collect()}
+    want = {(m, s): sum(x[0] == s and x[3] is not None and m * 30 - 60 <= x[1] < m * 30 - 7 for x in rows) for m in range(1, 8) for s in ("a", "b")}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_depths_fall_back_to_shares(spark):
     rows = [("s", i, "week", 7, "long" if i % 2 else "short", 3 if i % 2 else i % 3, [float(i % 4)]) for i in range(400)]
     pool = spark.createDataFrame(rows, "symbol string, slot long, horizon string, forward int, direction string, depth_bin int, x array<double>").withColumn("open_time", F.timestamp_seconds(c("slot") * 86400))

@@ -7,8 +7,6 @@ applied as table operations. Months and horizons that can't be fitted have rows
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import domain as d
 from ..sources.tables import settled
+from . import boosting, study
 from .calibration import calibrate, fit_temperature, temperature_memory
-from .series import beside, dealt, indexed
+from .series import beside, carried, dealt, indexed
 
 c = F.col
 WINDOW = ["month", "horizon"]
@@ -80,51 +79,61 @@ def plan(bars: DataFrame, horizons: dict[str, int] = d.HORIZONS, first: str | No
     return months.crossJoin(F.broadcast(widths.select("horizon", "forward", "steps")))  # one row a horizon
 
 
-def slices(pool: DataFrame, plan: DataFrame) -> DataFrame:
-    """pool's labelled rows for every (month, horizon) whose window holds them, with pos in order of time: cutoff - W <= slot < cutoff - F.
-
-    A row is dealt to the months in which its window can lie, and met there by equality, so no range is joined.
-    """
-    wide = plan.groupBy("horizon").agg(F.max("steps").alias("widest"))
-    rows = pool.where("direction is not null").join(F.broadcast(wide), "horizon")
-    day = lambda n: F.date_trunc("month", F.timestamp_seconds((c("slot") + n) * 86400))
-    rows = rows.withColumn("month", F.explode(F.sequence(day(c("forward") + 1), day(c("widest")), F.expr("interval 1 month")))).drop("widest", "forward")
-    met = rows.join(plan, WINDOW).where((c("slot") >= c("cutoff") - c("steps")) & (c("slot") < c("cutoff") - c("forward")))
-    return met.withColumn("pos", F.row_number().over(Window.partitionBy(*WINDOW).orderBy("slot", "symbol")) - 1)
-
-
-def contributions(sliced: DataFrame) -> DataFrame:
-    """Rows that each symbol gives to each month's slices."""
-    return sliced.groupBy(*WINDOW, "symbol").agg(F.count(F.lit(1)).alias("rows"))
+def month_of(n: Column) -> Column:
+    return F.date_trunc("month", F.timestamp_seconds(n * 86400))
 
 
-def holdouts(sliced: DataFrame, horizons: dict[str, int] = d.HORIZONS) -> DataFrame:
-    """month, horizon, total, fit_end, held_from, moved: which of a slice's rows are fitted and which are held out.
+def days(pool: DataFrame, plan: DataFrame) -> DataFrame:
+    """month, horizon, slot, n, longs of the days that hold labelled rows of a slice: cutoff - W <= slot < cutoff - F.
 
-    The newest HELD_OUT share is held out from the first row of its instant, and fitted rows end more than a horizon before it.
-    Where either part has one direction only, the nearest split at which both have two is taken; where there is none, or fewer
-    than LEAST_FITTED rows would be held out, all rows are fitted and none is held out (fit_end = held_from = total).
+    Symbols are added up before days are dealt to the months in which their window can lie, so what is dealt is days, not rows.
+    """
+    wide = plan.groupBy("horizon").agg(F.max("steps").alias("widest"), F.max("forward").alias("forward"))
+    by = pool.where("direction is not null").groupBy("horizon", "slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("direction") == "long").alias("longs"))
+    by = by.join(F.broadcast(wide), "horizon")  # one row a horizon
+    by = by.withColumn("month", F.explode(F.sequence(month_of(c("slot") + c("forward") + 1), month_of(c("slot") + c("widest")), F.expr("interval 1 month")))).drop("widest", "forward")
+    return by.join(plan, WINDOW).where((c("slot") >= c("cutoff") - c("steps")) & (c("slot") < c("cutoff") - c("forward"))).select(*WINDOW, "forward", "slot", "n", "longs")
+
+
+def contributions(pool: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows that each symbol gives to each month's slices: running counts, read where a window begins and where it ends."""
+    counts = pool.where("direction is not null").groupBy("symbol", "horizon", "slot").agg(F.count(F.lit(1)).alias("n"))
+    ends = plan.select(*WINDOW, F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (c("cutoff") - c("steps")).alias("slot")), F.struct(F.lit(1).alias("sign"), (c("cutoff") - c("forward")).alias("slot")))).alias("e")).select(*WINDOW, "e.*")
+    probes = counts.select("symbol", "horizon").distinct().join(ends, "horizon").select("symbol", "horizon", "slot", "month", "sign", F.lit(0).cast("long").alias("n"))
+    both = probes.unionByName(counts, allowMissingColumns=True).withColumn("at", 2 * c("slot") + c("month").isNull().cast("long"))  # probes see the days before
+    read = carried(both, "sum", {"upto": c("n")}, ["symbol", "horizon"], "at").where("month is not null")
+    return read.groupBy(*WINDOW, "symbol").agg(F.sum(c("upto") * c("sign")).alias("rows")).where("rows > 0")
+
+
+def holdouts(by: DataFrame) -> DataFrame:
+    """month, horizon, total, fit_end, held_from, moved, fit_before, held_slot of days (month, horizon, forward, slot, n, longs).
+
+    The newest HELD_OUT share of a slice's rows is held out from the first row of its day, and fitted rows end more than a horizon before
+    it. Where either part has one direction only, the nearest day at which both have two is taken; where there is none, or fewer than
+    LEAST_FITTED rows would be held out, all rows are fitted and none is held out (fit_end = held_from = total, the slots null).
+    Rows are counted by day, so a window here spans the days of a slice, whatever the number of symbols.
     """
     w = Window.partitionBy(*WINDOW).orderBy("slot")
-    older = None  # rows more than a horizon older than each row
-    for h, k in horizons.items():
-        n = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, -(k + 1)))
-        older = F.when(c("horizon") == h, n) if older is None else older.when(c("horizon") == h, n)
-    rows = sliced.select(*WINDOW, "pos", "slot", (c("direction") == "long").alias("up")).withColumns({"fit_end": older, "instant": F.min("pos").over(Window.partitionBy(*WINDOW, "slot"))})
-    at = lambda pick, side: pick(F.when(c("up") == F.lit(side), c("pos")))
-    facts = rows.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("total"), F.greatest(at(F.min, True), at(F.min, False)).alias("both_from"), F.least(at(F.max, True), at(F.max, False)).alias("both_to"), F.count_distinct("up").alias("kinds"))
+    upto = w.rangeBetween(Window.unboundedPreceding, -1)
+    older = None  # rows more than a horizon older than each day
+    kinds = [r["forward"] for r in by.select("forward").distinct().orderBy("forward").collect()]  # one row a horizon
+    for k in kinds:
+        n = F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -(k + 1))), F.lit(0))
+        older = F.when(c("forward") == k, n) if older is None else older.when(c("forward") == k, n)
+    rows = by.withColumns({"pos": F.coalesce(F.sum("n").over(upto), F.lit(0)), "fit_end": F.lit(0).cast("long") if older is None else older, "up": c("longs") > 0, "down": c("longs") < c("n")})
+    at = lambda pick, side: pick(F.when(c(side), c("pos")))
+    facts = rows.groupBy(*WINDOW).agg(F.sum("n").alias("total"), F.greatest(at(F.min, "up"), at(F.min, "down")).alias("both_from"), F.least(at(F.max, "up"), at(F.max, "down")).alias("both_to"), (F.max("up") & F.max("down")).alias("two"))
     held = F.floor(c("total") * d.HELD_OUT)
-    facts = facts.withColumn("due", F.when(held >= d.LEAST_FITTED, c("total") - held))
-    met = rows.join(facts, WINDOW)
-    whole = met.where(c("pos") == c("due")).select(*WINDOW, c("instant").alias("due_from"))
-    starts = met.where(c("pos") == c("instant")).join(whole, WINDOW)
-    good = (c("kinds") > 1) & (c("fit_end") > c("both_from")) & (c("pos") <= c("both_to"))
+    met = rows.join(facts.withColumn("due", F.when(held >= d.LEAST_FITTED, c("total") - held)), WINDOW)
+    whole = met.where((c("pos") <= c("due")) & (c("due") < c("pos") + c("n"))).select(*WINDOW, c("pos").alias("due_from"))
+    starts = met.join(whole, WINDOW)
+    good = c("two") & (c("fit_end") > c("both_from")) & (c("pos") <= c("both_to"))
     due = (c("pos") == c("due_from")) & (c("fit_end") > 0)  # by time alone; where the gap leaves nothing to fit, nothing is held out
     room = (c("pos") >= 1) & (c("pos") <= c("total") - d.LEAST_FITTED)
-    split = F.struct(F.abs(c("pos") - c("due_from")).cast("long").alias("far"), "pos", "fit_end")
+    split = F.struct(F.abs(c("pos") - c("due_from")).cast("long").alias("far"), "pos", "fit_end", (c("slot") - c("forward")).alias("fit_before"), "slot")
     chosen = starts.groupBy(*WINDOW).agg(F.min(F.when(due & good, split)).alias("asked"), F.min(F.when(room & good, split)).alias("near"), F.max(due.cast("int")).alias("able"))
     out = facts.join(chosen.select(*WINDOW, F.when(c("able") == 1, F.coalesce("asked", "near")).alias("pick")), WINDOW, "left")
-    return out.select(*WINDOW, "total", F.coalesce("pick.fit_end", "total").alias("fit_end"), F.coalesce("pick.pos", "total").alias("held_from"), F.coalesce(c("pick.far") > 0, F.lit(False)).alias("moved"))
+    return out.select(*WINDOW, "total", F.coalesce("pick.fit_end", "total").alias("fit_end"), F.coalesce("pick.pos", "total").alias("held_from"), F.coalesce(c("pick.far") > 0, F.lit(False)).alias("moved"), "pick.fit_before", c("pick.slot").alias("held_slot"))
 
 
 # ---- scaling and sequences
@@ -162,59 +171,93 @@ def sequence_windows(rows: DataFrame, names: list[str], length: int) -> DataFram
     return out.where((F.size("sequence") == length) & c("direction").isNotNull()).select("symbol", "open_time", "direction", "sequence")
 
 
-# ---- boosting in a task
-
-
-def boost(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, bins: int = 64, least: int = 20) -> tuple[Callable[[np.ndarray], np.ndarray], np.ndarray]:
-    """(probability of y = 1 for rows, gain by column): logistic gradient boosting on binned columns, level by level."""
-    there = np.where(np.isfinite(x), x, np.nan)
-    middle = np.array([np.nanmedian(col) if np.isfinite(col).any() else 0.0 for col in there.T])
-    filled = lambda m: np.where(np.isfinite(m), m, middle)
-    edges = [np.unique(q) for q in np.quantile(filled(x), np.linspace(0, 1, bins + 1)[1:-1], axis=0).T]
-    binned = lambda m: np.stack([np.searchsorted(e, col, side="left") for e, col in zip(edges, filled(m).T, strict=True)], axis=1)
-    b, columns = binned(x), np.arange(x.shape[1])
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    base = float(np.log(share / (1 - share)))
-    score, gain_by, grown = np.full(len(x), base), np.zeros(x.shape[1]), []
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
-        g, h, node, levels = p - y, p * (1 - p), np.zeros(len(x), np.int64), []
-        for level in range(depth):
-            cells = ((node[:, None] * len(columns) + columns) * bins + b).ravel()
-            shape = (1 << level, len(columns), bins)
-            sums = [np.bincount(cells, np.repeat(v, len(columns)), int(np.prod(shape))).reshape(shape).cumsum(axis=2) for v in (g, h, np.ones(len(x)))]
-            left, total = sums, [s[:, :1, -1:] for s in sums]
-            right = [t - v for t, v in zip(total, left, strict=True)]
-            gain = left[0] ** 2 / (left[1] + 1) + right[0] ** 2 / (right[1] + 1) - total[0] ** 2 / (total[1] + 1)
-            gain[(left[2] < least) | (right[2] < least)] = 0
-            best = gain.reshape(1 << level, -1).argmax(axis=1)
-            feature, cut = best // bins, best % bins
-            found = np.take_along_axis(gain.reshape(1 << level, -1), best[:, None], axis=1)[:, 0]
-            cut[found <= 1e-12] = bins  # no split: all go left
-            np.add.at(gain_by, feature, np.maximum(found, 0))
-            levels.append((feature, cut))
-            node = 2 * node + (b[np.arange(len(b)), feature[node]] > cut[node])
-        value = -rate * np.bincount(node, g, 1 << depth) / (np.bincount(node, h, 1 << depth) + 1)
-        score += value[node]
-        grown.append((levels, value))
-
-    def predict(rows: np.ndarray) -> np.ndarray:
-        q, out = binned(rows), np.full(len(rows), base)
-        for levels, value in grown:
-            at = np.zeros(len(rows), np.int64)
-            for feature, cut in levels:
-                at = 2 * at + (q[np.arange(len(q)), feature[at]] > cut[at])
-            out += value[at]
-        return 1 / (1 + np.exp(-out))
-
-    return predict, gain_by
+# ---- models
 
 
 #: Trees, depth and rate of the two learners, and of the depth model.
 ML, BOOSTED, DEPTHS = (50, 4, 0.1), (100, 6, 0.1), (30, 3, 0.1)
+#: Rows of a month and horizon that one task bins, columns left as they are.
+BINNED_ROWS = 50_000
 _OUT = "month timestamp, horizon string, part string, symbol string, open_time timestamp, name string, value double, is_long boolean"
 
 
+def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Bin edges and medians by column, of the quantiles of a model's months, each weighing as many rows as it has."""
+    edges, middle = [], []
+    for _, rows in pdf.sort_values(["place", "block"]).groupby("place"):
+        points = [np.asarray(x, float) for x in rows["points"] if x is not None and len(x)]
+        if not points:
+            edges.append([])
+            middle.append(0.0)
+            continue
+        value, weight = np.concatenate(points), np.concatenate([np.full(len(p), n / len(p)) for p, n in zip(points, rows["n"][rows["n"] > 0], strict=True)])
+        order = np.argsort(value, kind="stable")
+        value, upto = value[order], np.cumsum(weight[order])
+        at = lambda q: value[np.minimum(np.searchsorted(upto, q * upto[-1], "left"), len(value) - 1)]  # noqa: E731, B023
+        edges.append(np.unique(at(np.linspace(0, 1, boosting.BINS + 1)[1:-1])).tolist())
+        middle.append(float(at(np.array([0.5]))[0]))
+    return pdf[WINDOW].iloc[:1].assign(edges=[edges], middle=[middle])
+
+
+def models(pool: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with block (first and last month of the rows looked back on), edges and middle: bins from the quantiles of those months.
+
+    Quantiles are taken by month of the pool, once, and put together by model; all those rows stand before the cutoff.
+    """
+    columns = F.posexplode("x").alias("place", "v")
+    finite = F.when(F.abs("v") < float("inf"), c("v"))
+    sketch = pool.withColumn("block", month_of(c("slot"))).select("horizon", "block", columns).withColumn("v", finite).groupBy("horizon", "block", "place")
+    quantiles = [(k + 0.5) / boosting.BINS for k in range(boosting.BINS)]
+    sketch = settled(sketch.agg(F.percentile_approx("v", quantiles, 10_000).alias("points"), F.count("v").alias("n")))
+    spans = plan.withColumns({"first": month_of(c("cutoff") - c("steps")), "last": month_of(c("cutoff") - c("forward") - 1)})
+    back = spans.where(c("first") <= c("last")).withColumn("block", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))))
+    met = back.select(*WINDOW, "block").join(sketch, ["horizon", "block"])
+    edges = met.groupBy(*WINDOW).applyInPandas(_edges, "month timestamp, horizon string, edges array<array<double>>, middle array<double>")
+    return spans.join(edges, WINDOW)
+
+
+def _binning(rows: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one month and horizon for every model that looks back on them, and for the model that they are asked of."""
+    out, x, slot, known = [], None, rows["slot"].to_numpy(), rows["direction"].notna().to_numpy()
+    for m in plans.itertuples(index=False):
+        inside = known & (slot >= m.cutoff - m.steps) & (slot < m.cutoff - m.forward)
+        part = np.where(~inside, None, np.where((m.fit_before != m.fit_before) | (slot < m.fit_before), "fit", np.where(slot >= m.held_slot, "held", None)))
+        for chosen, kind in ((part != None, part), (np.full(len(rows), m.month == m.block), np.full(len(rows), "score"))):  # noqa: E711
+            if chosen.any():
+                x = np.stack(rows["x"].to_numpy()).astype(float) if x is None else x
+                b = boosting.binned(x[chosen], [np.asarray(e, float) for e in m.edges], np.asarray(m.middle, float))
+                out.append(rows.loc[chosen, ["horizon", "symbol", "open_time", "direction", "depth_bin"]].assign(month=m.month, part=kind[chosen], bins=[r.tobytes() for r in b]))
+    if not out:
+        return rows.iloc[:0].assign(month=plans["month"].iloc[:0], part="", bins=b"")[["month", "horizon", "part", "symbol", "open_time", "direction", "depth_bin", "bins"]]
+    return pd.concat(out)[["month", "horizon", "part", "symbol", "open_time", "direction", "depth_bin", "bins"]]
+
+
+def sliced(pool: DataFrame, plan: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """Binned rows of every model: month, horizon, part (fit, held, score), symbol, open_time, direction, depth_bin, bins.
+
+    A row's columns are read once, beside the models of its month; what is dealt to the models is a byte a column. Without split nothing is held out.
+    """
+    made = models(pool, plan)
+    made = made.join(split.select(*WINDOW, "fit_before", "held_slot"), WINDOW, "left") if split is not None else made.withColumns({x: F.lit(None).cast("long") for x in ("fit_before", "held_slot")})
+    blocks = F.array_distinct(F.concat(F.sequence("first", "last", F.expr("interval 1 month")), F.array("month")))
+    numbers = [c(x).cast("double").alias(x) for x in ("fit_before", "held_slot")]
+    made = made.select("month", "horizon", F.explode(blocks).alias("block"), "cutoff", "forward", "steps", *numbers, "edges", "middle")
+    rows = pool.withColumn("block", month_of(c("slot")))
+    most = rows.groupBy("horizon", "block").count().agg(F.max("count")).first()[0] or 0  # one number
+    salts = -(-most // BINNED_ROWS) or 1
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("symbol", "open_time"), F.lit(salts))).select("horizon", "block", "salt", "symbol", "open_time", "slot", "direction", "depth_bin", "x")
+    made = made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", c("salt").cast("long"))
+    place = ["horizon", "block", "salt"]
+    schema = "month timestamp, horizon string, part string, symbol string, open_time timestamp, direction string, depth_bin int, bins binary"
+    return settled(dealt(rows, *place).groupBy(*place).cogroup(made.groupBy(*place)).applyInPandas(lambda a, b: _binning(a, b), schema))
+
+
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the models that one task can hold, and of the larger ones."""
+    sizes = settled(rows.groupBy(*WINDOW).count()).where(c("count") > boosting.TASK_ROWS).select(*WINDOW)
+    return rows.join(sizes, WINDOW, "left_anti"), rows.join(sizes, WINDOW, "left_semi")
+
+
 def _frame(pdf: pd.DataFrame, part: str, value=None, name=None) -> pd.DataFrame:
     return pd.DataFrame({"month": pdf["month"], "horizon": pdf["horizon"], "part": part, "symbol": pdf["symbol"], "open_time": pdf["open_time"], "name": name, "value": value, "is_long": (pdf["direction"] == "long").where(pdf["direction"].notna(), None)})
 
@@ -223,35 +266,50 @@ def _fitting(trees: int, depth: int, rate: float, names: list[str]):
     """Fits one (month, horizon): rows of part `held` (probability and outcome), `score` (probability), `gain` (by column) or `failed`."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["part"] != "score"].sort_values(["slot", "symbol"])
-        asked = pdf[pdf["part"] == "score"]
-        use = known[known["part"] == "fit"]
-        if use["direction"].nunique() < 2:
-            use, known = known, known.iloc[:0]  # the whole slice, and nothing held out
+        use, asked = pdf[pdf["part"] == "fit"], pdf[pdf["part"] == "score"]
         if len(use) < LEAST_ROWS or use["direction"].nunique() < 2:
             return _frame(asked.iloc[:0], "score")
         try:
-            stack = lambda rows: np.stack(rows["x"].to_numpy()).astype(float)
-            predict, gains = boost(stack(use), (use["direction"] == "long").to_numpy(float), trees, depth, rate)
-            held = known[known["part"] == "held"]
-            out = [_frame(rows, part, predict(stack(rows))) for rows, part in ((held, "held"), (asked, "score")) if len(rows)]
+            y = (use["direction"] == "long").to_numpy(np.int64)
+            forest = boosting.grown(boosting.stacked(use["bins"]), y, np.bincount(y, minlength=2), trees, depth, rate)
+            out = [_frame(rows, part, boosting.probabilities(boosting.scored(boosting.stacked(rows["bins"]), forest))[:, 0]) for part in ("held", "score") if len(rows := pdf[pdf["part"] == part])]
             first = pd.concat([pdf.iloc[:1]] * len(names))
-            return pd.concat([*out, _frame(first, "gain", gains / max(gains.sum(), 1e-12), names)])
+            return pd.concat([*out, _frame(first, "gain", forest["gain"] / max(forest["gain"].sum(), 1e-12), names).assign(is_long=None)])
         except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:  # what a window's numbers can cause; the run goes on
             return _frame(pdf.iloc[:1], "failed", None, f"{type(e).__name__}: {e}")
 
     return fit
 
 
+def _model(*parts: str) -> Column:
+    return F.concat_ws("|", c("month").cast("string"), *[c(x) for x in parts])
+
+
 def fitted(pool: DataFrame, names: list[str], plan: DataFrame, size: tuple[int, int, float] = ML) -> DataFrame:
-    """All months' models at work: rows of `_fitting`."""
-    sliced = slices(pool, plan)
-    split = holdouts(sliced)
-    part = F.when(c("pos") < c("fit_end"), "fit").when(c("pos") >= c("held_from"), "held").otherwise("gap")
-    fields = [*WINDOW, "part", "symbol", "open_time", "slot", "x", "direction"]
-    train = sliced.join(split, WINDOW).withColumn("part", part).where("part <> 'gap'").select(*fields)
-    ask = pool.withColumn("month", F.date_trunc("month", "open_time")).join(plan.select(*WINDOW), WINDOW).withColumn("part", F.lit("score")).select(*fields)
-    return settled(dealt(train.unionByName(ask), *WINDOW).groupBy(*WINDOW).applyInPandas(_fitting(*size, names), _OUT))
+    """All months' models at work: rows of `_fitting`. Models over boosting.TASK_ROWS rows are grown level by level over all tasks."""
+    rows = sliced(pool, plan, settled(holdouts(days(pool, plan))))
+    small, large = _by_size(rows)
+    done = dealt(small, *WINDOW).groupBy(*WINDOW).applyInPandas(_fitting(*size, names), _OUT)
+    large = large.withColumn("model", _model("horizon"))
+    use = large.where("part = 'fit'").select("model", "symbol", "open_time", (c("direction") == "long").cast("int").alias("y"), "bins")
+    able = use.groupBy("model").agg(F.count_distinct("y").alias("kinds"), F.count(F.lit(1)).alias("n")).where((c("kinds") == 2) & (c("n") >= LEAST_ROWS)).select("model")
+    forests = boosting.grown_over(use.join(able, "model", "left_semi"), *size, single=True)
+    if not forests:
+        return settled(done)
+    spark = pool.sparkSession
+    state = spark.sparkContext.broadcast(forests)  # models, not rows
+
+    def asked(batches):
+        for pdf in batches:
+            for model, part in pdf.groupby("model"):
+                if model in state.value:
+                    value = boosting.probabilities(boosting.scored(boosting.stacked(part["bins"]), state.value[model]))[:, 0]
+                    yield pd.concat([_frame(part[part["part"] == p], p, value[(part["part"] == p).to_numpy()]) for p in ("held", "score")])
+
+    gains = [(m, n, float(g / max(f["gain"].sum(), 1e-12))) for m, f in forests.items() for n, g in zip(names, f["gain"], strict=True)]
+    gain = spark.createDataFrame(gains, "model string, name string, value double").join(large.groupBy("model", *WINDOW).agg(F.min_by("symbol", "open_time").alias("symbol"), F.min("open_time").alias("open_time")), "model")
+    gain = gain.select(*WINDOW, F.lit("gain").alias("part"), "symbol", "open_time", "name", "value", F.lit(None).cast("boolean").alias("is_long"))
+    return settled(done.unionByName(large.where("part <> 'fit'").mapInPandas(asked, _OUT)).unionByName(gain))
 
 
 def walk_forward(pool: DataFrame, names: list[str], plan: DataFrame, size: tuple[int, int, float] = ML) -> DataFrame:
@@ -276,46 +334,86 @@ def feature_importances(made: DataFrame) -> DataFrame:
     return made.where("part = 'gain'").join(last, WINDOW).select("horizon", "name", c("value").alias("importance"))
 
 
+_DEPTHS = "month timestamp, horizon string, symbol string, open_time timestamp, side string, modelled boolean, bins array<double>"
+
+
+def _shares(b: np.ndarray, forest: dict | None, counts: dict[int, int], kinds: int) -> np.ndarray:
+    """Probabilities of the depth bins of rows: by the model, else the shares of the window, even ones where the side never occurred."""
+    p = np.zeros((len(b), kinds))
+    present = sorted(counts)
+    if forest is not None:
+        got = boosting.probabilities(boosting.scored(b, forest))
+        p[:, present] = np.concatenate([1 - got, got], axis=1) if len(present) == 2 else got
+    else:
+        p[:, present or slice(None)] = [counts[k] / sum(counts.values()) for k in present] or 1 / kinds
+    return p
+
+
+def _depth_rows(asked: pd.DataFrame, side: str, modelled: bool, p: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"month": asked["month"], "horizon": asked["horizon"], "symbol": asked["symbol"], "open_time": asked["open_time"], "side": side, "modelled": modelled, "bins": list(p)})
+
+
 def _depths(kinds: int, size: tuple[int, int, float]):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, asked = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "score"]
-        if not len(asked):
-            return pd.DataFrame({"month": [], "horizon": [], "symbol": [], "open_time": [], "side": [], "modelled": [], "bins": []})
-        x = np.stack(asked["x"].to_numpy()).astype(float)
-        out = []
-        for side in ("long", "short"):
+        known, asked = pdf[(pdf["part"] == "fit") & pdf["depth_bin"].notna()], pdf[pdf["part"] == "score"]
+        out = [_depth_rows(asked.iloc[:0], "", False, np.zeros((0, kinds)))]
+        b = boosting.stacked(asked["bins"])
+        for side in ("long", "short") if len(asked) else ():
             rows = known[known["direction"] == side]
-            bins = rows["depth_bin"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
-            present = np.unique(bins)
-            p = np.zeros((len(x), kinds))
+            present, y = np.unique(rows["depth_bin"].to_numpy(np.int64), return_inverse=True)
+            counts = np.bincount(y.ravel(), minlength=len(present))
             modelled = len(rows) > 5 and len(present) > 1
-            if modelled:
-                train = np.stack(rows["x"].to_numpy()).astype(float)
-                for k in present:
-                    p[:, k] = boost(train, (bins == k).astype(float), *size)[0](x)
-                p /= p.sum(axis=1, keepdims=True)
-            else:  # the shares of the window, even ones where the side never occurred
-                p[:] = np.bincount(bins, minlength=kinds) / len(bins) if len(bins) else 1 / kinds
-            out.append(pd.DataFrame({"month": asked["month"], "horizon": asked["horizon"], "symbol": asked["symbol"], "open_time": asked["open_time"], "side": side, "modelled": modelled, "bins": list(p)}))
+            forest = boosting.grown(boosting.stacked(rows["bins"]), y.ravel(), counts, *size) if modelled else None
+            out.append(_depth_rows(asked, side, modelled, _shares(b, forest, dict(zip(present.tolist(), counts.tolist(), strict=True)), kinds)))
         return pd.concat(out)
 
     return fit
 
 
 def depth_model(pool: DataFrame, plan: DataFrame, size: tuple[int, int, float] = DEPTHS) -> DataFrame:
-    """Depth-bin probabilities of each side for every bar of the planned months; the window's shares where a side has too little to learn."""
-    fields = [*WINDOW, "part", "symbol", "open_time", "x", "direction", "depth_bin"]
-    train = slices(pool, plan).where("depth_bin is not null").withColumn("part", F.lit("train")).select(*fields)
-    ask = pool.withColumn("month", F.date_trunc("month", "open_time")).join(plan.select(*WINDOW), WINDOW).withColumn("part", F.lit("score")).select(*fields)
-    schema = "month timestamp, horizon string, symbol string, open_time timestamp, side string, modelled boolean, bins array<double>"
-    return dealt(train.unionByName(ask), *WINDOW).groupBy(*WINDOW).applyInPandas(_depths(len(d.DEPTH_BINS), size), schema)
+    """Depth-bin probabilities of each side for every bar of the planned months; the window's shares where a side has too little to learn.
 
-
-def run_summary(forecasts: DataFrame, plan: DataFrame, sliced: DataFrame, labels: DataFrame, correlation: DataFrame) -> DataFrame:
+    One model a side has a leaf value for every bin that occurs there.
+    """
+    kinds = len(d.DEPTH_BINS)
+    small, large = _by_size(sliced(pool, plan))
+    done = dealt(small, *WINDOW).groupBy(*WINDOW).applyInPandas(_depths(kinds, size), _DEPTHS)
+    use = large.where("part = 'fit' AND depth_bin IS NOT NULL").select(_model("horizon", "direction").alias("model"), "symbol", "open_time", c("depth_bin").alias("y"), "bins")
+    counts: dict[str, dict[int, int]] = {}
+    for r in use.groupBy("model", "y").count().collect():  # one row a model and bin
+        counts.setdefault(r["model"], {})[r["y"]] = r["count"]
+    if not counts:
+        return done
+    able = [m for m, n in counts.items() if len(n) > 1 and sum(n.values()) > 5]
+    state = pool.sparkSession.sparkContext.broadcast((boosting.grown_over(use.where(c("model").isin(able)), *size, single=False), counts))  # models, not rows
+
+    def asked(batches):
+        forests, counts = state.value
+        for pdf in batches:
+            for model, part in pdf.groupby("model"):
+                b = boosting.stacked(part["bins"])
+                for side in ("long", "short"):
+                    forest = forests.get(f"{model}|{side}")
+                    yield _depth_rows(part, side, forest is not None, _shares(b, forest, counts.get(f"{model}|{side}", {}), kinds))
+
+    return done.unionByName(large.where("part = 'score'").withColumn("model", _model("horizon")).mapInPandas(asked, _DEPTHS))
+
+
+def window_failures(made: DataFrame, plan: DataFrame, split: DataFrame, run: str = "run") -> DataFrame:
+    """One row: months of a run that have no model, by horizon and by what stopped them: too few rows, one direction, or a fit that failed."""
+    log = made.where("part = 'failed'").select(*WINDOW, F.lit("fit").alias("stage"), c("name").alias("error"))
+    short = plan.join(split, WINDOW, "left").where(F.coalesce("total", F.lit(0)) < LEAST_ROWS).select(*WINDOW, F.lit("slice").alias("stage"), F.concat(F.lit("labelled rows: "), F.coalesce("total", F.lit(0)).cast("string")).alias("error"))
+    modelled = made.where("part = 'gain'").select(*WINDOW).distinct()
+    single = plan.join(split.where(c("total") >= LEAST_ROWS), WINDOW).join(modelled, WINDOW, "left_anti").join(log, WINDOW, "left_anti").select(*WINDOW, F.lit("slice").alias("stage"), F.lit("one direction").alias("error"))
+    rows = log.unionByName(short).unionByName(single)
+    return study.failures(rows.select(F.lit(run).alias("run"), "stage", "horizon", c("month").cast("string").alias("window"), "error"))
+
+
+def run_summary(forecasts: DataFrame, plan: DataFrame, split: DataFrame, labels: DataFrame, correlation: DataFrame) -> DataFrame:
     """One row a horizon: window, power, trained and untrained rows, the last slice's rows, and what the pool is worth."""
     counts = forecasts.groupBy("horizon").agg(F.count_if("trained").alias("trained"), F.count_if(~c("trained")).alias("untrained"), F.count_if(c("source") == "fitted").alias("own_temperature"))
     width = plan.groupBy("horizon", "forward").agg(F.max("steps").alias("window_bars"), F.max("month").alias("month"), F.count(F.lit(1)).alias("refits"))
-    last = sliced.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("last_slice"))
+    last = split.select(*WINDOW, c("total").alias("last_slice"))
     scored = labels.groupBy("horizon").agg(F.count("target_time").alias("scored"))
     out = width.join(counts, "horizon").join(last, WINDOW, "left").join(scored, "horizon").join(correlation.select("horizon", "correlation", "symbols"), "horizon")
     worth = d.effective_symbols(c("symbols").cast("double"), c("correlation"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators import features, forecasts, learning, significance, study
+from ..operators import features, forecasts, learning, significance
 from ..sources.tables import BARS, daily_bars, settled
 from .evaluation import LAB
 from .market import FEATURES, RELATIVE, SHIFT, c, rounded, select
@@ -62,7 +62,11 @@ sl AS (SELECT pn.month, pn.horizon, pn.forward, la.symbol, la.slot, la.direction
 @query(f"WITH {SLICES} SELECT month, horizon, symbol, count(*) AS rows FROM sl GROUP BY ALL")
 def pool_contributions(spark, sf_dir):
     """Labelled rows that each symbol gives to each month's models."""
-    return learning.contributions(learning.slices(labelled(spark, sf_dir), planned(spark, sf_dir)))
+    return learning.contributions(labelled(spark, sf_dir), planned(spark, sf_dir))
+
+
+def splits(spark, sf_dir) -> DataFrame:
+    return learning.holdouts(learning.days(labelled(spark, sf_dir), planned(spark, sf_dir)))
 
 
 SPLITS = f"""{SLICES}, dy AS (SELECT month, horizon, forward, slot, count(*) AS n, min(pos) AS pos FROM sl GROUP BY ALL),
@@ -77,13 +81,13 @@ ho AS (SELECT du.month, du.horizon, total, coalesce(CASE WHEN able THEN CASE WHE
 @query(f"WITH {SPLITS} SELECT month, horizon, total, fit_end, held_from FROM ho")
 def holdout_split(spark, sf_dir):
     """Rows to fit and rows to hold out of each month's slice, a horizon apart."""
-    return learning.holdouts(learning.slices(labelled(spark, sf_dir), planned(spark, sf_dir))).drop("moved")
+    return splits(spark, sf_dir).select("month", "horizon", "total", "fit_end", "held_from")
 
 
 @query(f"WITH {SPLITS} SELECT horizon, count(*) AS months, count_if(moved)::bigint AS moved, count_if(held_from = total)::bigint AS whole FROM ho GROUP BY 1")
 def usable_split(spark, sf_dir):
     """By horizon: splits moved so that both parts have two directions, and months that hold nothing out."""
-    rows = learning.holdouts(learning.slices(labelled(spark, sf_dir), planned(spark, sf_dir)))
+    rows = splits(spark, sf_dir)
     return rows.groupBy("horizon").agg(F.count(F.lit(1)).alias("months"), F.count_if("moved").alias("moved"), F.count_if(c("held_from") == c("total")).alias("whole"))
 
 
@@ -127,18 +131,16 @@ def walk_forward(spark, sf_dir):
 
 @query()
 def gbt_direction(spark, sf_dir):
-    """Monthly refits of the larger learner at the two short horizons, before calibration."""
+    """Monthly refits of the larger learner at all horizons, before calibration."""
     pool, names = pooled(spark, sf_dir)
-    short = {h: d.HORIZONS[h] for h in ("week", "month")}
-    made = learning.fitted(pool.where(c("horizon").isin(list(short))), names, planned(spark, sf_dir, horizons=short), learning.BOOSTED)
+    made = learning.fitted(pool, names, planned(spark, sf_dir), learning.BOOSTED)
     return made.where("part in ('held', 'score', 'failed')").select("month", "horizon", "part", "symbol", "open_time", c("value").alias("p_long"), "is_long")
 
 
 @query()
 def depth_model(spark, sf_dir):
-    """Depth bins of either side, modelled at a week's horizon."""
-    week = {"week": d.HORIZONS["week"]}
-    return learning.depth_model(pooled(spark, sf_dir)[0].where("horizon = 'week'"), planned(spark, sf_dir, horizons=week))
+    """Depth bins of either side, modelled at all horizons."""
+    return learning.depth_model(pooled(spark, sf_dir)[0], planned(spark, sf_dir))
 
 
 def last_month(spark, sf_dir) -> DataFrame:
@@ -165,17 +167,15 @@ def top_features(spark, sf_dir):
 def run_summary(spark, sf_dir):
     pool, names = pooled(spark, sf_dir)
     plan, known = planned(spark, sf_dir), forecasts.labels(daily_bars(spark, sf_dir))
-    return learning.run_summary(settled(learning.walk_forward(pool, names, plan)), plan, learning.slices(pool, plan), known, significance.return_correlation(known))
+    return learning.run_summary(settled(learning.walk_forward(pool, names, plan)), plan, learning.holdouts(learning.days(pool, plan)), known, significance.return_correlation(known))
 
 
 @query()
 def window_failures(spark, sf_dir):
-    """Months that could not be fitted, of a run over windows that are too short to hold two directions at every horizon."""
+    """Months that could not be fitted, of a run over windows that are too short to hold two directions at every horizon: fits that failed, and slices without rows."""
+    pool, names = pooled(spark, sf_dir)
     plan = planned(spark, sf_dir, days=400)
-    split = learning.holdouts(learning.slices(labelled(spark, sf_dir), plan))
-    short = plan.join(split, learning.WINDOW, "left").where(F.coalesce("total", F.lit(0)) < learning.LEAST_ROWS)
-    log = short.select(F.lit("days400").alias("run"), F.lit("fit").alias("stage"), "horizon", c("month").cast("string").alias("window"), F.concat(F.lit("labelled rows: "), F.coalesce("total", F.lit(0)).cast("string")).alias("error"))
-    out = study.failures(log)
+    out = learning.window_failures(learning.fitted(pool, names, plan, (2, 2, 0.1)), plan, learning.holdouts(learning.days(pool, plan)), "days400")
     return out.select("run", "failed", F.to_json("by_horizon").alias("by_horizon"), F.to_json("by_stage").alias("by_stage"), "first")
 
 
