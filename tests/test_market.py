@@ -56,8 +56,9 @@ def bars_of(spark, closes, symbol="s", step=86400):
 def test_chunks_do_not_show(spark):
     """Windows over chunks give what a window over the series gives."""
     closes = [100 + 10 * math.sin(i / 5) + i % 7 for i in range(1500)]
-    rows = series.chunked(series.indexed(bars_of(spark, closes)), 600, 0, 601)
-    out = series.done(rows.withColumns({"e": series.ewm(F.col("close"), 14), "m": series.full(F.avg("close"), F.col("close"), 30)})).orderBy("idx").collect()
+    rows = series.chunked(series.indexed(bars_of(spark, closes)), 30, 0, 100)
+    rows = rows.join(series.ewm_before(rows, {"before": (F.col("close"), 14)}), ["symbol", "interval", "chunk"])
+    out = series.done(rows.withColumns({"e": series.ewm(F.col("close"), 14, F.col("before")), "m": series.full(F.avg("close"), F.col("close"), 30)})).orderBy("idx").collect()
     a, e = 2 / 15, closes[0]
     for i, r in enumerate(out):
         e = e if i == 0 else (1 - a) * e + a * closes[i]

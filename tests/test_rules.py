@@ -23,11 +23,24 @@ def test_window_widths(spark):
         learning.resolve_windows(history, overrides={"year": 380}, strict=True)
 
 
-def test_means_pass_over_nulls(spark):
-    values = [None, 10.0, None, 13.0, 11.0]
-    rows = spark.createDataFrame([("s", "1d", i, x) for i, x in enumerate(values)], "symbol string, interval string, idx long, x double")
-    got = [r["e"] for r in series.done(series.chunked(rows, 511, 0, 512).withColumn("e", series.ewm(c("x"), 3))).orderBy("idx").collect()]
-    assert got[0] is None and got[2] is None and [got[1], got[3], got[4]] == [10.0, 11.5, 11.25]
+def test_means_of_any_span(spark):
+    """Spans from 1 to 5,000, with nulls, over chunks and groups of chunks shorter than the series: the plain recursion."""
+    rng = np.random.default_rng(7)
+    values = [None if rng.random() < 0.2 or i < 30 else float(x) for i, x in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.01, 4000))))]
+    rows = spark.createDataFrame([("s", "1d", i, x) for i, x in enumerate(values)] + [("none", "1d", 0, None)], "symbol string, interval string, idx long, x double")
+    for size, wide in ((1024, 512), (50, 4)):
+        spans = (1, 2, 3, 26, 400, 5000) if size == 50 else (2, 5000)
+        chunks = series.chunked(rows, 20, 0, size)
+        met = chunks.join(series.ewm_before(chunks, {f"b{n}": (c("x"), n) for n in spans}, wide=wide), ["symbol", "interval", "chunk"])
+        got = series.done(met.withColumns({f"e{n}": series.ewm(c("x"), n, c(f"b{n}")) for n in spans})).where("symbol = 's'").orderBy("idx").collect()
+        for n in spans:
+            mean = None
+            for r, x in zip(got, values, strict=True):
+                if x is None:
+                    assert r[f"e{n}"] is None
+                else:
+                    mean = x if mean is None else mean + 2 / (n + 1) * (x - mean)
+                    assert abs(r[f"e{n}"] - mean) < 1e-9 * mean
 
 
 def path_of(spark, marks, exposures):

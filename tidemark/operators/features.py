@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEYS, MEMORY, chunked, done, ewm, full, indexed, over
+from ..sources.tables import settled
+from .series import DECAY_CHUNK, KEYS, chunked, done, ewm, ewm_before, full, indexed, over
 
-SIZE = 512  # rows in a chunk: with its halo of MEMORY rows, powers of a span of 9 stay within doubles
+#: Rows that a rolling feature looks back on.
+LOOK = 90
 c = F.col
 
 
@@ -16,7 +18,26 @@ def _lag(x: str | Column, n: int = 1) -> Column:
 
 
 def prepared(bars: DataFrame) -> DataFrame:
-    return chunked(indexed(bars), MEMORY + 90, 0, SIZE)
+    """bars in chunks with a halo of LOOK rows, and the means of `rsi`, `atr` and `macd` before each chunk.
+
+    These come from two passes over the prices: one for the means of prices and moves, one for the mean of the difference of two of them.
+    """
+    rows = settled(indexed(bars))
+    near = _moves(chunked(rows.select(*KEYS, "idx", "close", "high", "low"), 1, 0, DECAY_CHUNK))
+    first = settled(ewm_before(near, {"b_gain": (c("__gain"), 14), "b_loss": (c("__loss"), 14), "b_range": (c("__tr"), 14), "b_fast": (c("close"), 12), "b_slow": (c("close"), 26)}))
+    second = ewm_before(near.join(first, [*KEYS, "chunk"]).withColumn("__macd", _line()), {"b_line": (c("__macd"), 9)})
+    return chunked(rows, LOOK, 0, DECAY_CHUNK).join(settled(first.join(second, [*KEYS, "chunk"])), [*KEYS, "chunk"])
+
+
+def _moves(rows: DataFrame) -> DataFrame:
+    last = _lag("close")
+    change = c("close") - last
+    rows = rows.withColumns({"__gain": F.coalesce(F.greatest(change, F.lit(0.0)), F.lit(0.0)), "__loss": F.coalesce(F.greatest(-change, F.lit(0.0)), F.lit(0.0))})
+    return rows.withColumn("__tr", F.greatest(c("high") - c("low"), F.abs(c("high") - last), F.abs(c("low") - last)))
+
+
+def _line() -> Column:
+    return ewm(c("close"), 12, c("b_fast")) - ewm(c("close"), 26, c("b_slow"))
 
 
 def log_returns(rows: DataFrame) -> DataFrame:
@@ -43,22 +64,19 @@ def bollinger(rows: DataFrame) -> DataFrame:
 
 
 def rsi(rows: DataFrame) -> DataFrame:
-    change = c("close") - _lag("close")
-    rows = rows.withColumns({"__gain": F.coalesce(F.greatest(change, F.lit(0.0)), F.lit(0.0)), "__loss": F.coalesce(F.greatest(-change, F.lit(0.0)), F.lit(0.0))})
-    rows = rows.withColumns({"__gain": ewm(c("__gain"), 14), "__loss": ewm(c("__loss"), 14)})
+    rows = _moves(rows)
+    rows = rows.withColumns({"__gain": ewm(c("__gain"), 14, c("b_gain")), "__loss": ewm(c("__loss"), 14, c("b_loss"))})
     value = F.when(c("__loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(c("__gain"), c("__loss"))))
-    return rows.withColumn("rsi_14", F.least(F.greatest(value, F.lit(0.0)), F.lit(100.0))).drop("__gain", "__loss")
+    return rows.withColumn("rsi_14", F.least(F.greatest(value, F.lit(0.0)), F.lit(100.0))).drop("__gain", "__loss", "__tr")
 
 
 def atr(rows: DataFrame) -> DataFrame:
-    last = _lag("close")
-    rows = rows.withColumn("__tr", F.greatest(c("high") - c("low"), F.abs(c("high") - last), F.abs(c("low") - last)))
-    return rows.withColumn("atr_14", ewm(c("__tr"), 14)).drop("__tr")
+    return _moves(rows).withColumn("atr_14", ewm(c("__tr"), 14, c("b_range"))).drop("__gain", "__loss", "__tr")
 
 
 def macd(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("__macd", ewm(c("close"), 12) - ewm(c("close"), 26))
-    return rows.withColumn("macd_hist", c("__macd") - ewm(c("__macd"), 9)).drop("__macd")
+    rows = rows.withColumn("__macd", _line())
+    return rows.withColumn("macd_hist", c("__macd") - ewm(c("__macd"), 9, c("b_line"))).drop("__macd")
 
 
 def with_obv(rows: DataFrame) -> DataFrame:
@@ -108,7 +126,7 @@ def build(bars: DataFrame, intraday: DataFrame | None = None) -> DataFrame:
     rows = prepared(bars)
     for step in (log_returns, rolling_vol, drawdowns, moving_averages, bollinger, rsi, atr, macd, order_flow, relative, signed_volume, volume_relative):
         rows = step(rows)
-    rows = with_obv(done(rows.withColumn("part", c("chunk"))))
+    rows = with_obv(done(rows.withColumn("part", c("chunk"))).drop("b_gain", "b_loss", "b_range", "b_fast", "b_slow", "b_line"))
     if intraday is None:
         return rows.withColumns({"realized_vol_1d": F.lit(None).cast("double"), "jump_count": F.lit(None).cast("long"), "max_intraday_drawdown": F.lit(None).cast("double")})
     return rows.withColumn("date", F.to_date("open_time")).join(intraday, ["symbol", "date"], "left").drop("date")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .series import KEYS, beside, indexed
@@ -35,20 +35,48 @@ def preview(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("until"))).where(c("k") <= n)
 
 
-def sortedness(bars: DataFrame, ingest_order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy(*ingest_order)
-    rows = bars.withColumn("back", c("open_time") < F.lag("open_time").over(w))
-    return rows.groupBy(*KEYS).agg(F.count_if("back").alias("out_of_order")).withColumn("sorted", c("out_of_order") == 0)
+#: Rows of a file that are looked at together.
+FILE_ROWS = 1 << 16
+
+
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of Parquet files with the order in which they were written: `__file` and `__row`."""
+    rows = spark.read.parquet(path)
+    return rows.select(*rows.columns, c("_metadata.file_path").alias("__file"), c("_metadata.row_index").alias("__row"))
+
+
+def steps_back(bars: DataFrame) -> DataFrame:
+    """keys, open_time of the bars of `ingested` rows that stand after a later one of their series: files in the order of their names.
+
+    Neighbours are looked at inside parts of files; a part's first bar of a series is held to the last one of the parts before it.
+    """
+    place = [*KEYS, "__file", "__part"]
+    rows = bars.select(*KEYS, "open_time", "__file", "__row", F.floor(c("__row") / FILE_ROWS).alias("__part"))
+    rows = rows.withColumn("__last", F.lag("open_time").over(Window.partitionBy(*place).orderBy("__row")))
+    parts = rows.groupBy(*place).agg(F.min_by("open_time", "__row").alias("open_time"), F.max_by("open_time", "__row").alias("__end"))
+    across = parts.withColumn("__last", F.lag("__end").over(Window.partitionBy(*KEYS).orderBy("__file", "__part")))
+    back = c("open_time") < c("__last")
+    return rows.where(back).select(*KEYS, "open_time").unionByName(across.where(back).select(*KEYS, "open_time"))
+
+
+def sortedness(bars: DataFrame) -> DataFrame:
+    """By series of `ingested` rows: bars that stand after a later one, and whether there is none."""
+    back = steps_back(bars).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("out_of_order"))
+    return bars.select(*KEYS).distinct().join(back, KEYS, "left").fillna(0, ["out_of_order"]).withColumn("sorted", c("out_of_order") == 0)
 
 
 def report(bars: DataFrame, over_seconds: int) -> DataFrame:
-    """Rows, repeated rows, broken rules and gaps by month; all but the gaps come from one pass over the bars."""
+    """Rows, repeated rows, broken rules, gaps and, of `ingested` rows, bars out of order by month; all but the last two come from one pass over the bars."""
     month = lambda x: F.date_trunc("month", x).alias("month")
     at = bars.groupBy(*KEYS, "open_time").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.size(violations())).alias("broken"))
     rows = at.groupBy(*KEYS, month("open_time")).agg(F.sum("copies").alias("rows"), F.sum(F.when(c("copies") > 1, c("copies")).otherwise(0)).alias("duplicates"), F.sum("broken").alias("violations"))
     gap = gaps(bars, over_seconds).groupBy(*KEYS, month("until")).agg(F.count(F.lit(1)).alias("gaps"))
-    out = rows.join(gap, [*KEYS, "month"], "left").fillna(0, ["gaps"])
-    return out.withColumn("passed", c("duplicates") + c("violations") + c("gaps") == 0)
+    out = rows.join(gap, [*KEYS, "month"], "left")
+    if "__row" not in bars.columns:
+        return out.fillna(0, ["gaps"]).withColumn("passed", c("duplicates") + c("violations") + c("gaps") == 0)
+    out = out.join(steps_back(bars).groupBy(*KEYS, month("open_time")).agg(F.count(F.lit(1)).alias("out_of_order")), [*KEYS, "month"], "left").fillna(0, ["gaps", "out_of_order"])
+    out = out.withColumn("sorted", c("out_of_order") == 0)
+    return out.withColumn("passed", c("sorted") & (c("duplicates") + c("violations") + c("gaps") == 0))
 
 
 def inventory(bars: DataFrame, step_seconds: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+c = F.col
 KEYS = ["symbol", "interval"]
 
 
@@ -92,19 +93,56 @@ def full(agg: Column, value: Column, n: int, keys: list[str] = KEYS) -> Column:
     return F.when(F.count(value).over(w) == n, agg.over(w))
 
 
-#: Rows after which an exponentially weighted mean has forgotten its start, for spans up to 26.
-MEMORY = 511
+#: Rows of a chunk inside which powers of a mean's decay, taken from the chunk's middle, stay within doubles for spans from 2 on.
+DECAY_CHUNK = 1024
 
 
-def ewm(x: Column, span: int, keys: list[str] = KEYS) -> Column:
+def _decayed(x: Column, span: int, keys: list[str]) -> tuple[Column, Column, Column]:
+    """Of the values of a chunk up to each row: their sum weighed as a mean weighs new values, their number, and the first of them."""
+    b, w = 1 - 2.0 / (span + 1), over(Window.unboundedPreceding, 0, keys)
+    n = F.count(x).over(w)
+    place = (n - DECAY_CHUNK // 2).cast("double")
+    return F.sum(x * (1 - b) * F.pow(F.lit(1 / b), place)).over(w) * F.pow(F.lit(b), place), n, F.first(x, ignorenulls=True).over(w)
+
+
+def ewm(x: Column, span: int, before: Column, keys: list[str] = KEYS) -> Column:
     """Recursive exponentially weighted mean with alpha = 2 / (span + 1), seeded with the first value that is not null.
 
-    Nulls are passed over and have no mean themselves. In a chunk with MEMORY rows of halo, with p the number of values
-    before, y_p = b^p (x_0 + sum a x_i b^-i): one running sum.
+    Nulls are passed over and have no mean themselves. Rows are in chunks of at most DECAY_CHUNK own rows; rows of a halo do not count.
+    before: the mean before the chunk (`ewm_before`), null where there is none. In a chunk y = b^n y_before + the chunk's own sum.
+    """
+    own = F.when(c("own"), x)
+    if span == 1:
+        return own
+    grown, n, first = _decayed(own, span, keys)
+    return F.when(own.isNotNull(), F.coalesce(grown + F.pow(F.lit(1 - 2.0 / (span + 1)), n.cast("double")) * F.coalesce(before, first), own))
+
+
+def _composed(maps: Column, start: Column) -> Column:
+    """One affine map (a, b, first value) after another: y -> a + b y."""
+    after = lambda one, two: F.struct((two["a"] + two["b"] * one["a"]).alias("a"), (one["b"] * two["b"]).alias("b"), F.coalesce(one["first"], two["first"]).alias("first"))
+    return F.aggregate(maps, start, after)
+
+
+def ewm_before(rows: DataFrame, named: dict[str, tuple[Column, int]], keys: list[str] = KEYS, order: str = "idx", wide: int = 512) -> DataFrame:
+    """keys, chunk and for every name (value, span) the mean before each chunk: affine maps of chunks, composed in order.
+
+    Chunks are composed inside groups of `wide`, and groups after one another, so a list holds `wide` chunks or one map a group.
     """
-    a = 2.0 / (span + 1)
-    w = over(Window.unboundedPreceding, 0, keys)
-    p = (F.count(x).over(w) - 1).cast("double")
-    weight = F.when(p == 0, F.lit(1.0)).otherwise(F.lit(a))
-    grown = F.sum(x * weight * F.pow(F.lit(1 / (1 - a)), p)).over(w)
-    return F.when(x.isNotNull(), grown * F.pow(F.lit(1 - a), p))
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(None).cast("double").alias("first"))
+    parts = {}
+    for name, (x, span) in named.items():
+        grown, n, first = _decayed(F.when(c("own"), x.cast("double")), max(span, 2), keys)
+        parts |= {f"__a_{name}": F.coalesce(grown, F.lit(0.0)), f"__n_{name}": n, f"__f_{name}": first}
+    last = lambda x: F.max_by(x, order)
+    ends = rows.withColumns(parts).where("own").groupBy(*keys, "chunk").agg(*[last(f"__{x}_{name}").alias(f"__{x}_{name}") for name in named for x in "anf"])
+    made = {name: F.struct(c(f"__a_{name}").alias("a"), F.pow(F.lit(1 - 2.0 / (max(span, 2) + 1)), c(f"__n_{name}").cast("double")).alias("b"), c(f"__f_{name}").alias("first")) for name, (_, span) in named.items()}
+    maps = ends.select(*keys, "chunk", F.floor(c("chunk") / wide).alias("__group"), *[m.alias(name) for name, m in made.items()])
+    listed = F.sort_array(F.collect_list(F.struct("chunk", *named)))
+    groups = maps.groupBy(*keys, "__group").agg(listed.alias("__all")).select(*keys, "__group", *[_composed(c(f"__all.{name}"), none).alias(name) for name in named])
+    earlier = Window.partitionBy(*keys).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*keys, "__group", *[_composed(F.collect_list(name).over(earlier), none).alias(f"__s_{name}") for name in named])
+    inside = Window.partitionBy(*keys, "__group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    out = maps.withColumns({f"__l_{name}": F.collect_list(name).over(inside) for name in named}).join(groups, [*keys, "__group"])
+    at = {name: _composed(c(f"__l_{name}"), c(f"__s_{name}")) for name in named}
+    return out.select(*keys, "chunk", *[(m["a"] + m["b"] * m["first"]).alias(name) for name, m in at.items()])

@@ -109,7 +109,7 @@ def departures(rows: DataFrame, keys: list[str], draws: int = P_RESAMPLES, preci
     points = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("value"))
     bounds = interval(points, means(rows, RESAMPLES), keys).where("low is not null").drop("p_value", "resamples")
     tested = settled(benjamini_hochberg(bounds.join(tail_p(means(rows, draws), keys, CHANCE), keys), keys))
-    again = rows.join(F.broadcast(tested.where(c("q_value") < DISCOVERIES).select(*keys)), keys, "left_semi")  # one row a series
+    again = rows.join(tested.where(c("q_value") < DISCOVERIES).select(*keys), keys, "left_semi")
     out = tested.join(tail_p(means(again, precise), keys, CHANCE).withColumnRenamed("p_value", "p_precise"), keys, "left")
     out = out.join(tail_p(means(again, draws, 2), keys, CHANCE).withColumnRenamed("p_value", "p_double_block"), keys, "left")
     ranked = benjamini_hochberg(out.select(*keys, F.coalesce("p_precise", "p_value").alias("p_value")), keys).select(*keys, c("q_value").alias("q_precise"))
@@ -155,26 +155,6 @@ def paired_differences(quality: DataFrame, seeds: list[int], resamples: int = RE
     return out.join(q, [*keys, "measure"], "left")
 
 
-def return_correlation(labels: DataFrame, least: int = 30) -> DataFrame:
-    """Per horizon: symbols, pairs with enough shared and moving returns, and their mean correlation; 0 without a pair."""
-    a = labels.where("fwd_return is not null").select("horizon", "open_time", c("symbol").alias("s1"), c("fwd_return").alias("r1"))
-    b = a.select("horizon", "open_time", c("s1").alias("s2"), c("r1").alias("r2"))
-    pairs = a.join(b, ["horizon", "open_time"]).where("s1 < s2").groupBy("horizon", "s1", "s2").agg(F.corr("r1", "r2").alias("r"), F.count(F.lit(1)).alias("n"))
-    pairs = pairs.where((c("n") >= least) & c("r").isNotNull() & ~F.isnan("r")).groupBy("horizon").agg(F.count(F.lit(1)).alias("pairs"), F.avg("r").alias("correlation"))
-    symbols = labels.groupBy("horizon").agg(F.count_distinct("symbol").alias("symbols"))
-    return symbols.join(pairs, "horizon", "left").fillna({"pairs": 0, "correlation": 0.0})
-
-
-def common_correlation(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, dates, correlation): mean correlation of `value` over all pairs of symbols, on the times that all of them share."""
-    n = rows.groupBy(*keys).agg(F.count_distinct("symbol").alias("symbols"))
-    shared = rows.groupBy(*keys, "open_time").agg(F.count_distinct("symbol").alias("here")).join(n, keys).where(c("here") == c("symbols")).select(*keys, "open_time")
-    a = rows.join(shared, [*keys, "open_time"], "left_semi").select(*keys, "open_time", c("symbol").alias("s1"), c(value).cast("double").alias("r1"))
-    b = a.select(*keys, "open_time", c("s1").alias("s2"), c("r1").alias("r2"))
-    pairs = a.join(b, [*keys, "open_time"]).where("s1 < s2").groupBy(*keys, "s1", "s2").agg(F.corr("r1", "r2").alias("r"), F.count(F.lit(1)).alias("dates"))
-    return pairs.groupBy(*keys).agg(F.max("dates").alias("dates"), F.avg("r").alias("correlation"))
-
-
 def boot_sql(source: str, name: str, keys: str, values: str, point: str, estimate: str, reference: float = CHANCE, resamples: int = RESAMPLES) -> str:
     """SQL of `interval` over `resampled`: relations from source (keys, forward, pos, values); estimate is over sums S(v)."""
     ks = [k.strip() for k in keys.split(",")]

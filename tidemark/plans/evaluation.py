@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators import calibration, economics, forecasts, learning, significance
+from ..operators import calibration, correlation, economics, forecasts, learning, significance
 from ..operators import quality as quality_checks
 from ..operators.series import beside, numbered
 from ..sources.tables import BARS, daily_bars, settled
@@ -214,13 +214,13 @@ def window_power(spark, sf_dir):
 
 @query(select(f"{LAB}, p AS (SELECT a.horizon, a.symbol AS s1, b.symbol AS s2, corr(a.fwd_return, b.fwd_return) AS r, count(*) AS n FROM lab a JOIN lab b ON a.horizon = b.horizon AND a.open_time = b.open_time AND a.symbol < b.symbol WHERE a.fwd_return IS NOT NULL AND b.fwd_return IS NOT NULL GROUP BY 1, 2, 3), sy AS (SELECT horizon, count(DISTINCT symbol) AS symbols FROM lab GROUP BY 1), m AS (SELECT horizon, symbols, count(*) AS pairs, avg(r) AS correlation, symbols / (1 + (symbols - 1) * least(greatest(avg(r), 0), 1)) AS effective FROM p JOIN sy USING (horizon) WHERE n >= 30 AND isfinite(r) GROUP BY 1, 2)", "m", "horizon, symbols, pairs", "correlation, effective"))
 def return_correlation(spark, sf_dir):
-    return significance.return_correlation(labels(spark, sf_dir)).withColumn("effective", d.effective_symbols(c("symbols").cast("double"), c("correlation")))
+    return correlation.return_correlation(labels(spark, sf_dir)).withColumn("effective", d.effective_symbols(c("symbols").cast("double"), c("correlation")))
 
 
 @query(select(f"""{LAB}, ok AS (SELECT horizon, open_time, symbol, fwd_return AS r FROM lab WHERE fwd_return IS NOT NULL), al AS (SELECT horizon, open_time FROM ok GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ok)), o2 AS (SELECT * FROM ok SEMI JOIN al USING (horizon, open_time)),
 pp AS (SELECT a.horizon, a.symbol AS s1, b.symbol AS s2, corr(a.r, b.r) AS r, count(*) AS n FROM o2 a JOIN o2 b ON a.horizon = b.horizon AND a.open_time = b.open_time AND a.symbol < b.symbol GROUP BY 1, 2, 3), cc AS (SELECT horizon, max(n) AS dates, avg(r) AS correlation FROM pp GROUP BY 1)""", "cc", "horizon, dates", "correlation"))
 def common_date_correlation(spark, sf_dir):
-    return significance.common_correlation(labels(spark, sf_dir).where("fwd_return is not null"), "fwd_return", ["horizon"])
+    return correlation.common_correlation(labels(spark, sf_dir).where("fwd_return is not null"), "fwd_return", ["horizon"])
 
 
 # ---- evaluation

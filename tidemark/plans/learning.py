@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators import features, forecasts, learning, significance
+from ..operators import correlation, features, forecasts, learning
 from ..sources.tables import BARS, daily_bars, settled
 from .evaluation import LAB
 from .market import FEATURES, RELATIVE, SHIFT, c, rounded, select
@@ -167,7 +167,7 @@ def top_features(spark, sf_dir):
 def run_summary(spark, sf_dir):
     pool, names = pooled(spark, sf_dir)
     plan, known = planned(spark, sf_dir), forecasts.labels(daily_bars(spark, sf_dir))
-    return learning.run_summary(settled(learning.walk_forward(pool, names, plan)), plan, learning.holdouts(learning.days(pool, plan)), known, significance.return_correlation(known))
+    return learning.run_summary(settled(learning.walk_forward(pool, names, plan)), plan, learning.holdouts(learning.days(pool, plan)), known, correlation.return_correlation(known))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators import forecasts, significance, study
+from ..operators import correlation, forecasts, significance, study
 from ..sources.tables import settled
 from . import evaluation
 from .evaluation import COUNTED, HISTORY, LEAN, TWO, lean_sql, several
@@ -151,7 +151,7 @@ ch AS (SELECT horizon, symbol, (predicted IS DISTINCT FROM lag(predicted) OVER (
 def baseline_lag(spark, sf_dir):
     """How long the baseline holds a side, and how much the symbols share in returns and in hits."""
     rows = settled(evaluation.quality(spark, sf_dir).where("status = 'scored'").select(*forecasts.HKEYS, "idx", "open_time", "predicted", "fwd_return", c("correct").cast("double").alias("hit")))
-    rho = [significance.common_correlation(rows, value, ["horizon"]).withColumnRenamed("correlation", name) for value, name in (("fwd_return", "rho_returns"), ("hit", "rho_hits"))]
+    rho = [correlation.common_correlation(rows, value, ["horizon"]).withColumnRenamed("correlation", name) for value, name in (("fwd_return", "rho_returns"), ("hit", "rho_hits"))]
     runs = evaluation.side_lengths(rows).groupBy("horizon").agg(F.avg("mean_length").alias("hold"))
     return rho[0].join(rho[1].drop("dates"), "horizon").join(runs, "horizon")
 
