@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators import features, forecasts
-from ..sources import candles
-from ..sources.tables import BARS, daily_bars, scratch, table, tick_bars
+from ..operators import features, forecasts, inventory, rollups, series
+from ..sources import archives, candles
+from ..sources.tables import BARS, daily_bars, scratch, settled, table, tick_bars
 from . import evaluation
 from .evaluation import COUNTED, FC, LAB, QUALITY, several
 from .market import FEATURES, HOURS, c, rounded, select
@@ -209,6 +212,98 @@ def depth_scheme(spark, sf_dir):
     return rows.select("symbol", "horizon", "bin", d.bin_lower(c("bin")).alias("low"), d.bin_midpoint(c("bin")).alias("midpoint"), (d.bin_lower(c("bin")) >= d.LARGE_MOVE).alias("large"))
 
 
+# ---- archives and the lake's files
+
+
+def _zipped(folder: str):
+    """Writes one archive a symbol, with a member a day, and returns their names."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        name = f"{key[0]}-1h.zip"
+        store, root = archives._opened(folder)
+        with store.open_output_stream(f"{root}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for day, lines in pdf.sort_values("value").groupby("day"):
+                archive.writestr(f"{key[0]}-1h-{day}.csv", "\r\n".join(lines["value"]))
+        return pd.DataFrame({"name": [name]})
+
+    return run
+
+
+@query(select(HOURS, "hours", "symbol, open_time, num_trades", "open, high, low, close, volume"))
+def ingest_archives(spark, sf_dir):
+    """Candle lines in ZIP archives, one a symbol with a member a day, read back: broken lines are skipped."""
+    folder, zips = scratch(spark), scratch(spark)
+    candle_lines(spark, sf_dir, folder)
+    first = F.try_element_at(F.split("value", ","), F.lit(1)).try_cast("bigint")
+    day = F.coalesce(F.date_format(rollups.normalize_time(first), "yyyyMMdd"), F.lit("head"))
+    store, root = archives._opened(zips)
+    store.create_dir(root, recursive=True)
+    rows = spark.read.text(folder).withColumn("day", day)
+    settled(rows.groupBy("symbol").applyInPandas(_zipped(zips), "name string"))
+    return archives.ingest(spark, zips, "1h").select("symbol", "open_time", "num_trades", "open", "high", "low", "close", "volume")
+
+
+def lake(spark, sf_dir):
+    """Listings of files of bars (days, three days and weeks, with holes), features and labels that Spark writes from the trades."""
+    bars = daily_bars(spark, sf_dir)
+    days = settled(bars.where(~((c("symbol") == "N") & ((F.year("open_time") * 12 + F.month("open_time")) % 17 == 0))))
+    thirds = rollups.rollup(days, "3d").where("NOT (symbol = 'A' AND open_time >= timestamp '2001-09-01')")
+    weeks = rollups.rollup(days, "1w").where("NOT (symbol = 'R' AND open_time >= timestamp '1998-03-01' AND open_time < timestamp '1998-06-01')")
+    folders = [scratch(spark) for _ in range(3)]
+    candles.write_bars(days, f"{folders[0]}/plain")
+    candles.write_bars(thirds, f"{folders[0]}/plain")
+    candles.write_weeks(weeks, f"{folders[0]}/weeks")
+    returns = series.done(features.log_returns(series.chunked(series.indexed(days), 14))).select("symbol", "interval", "open_time", "log_return_1b")
+    other = returns.where("symbol = 'A'").withColumn("interval", F.lit("12h")).unionByName(returns.where("symbol = 'R'").withColumn("interval", F.explode(F.array(F.lit("3d"), F.lit("1w")))))
+    returns.unionByName(other).write.partitionBy("interval", "symbol").parquet(folders[1])
+    known = forecasts.labels(days).select("symbol", "interval", "horizon", "open_time", "fwd_return").where("NOT (symbol = 'A' AND horizon = 'year')")
+    known.unionByName(known.where("symbol = 'R'").withColumn("interval", F.lit("3d"))).write.partitionBy("interval", "symbol", "horizon").parquet(folders[2])
+    return [candles.files(spark, f) for f in folders]
+
+
+LAKE = f"""{BARS}, kb AS (SELECT * FROM bars WHERE NOT (symbol = 'N' AND (year(open_time) * 12 + month(open_time)) % 17 = 0)),
+pr AS (SELECT symbol, '1d' AS interval, date_trunc('month', open_time)::date AS pt FROM kb UNION SELECT symbol, '3d', date_trunc('month', t)::date FROM (SELECT symbol, time_bucket(interval '3 days', open_time, timestamp '1970-01-01') AS t FROM kb) WHERE NOT (symbol = 'A' AND t >= timestamp '2001-09-01')
+  UNION SELECT symbol, '1w', t::date FROM (SELECT symbol, date_trunc('week', open_time) AS t FROM kb) WHERE NOT (symbol = 'R' AND t >= timestamp '1998-03-01' AND t < timestamp '1998-06-01')),
+mm AS (SELECT i.symbol, i.interval, b.pt FROM (SELECT DISTINCT symbol, interval FROM pr WHERE interval <> '1d') i JOIN pr b ON b.symbol = i.symbol AND b.interval = '1d'
+  WHERE NOT EXISTS (SELECT 1 FROM pr p WHERE p.symbol = i.symbol AND p.interval = i.interval AND CASE WHEN i.interval = '1w' THEN p.pt BETWEEN date_trunc('week', b.pt)::date AND last_day(b.pt) ELSE p.pt = b.pt END)),
+pf AS (SELECT symbol, interval, count(*) AS parts, min(pt) AS first, max(pt) AS last, greatest(0, CASE WHEN interval = '1w' THEN date_diff('day', min(pt), max(pt)) // 7 ELSE date_diff('month', min(pt), max(pt)) END + 1 - count(*)) AS gaps FROM pr GROUP BY symbol, interval),
+iv AS (SELECT k.symbol, k.interval, coalesce(parts, 0) AS parts, coalesce(gaps, 0) AS gaps, first, last, (SELECT count(*) FROM mm WHERE mm.symbol = k.symbol AND mm.interval = k.interval) AS lacking, k.interval = '1d' OR k.symbol = 'R' OR k.interval = '12h' AS features,
+  k.interval = '1d' AND k.symbol <> 'A' OR k.interval = '3d' AND k.symbol = 'R' AS labels FROM (SELECT DISTINCT symbol, interval FROM pr UNION SELECT DISTINCT symbol, '12h' FROM pr WHERE symbol = 'A') k LEFT JOIN pf USING (symbol, interval)),
+lk AS (SELECT *, parts > 0 AS held, CASE WHEN parts = 0 OR gaps > 0 OR lacking > 0 THEN 'incomplete' WHEN features AND labels THEN 'complete' ELSE 'warning' END AS status,
+  CASE WHEN parts = 0 THEN 'no bars' WHEN gaps > 0 THEN gaps || ' parts missing in between' WHEN lacking > 0 THEN 'behind the base by ' || lacking || ' months' WHEN NOT features THEN 'no features' WHEN NOT labels THEN 'no labels of every horizon' END AS reason FROM iv)"""
+
+
+@query(f"WITH {LAKE} SELECT symbol, interval, pt AS month FROM mm")
+def missing_months(spark, sf_dir):
+    """Months of daily bars that the coarser intervals' files lack, weeks by their ISO weeks."""
+    return inventory.missing_months(inventory.present(settled(lake(spark, sf_dir)[0])), "1d").withColumnRenamed("at", "month")
+
+
+@query(f"WITH {LAKE} SELECT symbol, interval, parts, gaps, lacking, features, labels, held, status, reason FROM lk")
+def lake_inventory(spark, sf_dir):
+    """Parts, gaps, lags, features, labels, status and reason of every symbol and interval, from the files' listing alone."""
+    out = inventory.intervals(*lake(spark, sf_dir), "1d")
+    return out.select("symbol", "interval", "parts", "gaps", "lacking", "features", "labels", (c("bytes") > 0).alias("held"), "status", "reason")
+
+
+@query(f"""WITH {LAKE}, sy AS (SELECT symbol, max(first) FILTER (interval = '1d') AS first, last_day(max(last) FILTER (interval = '1d')) AS last, max(parts) FILTER (interval = '1d') AS months, max(lk.gaps) FILTER (interval = '1d') AS gaps,
+  string_agg(interval, ', ' ORDER BY interval) FILTER (lk.gaps > 0) AS gapped, string_agg(interval, ', ' ORDER BY interval) FILTER (lk.gaps = 0 AND parts > 0 AND lacking > 0) AS behind, string_agg(interval, ', ' ORDER BY interval) FILTER (parts = 0) AS nothing, string_agg(interval, ', ' ORDER BY interval) FILTER (status = 'warning') AS unmade FROM lk GROUP BY symbol)
+SELECT symbol, first, last, months, gaps, CASE WHEN coalesce(gapped, behind, nothing) IS NOT NULL THEN 'incomplete' WHEN unmade IS NOT NULL OR symbol = 'R' THEN 'warning' ELSE 'complete' END AS status,
+  coalesce('gaps in ' || gapped, 'behind the base: ' || behind, 'no bars of ' || nothing, 'no features or labels of ' || unmade, CASE WHEN symbol = 'R' THEN 'checks failed' END) AS reason FROM sy""")
+def lake_symbols(spark, sf_dir):
+    """The verdict on each symbol of the lake; one of them failed its checks."""
+    bars, made, known = lake(spark, sf_dir)
+    failed = bars.where("symbol = 'R'").select("symbol")
+    return inventory.symbols(inventory.intervals(bars, made, known, "1d"), failed, "1d").drop("bytes")
+
+
+@query(f"""WITH {LAKE}, rs AS (SELECT symbol, interval, unnest(list_filter([CASE WHEN interval = '1d' AND gaps > 0 THEN 1 END, CASE WHEN interval <> '1d' AND status = 'incomplete' THEN 2 END, CASE WHEN interval <> '1d' AND status = 'incomplete' OR status = 'warning' THEN 3 END], lambda x: x IS NOT NULL)) AS step FROM lk)
+SELECT rs.symbol, step, ['ingest', 'rollup', 'features'][step] AS action, string_agg(rs.interval, ', ' ORDER BY rs.interval) AS intervals, b.first, last_day(b.last) AS last FROM rs JOIN iv b ON b.symbol = rs.symbol AND b.interval = '1d' GROUP BY ALL""")
+def lake_repairs(spark, sf_dir):
+    """What mends the lake, in order."""
+    return inventory.repairs(inventory.intervals(*lake(spark, sf_dir), "1d"), "1d")
+
+
 def queries() -> dict:
     return {k: v[0] for k, v in FOUND.items()}
 

@@ -17,6 +17,11 @@ def ingest(spark: SparkSession, path: str, interval: str) -> DataFrame:
     rows = spark.read.text(path)
     if "symbol" not in rows.columns:
         rows = rows.select("value", F.regexp_extract(F.input_file_name(), "([^/]+?)[-_.][^/]*$", 1).alias("symbol"))
+    return parsed(rows, interval)
+
+
+def parsed(rows: DataFrame, interval: str) -> DataFrame:
+    """Bars from lines (symbol, value)."""
     f = F.split("value", ",")
     number = lambda k, kind: F.try_element_at(f, F.lit(k + 1)).try_cast(kind)
     first = {name: number(k + 1, "double") for k, name in enumerate(("open", "high", "low", "close", "volume"))}
@@ -48,11 +53,27 @@ def verify_lines(spark: SparkSession, folder: str, manifest: str) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Month partitions; only those that bars touches are replaced."""
-    rows = bars.withColumns({"year": F.year("open_time"), "month": F.month("open_time")})
+    """Month partitions, each written by one task; only those that bars touches are replaced."""
+    rows = bars.withColumns({"year": F.year("open_time"), "month": F.month("open_time")}).repartition("interval", "symbol", "year", "month")
     rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("interval", "symbol", "year", "month").parquet(path)
 
 
+def write_weeks(bars: DataFrame, path: str) -> None:
+    """Weekly bars by ISO year and week, the partitions of which are replaced."""
+    rows = bars.withColumns({"year": F.expr("extract(YEAROFWEEK FROM open_time)"), "week": F.weekofyear("open_time")}).repartition("interval", "symbol", "year")
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("interval", "symbol", "year", "week").parquet(path)
+
+
+def files(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
+    """Every file below a path: path, bytes, and the values of `symbol`, `interval`, `year`, `month`, `week` and `horizon` in its folders' names.
+
+    Only the listing is read, no file's content.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).select("path", c("length").alias("bytes"))
+    named = lambda k: F.nullif(F.regexp_extract("path", f"/{k}=([^/]+)/", 1), F.lit("")).alias(k)
+    return rows.select("path", "bytes", *map(named, ("symbol", "interval", "horizon")), *[named(k).try_cast("int").alias(k) for k in ("year", "month", "week")])
+
+
 def read_bars(spark: SparkSession, path: str, first_month: str | None = None, last_month: str | None = None) -> DataFrame:
     """Bars between two months (YYYY-MM), by partitions."""
     rows = spark.read.parquet(path)
