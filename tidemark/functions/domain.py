@@ -84,6 +84,16 @@ def entropy(p: Column) -> Column:
     return -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.ln(x)).otherwise(F.lit(0.0)))
 
 
+def max_entropy(kinds: int) -> Column:
+    """Entropy of an even distribution over a number of kinds, two at least."""
+    return F.ln(F.lit(float(max(2, kinds))))
+
+
+def sharpness(p: Column, kinds: int) -> Column:
+    """1 for a certain forecast, 0 for an even one."""
+    return 1 - entropy(p) / max_entropy(kinds)
+
+
 def kl(p: Column, q: Column) -> Column:
     floor = lambda x: F.greatest(x, F.lit(1e-12))
     return F.aggregate(F.zip_with(p, q, lambda x, y: floor(x) * F.ln(floor(x) / floor(y))), F.lit(0.0), lambda a, x: a + x)
@@ -138,7 +148,7 @@ def quality_score(correct: Column, confidence: Column, b: Column, n: Column, dep
 
 def quality_flags(correct: Column, confidence: Column, h: Column, depth_error: Column, predicted: Column, actual: Column) -> Column:
     return F.array_compact(F.array(
-        F.when(confidence < 0.45, F.lit("low_confidence")), F.when(h > 0.92 * F.ln(F.lit(2.0)), F.lit("high_entropy")), F.when(~correct & (confidence >= 0.65), F.lit("calibration_mismatch")),
+        F.when(confidence < 0.45, F.lit("low_confidence")), F.when(h > 0.92 * max_entropy(2), F.lit("high_entropy")), F.when(~correct & (confidence >= 0.65), F.lit("calibration_mismatch")),
         F.when(depth_error >= 5, F.lit("large_return_error")), F.when(predicted != actual, F.lit("depth_mismatch")),
     ))
 
@@ -181,8 +191,8 @@ def quality_reason(status: Column, correct: Column, predicted: Column, actual: C
     """The verdict of a quality row in words."""
     verdict = F.when(correct, "correct").otherwise("wrong")
     number = lambda x, pattern: F.call_function("format_number", x, F.lit(pattern))
-    words = F.format_string("%s %s vs %s at %s%% confidence; return %s%%.", verdict, predicted, actual, number(confidence * 100, "0.0"), number(fwd_return * 100, "0.00"))
-    return F.when(status == "missing_target", "Target candle is not available yet for this horizon.").when(status == "scored", words)
+    words = F.format_string("%s: said %s, came %s; %s%% sure, moved %s%%", verdict, predicted, actual, number(confidence * 100, "0.0"), number(fwd_return * 100, "0.00"))
+    return F.when(status == "missing_target", "No bar yet at the horizon's end.").when(status == "scored", words)
 
 
 def exposure_policy(raw: str | None) -> dict[str, float]:
@@ -213,6 +223,35 @@ def slug_parts(slug: Column) -> Column:
     return F.when(safe, F.struct(part(1).alias("model"), part(2).alias("interval"), part(3).alias("run_ts")))
 
 
+#: Intervals that names of stored runs may hold.
+RUN_INTERVALS = ("1m", "1h", "1d", "1w")
+
+
+def run_name(model: Column, run_ts: Column, interval: Column | None = None) -> Column:
+    """The name of a run's folder, with its interval or in the older form without one; null where a part is empty or could name another folder."""
+    parts = [model, *([interval] if interval is not None else []), run_ts]
+    safe = [x.isNotNull() & (F.length(x) > 0) & ~x.rlike(r"[/\\\\]|\.\.") for x in parts]
+    return F.when(reduce(lambda a, b: a & b, safe), F.concat_ws("_", *parts))
+
+
+def run_parts(name: Column) -> Column:
+    """model, interval and run_ts of a run's name that ends in at least 12 digits; null for others.
+
+    With a known interval before the digits that interval is the run's, and a model that ends in it once more loses it; without one the
+    name is of the older form: the model is the first part, the interval a day, the rest the time.
+    """
+    words = F.split(name, "_")
+    n = F.size(words)
+    known = (n >= 3) & F.try_element_at(words, F.lit(-2)).isin(*RUN_INTERVALS)
+    interval = F.try_element_at(words, F.lit(-2))
+    model = F.array_join(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), "_")
+    twice = model.endswith(F.concat(F.lit("_"), interval)) & (F.length(model) > F.length(interval) + 1)
+    model = F.when(twice, F.left(model, F.length(model) - F.length(interval) - 1)).otherwise(model)
+    named = lambda m, i, t: F.struct(m.alias("model"), i.alias("interval"), t.alias("run_ts"))
+    older = named(F.element_at(words, 1), F.lit("1d"), F.array_join(F.slice(words, F.lit(2), n), "_"))
+    return F.when((n >= 2) & F.element_at(words, -1).rlike(r"^[0-9]{12,}$"), F.when(known, named(model, interval, F.element_at(words, -1))).otherwise(older))
+
+
 def bin_lower(label: Column) -> Column:
     """Lower edge of a depth bin in percent, from its name."""
     return F.regexp_extract(label, r"^([0-9]+)", 1).try_cast("double")

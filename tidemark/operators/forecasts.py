@@ -231,6 +231,23 @@ def recommendations(rows: DataFrame, limit: int = 500) -> DataFrame:
     return ok.orderBy(c("quality_score").desc(), F.round(F.abs("edge"), 9).desc(), "open_time", "horizon", "symbol").limit(limit).crossJoin(F.broadcast(n))  # one row
 
 
+def worst(rows: DataFrame, limit: int = 100, flag: str | None = None) -> DataFrame:
+    """The worst scored rows (1 to 5000, with a flag if one is named) by error score, with how many there are in all."""
+    ok = rows.where("status = 'scored'")
+    ok = ok.where(F.array_contains("flags", flag)) if flag else ok
+    n = ok.agg(F.count(F.lit(1)).alias("total"))
+    return ok.orderBy(c("error_score").desc(), "open_time", "horizon", "symbol").limit(max(1, min(limit, 5000))).crossJoin(F.broadcast(n))  # one row
+
+
+def pooled_power(facts: DataFrame, correlations: DataFrame) -> DataFrame:
+    """facts (horizon, forward, n times, scored rows) with effective symbols, independent observations to train on and to be scored on, and `low`: the sides with fewer than MIN_INDEPENDENT."""
+    rows = facts.join(correlations.select("horizon", "symbols", "correlation"), "horizon")
+    rows = rows.withColumn("effective", d.effective_symbols(c("symbols").cast("double"), c("correlation")))
+    train = d.effective_samples(F.greatest(F.lit(0), d.window_steps(c("forward"), c("n")) - c("forward")), c("forward")) * F.greatest(F.lit(1.0), c("effective"))
+    rows = rows.withColumns({"train_power": train, "scored_power": d.effective_samples(c("scored"), c("forward"))})
+    return rows.withColumn("low", F.array_compact(F.array(F.when(c("train_power") < d.MIN_INDEPENDENT, "training window"), F.when(c("scored_power") < d.MIN_INDEPENDENT, "scored range"))))
+
+
 def cutoffs(bars: DataFrame) -> DataFrame:
     """The first bar of each calendar month serves that month."""
     return bars.groupBy("symbol", F.date_trunc("month", "open_time").alias("month")).agg(F.min("open_time").alias("cutoff"))

@@ -38,6 +38,32 @@ def rollup_many(bars: DataFrame, intervals: list[str]) -> DataFrame:
     return rows.groupBy("symbol", c("b.i").alias("interval"), c("b.at").alias("bucket")).agg(*_aggs(bars.columns)).withColumnRenamed("bucket", "open_time")
 
 
+def asked(text: str | list[str]) -> list[str]:
+    """Intervals from a list, or from text that parts them by commas or spaces; each once, in order."""
+    parts = " ".join([text] if isinstance(text, str) else map(str, text)).replace(",", " ").split()
+    return list(dict.fromkeys(parts))
+
+
+def rollup_each(bars: DataFrame, text: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Bars of the intervals that were asked for, and (interval, symbol, bars, error) of each: an unknown one stops none of the others.
+
+    An interval finer than the source, or none that is known, has an error; so has a symbol without a row at a known one.
+    """
+    wanted = asked(text)
+    source = bars.select("symbol", "interval").distinct()
+    known = [i for i in wanted if i in INTERVALS]
+    minutes = F.create_map(*[F.lit(x) for k, v in INTERVALS.items() for x in (k, v)])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i in INTERVALS).alias("ok")) for i in wanted])).alias("w")
+    plan = source.select("symbol", "interval", each).select("symbol", c("interval").alias("source"), c("w.i").alias("interval"), c("w.ok").alias("ok"))
+    finer = c("ok") & (F.try_element_at(minutes, c("interval")) < F.try_element_at(minutes, c("source")))
+    plan = plan.withColumn("error", F.when(~c("ok"), "unsupported interval").when(finer, "finer than the source"))
+    made = rollup_many(bars, known) if known else bars.limit(0).drop("interval").withColumn("interval", F.lit(""))
+    made = made.join(plan.where("error IS NULL").select("symbol", "interval"), ["symbol", "interval"], "left_semi")
+    counts = made.groupBy("symbol", "interval").agg(F.count(F.lit(1)).alias("bars"))
+    report = plan.join(counts, ["symbol", "interval"], "left").fillna(0, ["bars"])
+    return made, report.select("interval", "symbol", "bars", F.coalesce("error", F.when(c("bars") == 0, "no bars")).alias("error"))
+
+
 def scan(bars: DataFrame, filters: list[tuple[str, str, object]]) -> DataFrame:
     """Filters (column, one of == >= <= > <, value), all of them."""
     ops = {"==": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}

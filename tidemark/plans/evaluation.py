@@ -100,7 +100,7 @@ def scored_sql(source: str, name: str) -> str:
 {name} AS (SELECT *, CASE WHEN status = 'scored' THEN round(least(100, CASE WHEN correct THEN 45.0 ELSE 0.0 END + 25 * greatest(0, 1 - brier / 2) + 20 * greatest(0, 1 - nll / {ln2})
   + 10 * CASE WHEN correct THEN confidence ELSE 1 - confidence END + 10 * greatest(0, 1 - depth_abs_error_pct / 20)), 4) END AS quality_score,
   CASE WHEN status = 'scored' THEN list_filter([CASE WHEN confidence < 0.45 THEN 'low_confidence' END, CASE WHEN entropy > 0.92 * {ln2} THEN 'high_entropy' END, CASE WHEN NOT correct AND confidence >= 0.65 THEN 'calibration_mismatch' END,
-  CASE WHEN depth_abs_error_pct >= 5 THEN 'large_return_error' END, CASE WHEN predicted_bin <> depth_bin THEN 'depth_mismatch' END], lambda x: x IS NOT NULL) END AS flags, CASE status WHEN 'missing_target' THEN 'Target candle is not available yet for this horizon.' WHEN 'scored' THEN printf('%s %s vs %s at %.1f%% confidence; return %.2f%%.', CASE WHEN correct THEN 'correct' ELSE 'wrong' END, predicted, direction, confidence * 100, fwd_return * 100) END AS reason FROM {name}_3)"""
+  CASE WHEN depth_abs_error_pct >= 5 THEN 'large_return_error' END, CASE WHEN predicted_bin <> depth_bin THEN 'depth_mismatch' END], lambda x: x IS NOT NULL) END AS flags, CASE status WHEN 'missing_target' THEN 'No bar yet at the horizon''s end.' WHEN 'scored' THEN printf('%s: said %s, came %s; %.1f%% sure, moved %.2f%%', CASE WHEN correct THEN 'correct' ELSE 'wrong' END, predicted, direction, confidence * 100, fwd_return * 100) END AS reason FROM {name}_3)"""
 
 
 def lean_sql(source: str, name: str) -> str:
@@ -212,6 +212,21 @@ def window_power(spark, sf_dir):
     return rows.select("symbol", "horizon", c("scored").alias("n"), ((power < 3) | (train < 3)).alias("low_power"), train.alias("train_power"), power.alias("scored_power"))
 
 
+POOLED = f"""{LAB}, p AS (SELECT a.horizon, a.symbol AS s1, b.symbol AS s2, corr(a.fwd_return, b.fwd_return) AS r, count(*) AS n FROM lab a JOIN lab b ON a.horizon = b.horizon AND a.open_time = b.open_time AND a.symbol < b.symbol WHERE a.fwd_return IS NOT NULL AND b.fwd_return IS NOT NULL GROUP BY 1, 2, 3),
+sy AS (SELECT horizon, max(forward) AS forward, count(DISTINCT symbol) AS symbols, count(DISTINCT open_time) AS n, count(target_time) AS scored FROM lab GROUP BY 1), rr AS (SELECT horizon, avg(r) AS rho FROM p WHERE n >= 30 AND isfinite(r) GROUP BY 1),
+ef AS (SELECT sy.*, symbols / (1 + (symbols - 1) * least(greatest(coalesce(rho, 0), 0), 1)) AS effective, CASE WHEN forward + greatest(730, 3 * forward) <= n - 4 * forward THEN forward + greatest(730, 3 * forward) ELSE greatest(forward + 30, least(forward + greatest(730, 3 * forward), n // 2)) END AS steps FROM sy LEFT JOIN rr USING (horizon)),
+pw AS (SELECT horizon, effective, greatest(0, steps - forward) / forward * greatest(1, effective) AS train_power, scored / forward AS scored_power FROM ef),
+pm AS (SELECT *, list_filter([CASE WHEN train_power < 3 THEN 'training window' END, CASE WHEN scored_power < 3 THEN 'scored range' END], lambda x: x IS NOT NULL) AS low FROM pw)"""
+
+
+@query(select(POOLED, "pm", "horizon, low", "effective, train_power, scored_power"))
+def pooled_power(spark, sf_dir):
+    """Independent observations of a pool that trains and is scored together, and the sides of each horizon that have too few."""
+    known = labels(spark, sf_dir)
+    facts = known.groupBy("horizon").agg(F.max("forward").alias("forward"), F.count_distinct("open_time").alias("n"), F.count("target_time").alias("scored"))
+    return forecasts.pooled_power(facts, correlation.return_correlation(known)).select("horizon", "low", "effective", "train_power", "scored_power")
+
+
 @query(select(f"{LAB}, p AS (SELECT a.horizon, a.symbol AS s1, b.symbol AS s2, corr(a.fwd_return, b.fwd_return) AS r, count(*) AS n FROM lab a JOIN lab b ON a.horizon = b.horizon AND a.open_time = b.open_time AND a.symbol < b.symbol WHERE a.fwd_return IS NOT NULL AND b.fwd_return IS NOT NULL GROUP BY 1, 2, 3), sy AS (SELECT horizon, count(DISTINCT symbol) AS symbols FROM lab GROUP BY 1), m AS (SELECT horizon, symbols, count(*) AS pairs, avg(r) AS correlation, symbols / (1 + (symbols - 1) * least(greatest(avg(r), 0), 1)) AS effective FROM p JOIN sy USING (horizon) WHERE n >= 30 AND isfinite(r) GROUP BY 1, 2)", "m", "horizon, symbols, pairs", "correlation, effective"))
 def return_correlation(spark, sf_dir):
     return correlation.return_correlation(labels(spark, sf_dir)).withColumn("effective", d.effective_symbols(c("symbols").cast("double"), c("correlation")))
@@ -309,6 +324,22 @@ def worst_predictions(spark, sf_dir):
     return quality(spark, sf_dir).where("status = 'scored'").orderBy("quality_score", "open_time", "horizon", "symbol").limit(100).select("symbol", "horizon", "open_time", "quality_score")
 
 
+@query(select(f"{QUALITY}, wf AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY 100 - quality_score DESC, open_time, horizon, symbol) AS k FROM q WHERE status = 'scored' AND list_contains(flags, 'high_entropy'))", "wf WHERE k <= 250", "symbol, horizon, open_time, total", "quality_score, 100 - quality_score AS error_score"))
+def worst_flagged(spark, sf_dir):
+    """The 250 worst of the rows that carry a flag, with how many carry it."""
+    return forecasts.worst(quality(spark, sf_dir), 250, "high_entropy").select("symbol", "horizon", "open_time", "total", "quality_score", "error_score")
+
+
+SHARP = f"-list_sum(list_transform({{}}, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln({K})"
+
+
+@query(select(f"{FC}, sh AS (SELECT symbol, horizon, avg(1 + (p_long * ln(p_long) + p_short * ln(p_short)) / ln(2)) AS sides, avg(1 - ({SHARP.format('up')})) AS up, avg(1 - ({SHARP.format('down')})) AS down FROM fc WHERE trained GROUP BY 1, 2)", "sh", "symbol, horizon", "sides, up, down"))
+def sharpness(spark, sf_dir):
+    """How far forecasts are from even ones, by the entropies of their sides and of their depth bins."""
+    mean = lambda p, k: F.avg(d.sharpness(p, k))
+    return baseline(spark, sf_dir).where("trained").groupBy("symbol", "horizon").agg(mean(F.array("p_long", "p_short"), 2).alias("sides"), mean(c("up"), K).alias("up"), mean(c("down"), K).alias("down"))
+
+
 @query(select(f"{QUALITY}, b AS (SELECT symbol, horizon, avg(correct::int) AS accuracy, avg((predicted = 'long')::int) AS predicted_long, avg((direction = 'long')::int) AS actual_long, greatest(avg((direction = 'long')::int), 1 - avg((direction = 'long')::int)) AS majority FROM q WHERE status = 'scored' GROUP BY 1, 2)", "b", "symbol, horizon", "accuracy, predicted_long, actual_long, majority"))
 def base_rate(spark, sf_dir):
     share = lambda x: F.avg(x.cast("double"))
@@ -346,7 +377,7 @@ def run_ranking(spark, sf_dir):
     return rows.groupBy("symbol", "model").agg(F.avg("quality_score").alias("score")).join(by, ["symbol", "model"]).orderBy(c("score").desc_nulls_last())
 
 
-PAIRED = "pr AS (SELECT a.symbol, a.horizon, a.open_time, a.idx, a.model AS m1, b.model AS m2, a.correct::int - b.correct::int AS hit, a.nll - b.nll AS loss FROM q a JOIN q b ON a.symbol = b.symbol AND a.horizon = b.horizon AND a.open_time = b.open_time AND a.model < b.model WHERE a.status = 'scored' AND b.status = 'scored')"
+PAIRED = "pr AS (SELECT symbol, horizon, open_time, min(model) AS m1, max(model) AS m2, arg_min(correct::int, model) - arg_max(correct::int, model) AS hit, arg_min(nll, model) - arg_max(nll, model) AS loss FROM q WHERE status = 'scored' GROUP BY 1, 2, 3 HAVING count(*) = 2)"
 
 
 @query(select(f"{LEAN_TWO}, {PAIRED}", "pr", "symbol, horizon, open_time, m1, m2, hit::bigint AS hit", "loss"))

@@ -186,6 +186,21 @@ def run_slug(spark, sf_dir):
     return runs.select("symbol", "slug", "p.model", "p.interval", "p.run_ts", (c("p").isNotNull() & d.slug_parts(F.concat(F.lit("../"), "slug")).isNull()).alias("readable"))
 
 
+NAMED = """nm AS (SELECT symbol, model, interval, replace(run_ts, 'T', '') AS ts FROM runs),
+nv AS (SELECT symbol, model || '_1h_' || ts AS name, model, '1h' AS interval, ts AS run_ts FROM nm UNION ALL SELECT symbol, model || '_1h_1h_' || ts, model, '1h', ts FROM nm UNION ALL SELECT symbol, model || '_' || ts, model, '1d', ts FROM nm
+  UNION ALL SELECT symbol, model || '_old_' || ts, model, '1d', 'old_' || ts FROM nm UNION ALL SELECT symbol, model || '_x', NULL, NULL, NULL FROM nm)"""
+
+
+@query(f"WITH {STORED}, {NAMED} SELECT symbol, name, model, interval, run_ts FROM nv")
+def run_names(spark, sf_dir):
+    """Names of stored runs in every form there has been, taken apart; names of no run are refused."""
+    runs = forecasts.named_runs(stored_runs(spark, sf_dir)).withColumn("ts", F.replace("run_ts", F.lit("T"), F.lit("")))
+    hour = F.lit("1h")
+    forms = [d.run_name(c("model"), c("ts"), hour), d.run_name(F.concat("model", F.lit("_1h")), c("ts"), hour), d.run_name(c("model"), c("ts")), d.run_name(c("model"), F.concat(F.lit("old_"), "ts")), d.run_name(c("model"), F.lit("x")), d.run_name(c("model"), F.lit("../x"))]
+    rows = runs.select("symbol", F.explode(F.array_compact(F.array(*forms))).alias("name")).withColumn("p", d.run_parts(c("name")))
+    return rows.select("symbol", "name", "p.model", "p.interval", "p.run_ts")
+
+
 @query(f"WITH {STORED} SELECT symbol, model, run_ts, horizon, count(*) AS rows FROM sr WHERE run_ts = '{AGAIN}' GROUP BY ALL")
 def orphan_artifacts(spark, sf_dir):
     """Tables derived from all stored runs, after the newest of them was deleted."""

@@ -105,6 +105,15 @@ def rollup_many(spark, sf_dir):
     return out.select("interval", "symbol", "open_time", "n_source_bars", *OHLC.split(", "))
 
 
+@query(
+    f"WITH {HOURS}, u AS (" + " UNION ALL ".join(f"SELECT '{i}' AS interval, symbol, count(DISTINCT {b}) AS bars, NULL AS error FROM hours GROUP BY 2" for i, b in MANY if i != "3d")
+    + ") SELECT * FROM u UNION ALL SELECT x, symbol, 0, CASE x WHEN '5m' THEN 'finer than the source' ELSE 'unsupported interval' END FROM (SELECT DISTINCT symbol FROM hours) CROSS JOIN (VALUES ('5m'), ('7x')) v(x)"
+)
+def rollup_report(spark, sf_dir):
+    """Intervals asked for in one text, one unknown and one too fine: what was made of each, and what was not."""
+    return rollups.rollup_each(tick_bars(spark, sf_dir, "hour"), "4h, 1d 7x,1w 5m 4h")[1]
+
+
 @query(select(BARS, "bars WHERE open_time BETWEEN timestamp '1997-03-01' AND timestamp '1998-02-28 23:59:59.999'", "symbol, open_time", OHLC))
 def time_range(spark, sf_dir):
     return features.time_range(daily_bars(spark, sf_dir), "1997-03", "1998-02").select("symbol", "open_time", *OHLC.split(", "))
