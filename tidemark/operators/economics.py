@@ -124,12 +124,12 @@ def mistimed(path: DataFrame, cost: float = 0.002) -> DataFrame:
     return ranks.join(middle, HKEYS)
 
 
-def summary(path: DataFrame, bars: DataFrame, cost: float = 0.002, lookback: int = 7) -> DataFrame:
-    """One row a path: its ROI beside holding, a constant exposure, its own shifts and the momentum rule, and its deepest fall."""
+def summary(path: DataFrame, bars: DataFrame, cost: float = 0.002, lookback: int = 7, most: float = float("inf")) -> DataFrame:
+    """One row a path: its ROI beside holding, a constant exposure, its own shifts and the momentum rule, and its deepest fall. ROIs of replays count `most` at most."""
     rows = settled(replay(path, cost))
-    out = roi(rows).select(*HKEYS, "roi")
+    out = roi(rows).select(*HKEYS, F.least("roi", F.lit(most)).alias("roi"))
     for name, other in (("hold_roi", buy_and_hold(path, cost)), ("constant_roi", constant_exposure(path, cost))):
         out = out.join(other.select(*HKEYS, c("roi").alias(name)), HKEYS)
-    out = out.join(momentum(bars, lookback, cost).select("symbol", "interval", c("roi").alias("momentum_roi")), ["symbol", "interval"])
+    out = out.join(momentum(bars, lookback, cost).select("symbol", "interval", F.least("roi", F.lit(most)).alias("momentum_roi")), ["symbol", "interval"])
     out = out.join(mistimed(path, cost).select(*HKEYS, "percentile"), HKEYS, "left").join(path_stats(rows), HKEYS, "left")
     return out.select(*HKEYS, "roi", *[(c("roi") - c(f"{x}_roi")).alias(f"over_{x}") for x in ("hold", "constant", "momentum")], "percentile", "max_drawdown")

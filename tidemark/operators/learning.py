@@ -7,6 +7,8 @@ applied as table operations. Months and horizons that can't be fitted have rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -328,6 +330,30 @@ def walk_forward(pool: DataFrame, names: list[str], plan: DataFrame, size: tuple
     return met.select("symbol", "horizon", "open_time", "month", "trained", half("p_long"), half("p_short"), "raw_long", "temperature", "source", c("fitted_on").alias("calibrated_on"))
 
 
+#: Forecasters by name: functions of (pool, names, plan) to a run's forecasts.
+FORECASTERS: dict[str, Callable[[DataFrame, list[str], DataFrame], DataFrame]] = {
+    "ml": walk_forward, "boosted": lambda pool, names, plan: walk_forward(pool, names, plan, BOOSTED),
+}
+FORECAST = ("symbol", "horizon", "open_time", "month", "trained", "p_long", "p_short")
+
+
+def register(name: str, forecaster: Callable[[DataFrame, list[str], DataFrame], DataFrame]) -> None:
+    """Adds a forecaster under a name of its own; it sees a pool and a plan, and keeps to labels before each month's cutoff itself."""
+    if name in FORECASTERS:
+        raise ValueError(f"there is a forecaster named {name}")
+    FORECASTERS[name] = forecaster
+
+
+def forecast(name: str, pool: DataFrame, names: list[str], plan: DataFrame) -> DataFrame:
+    """A named forecaster's run over the planned months, with `model`; refused where its rows lack a column of FORECAST."""
+    if name not in FORECASTERS:
+        raise ValueError(f"no forecaster {name}; known are {', '.join(sorted(FORECASTERS))}")
+    out = FORECASTERS[name](pool, names, plan)
+    if lacking := [x for x in FORECAST if x not in out.columns]:
+        raise ValueError(f"forecasts of {name} lack {', '.join(lacking)}")
+    return out.withColumn("model", F.lit(name))
+
+
 def feature_importances(made: DataFrame) -> DataFrame:
     """horizon, name, importance of the last month's models."""
     last = made.where("part = 'gain'").groupBy("horizon").agg(F.max("month").alias("month"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,34 @@ def calibration_error_interval(quality: DataFrame, keys: list[str] = SERIES, bin
     return interval(points, resampled(rows, keys, names, resamples).withColumn("m", total(c) / c("n")), keys).drop("p_value")
 
 
+def statistic_interval(rows: DataFrame, keys: list[str], partials: dict[str, Column], finish: Callable[[Callable[[str], Column], Column], Column], resamples: int = RESAMPLES, reference: float = CHANCE) -> DataFrame:
+    """Any statistic of rows (keys, forward, idx) that `finish` makes of sums of partials and the number of rows, with its interval and p.
+
+    finish takes a function from a partial's name to its sum, and the number; a ratio of means, a moment or a quantile from a histogram
+    (`median_of`) are of this kind. Every resample sums the partials of its blocks, so it costs what a mean costs.
+    """
+    rows = numbered(settled(rows.select(*keys, "forward", "idx", *[p.cast("double").alias(k) for k, p in partials.items()])), keys)
+    points = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in partials]).select(*keys, "n", finish(c, c("n")).alias("value"))
+    return interval(points, resampled(rows, keys, list(partials), resamples).withColumn("m", finish(c, c("n"))), keys, reference)
+
+
+def median_of(x: Column, edges: list[float]) -> tuple[dict[str, Column], Callable[[Callable[[str], Column], Column], Column]]:
+    """Partials and finish of the median of x, read from its histogram over edges by interpolation; values from the last edge on count as that edge."""
+    inside = [(x >= a) & (x < b) for a, b in zip(edges, edges[1:], strict=False)] + [x >= edges[-1]]
+    partials = {f"bin_{k}": F.coalesce(hit.cast("double"), F.lit(0.0)) for k, hit in enumerate(inside)}
+
+    def finish(total: Callable[[str], Column], n: Column) -> Column:
+        half, before, out = n / 2, F.lit(0.0), None
+        for k, (a, b) in enumerate(zip(edges, [*edges[1:], edges[-1]], strict=True)):
+            here = total(f"bin_{k}")
+            value = F.lit(float(a)) + F.try_divide(half - before, here) * (b - a)
+            out = F.when(before + here >= half, value) if out is None else out.when(before + here >= half, value)
+            before = before + here
+        return out
+
+    return partials, finish
+
+
 def versus(low: Column, high: Column, reference: float) -> Column:
     return F.when(low.isNull(), None).when(low > reference, "above").when(high < reference, "below").otherwise("indistinguishable")
 
@@ -155,7 +185,7 @@ def paired_differences(quality: DataFrame, seeds: list[int], resamples: int = RE
     return out.join(q, [*keys, "measure"], "left")
 
 
-def boot_sql(source: str, name: str, keys: str, values: str, point: str, estimate: str, reference: float = CHANCE, resamples: int = RESAMPLES) -> str:
+def boot_sql(source: str, name: str, keys: str, values: str, point: str, estimate: str, reference: float = CHANCE, resamples: int = RESAMPLES, stretch: int = 1) -> str:
     """SQL of `interval` over `resampled`: relations from source (keys, forward, pos, values); estimate is over sums S(v)."""
     ks = [k.strip() for k in keys.split(",")]
     vs = [v.strip() for v in values.split(",")]
@@ -164,7 +194,7 @@ def boot_sql(source: str, name: str, keys: str, values: str, point: str, estimat
         estimate = estimate.replace(f"S({v})", f"sum(h.upto_{v} - l.upto_{v} + l.{v})")
     return f"""
 {name}_s AS (SELECT {keys}, pos, {values}, {', '.join(f'sum({v}) OVER (PARTITION BY {keys} ORDER BY pos) AS upto_{v}' for v in vs)} FROM {source}),
-{name}_b AS (SELECT {keys}, max(forward) AS block, count(*) AS n, {point} AS value FROM {source} GROUP BY {keys}),
+{name}_b AS (SELECT {keys}, max(forward) * {stretch} AS block, count(*) AS n, {point} AS value FROM {source} GROUP BY {keys}),
 {name}_d AS (SELECT *, unnest(range(ceil(n / block)::bigint)) AS slot FROM (SELECT *, unnest(range({resamples})) AS b FROM {name}_b WHERE n / block >= {LEAST_BLOCKS})),
 {name}_t AS (SELECT *, ('0x' || substr(md5({" || '|' || ".join([*ks, 'b', 'slot'])}), 1, 8))::bigint % (n - block + 1) AS start, least(block, n - slot * block) AS size FROM {name}_d),
 {name}_e AS (SELECT {', '.join(f't.{k} AS {k}' for k in ks)}, b, {estimate} AS m FROM {name}_t t JOIN {name}_s h ON {on('t', 'h')} AND h.pos = t.start + t.size - 1 JOIN {name}_s l ON {on('t', 'l')} AND l.pos = t.start GROUP BY {', '.join(f't.{k}' for k in ks)}, b),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -526,11 +528,25 @@ def mistimed_replay(spark, sf_dir):
     return economics.mistimed(path(spark, sf_dir)).select("symbol", "horizon", "samples", "percentile", F.least(c("median_roi"), F.lit(1e9)).alias("median_roi"))
 
 
-@query()
+def summary_sql(model: str) -> str:
+    """Of one model's forecasts (relation tw): a row a path, as `economics.summary`."""
+    rest = REPLAYED[len(FC) + 2 :]
+    return f"""SELECT '{model}' AS model, s.* FROM (WITH fc AS (SELECT * FROM tw WHERE model = '{model}'), {rest}, {SHIFTS}, {FALLS}, {CONSTANT},
+ro AS (SELECT symbol, horizon, {ROI} FROM rp GROUP BY 1, 2), hb AS (SELECT symbol, horizon, arg_min(next_open, idx) AS entry, arg_max(next_close, idx) AS exit FROM path GROUP BY 1, 2),
+mo AS (SELECT symbol, open_time, close, CASE WHEN close > lag(close, 7) OVER w THEN 1.0 ELSE 0.0 END AS exposure FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+mr AS (SELECT *, lead(close) OVER w / close - 1 AS r, CASE WHEN lead(close) OVER w IS NOT NULL THEN abs(exposure - coalesce(lag(exposure) OVER w, 0)) END AS turn FROM mo WINDOW w AS (PARTITION BY symbol ORDER BY open_time)), mf AS (SELECT *, 1 + exposure * r - turn * 0.002 AS f FROM mr),
+mm AS (SELECT symbol, {ROI} FROM mf GROUP BY 1)
+SELECT symbol, count(*) AS paths, avg(least(ro.roi, 1e9)) AS roi, avg(least(ro.roi, 1e9) - (exit / entry * (1 - 0.002) - 1)) AS over_hold, avg(least(ro.roi, 1e9) - co.roi) AS over_constant, avg(least(ro.roi, 1e9) - least(mm.roi, 1e9)) AS over_momentum, avg(percentile) AS percentile, avg(max_drawdown) AS max_drawdown
+FROM ro JOIN hb USING (symbol, horizon) JOIN co USING (symbol, horizon) JOIN mm USING (symbol) LEFT JOIN mt USING (symbol, horizon) LEFT JOIN ps USING (symbol, horizon) GROUP BY symbol) s"""
+
+
+@query(select(f"{COUNTED}, {several('tw', TWO_RUNS)}, bt AS ({' UNION ALL '.join(summary_sql(m) for m, _, _ in TWO_RUNS)})", "bt", "symbol, model, paths", "roi, over_hold, over_constant, over_momentum, percentile, max_drawdown"))
 def backtest_summary(spark, sf_dir):
-    """Means over the horizons of what each symbol's paths gain over simpler strategies."""
-    rows = economics.summary(path(spark, sf_dir), daily_bars(spark, sf_dir))
-    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("paths"), *[F.avg(x).alias(x) for x in ("roi", "over_hold", "over_constant", "over_momentum", "percentile", "max_drawdown")])
+    """Means over the horizons of what each symbol's and model's paths gain over simpler strategies."""
+    rows, bars = settled(two_models(spark, sf_dir)), daily_bars(spark, sf_dir)
+    each = [economics.summary(economics.executed(rows.where(c("model") == m).drop("model", "seed"), bars), bars, most=1e9).withColumn("model", F.lit(m)) for m, _, _ in TWO_RUNS]
+    every = reduce(DataFrame.unionByName, each)
+    return every.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("paths"), *[F.avg(x).alias(x) for x in ("roi", "over_hold", "over_constant", "over_momentum", "percentile", "max_drawdown")])
 
 
 # ---- significance
@@ -540,6 +556,31 @@ HITS = "hit AS (SELECT symbol, horizon, forward, row_number() OVER (PARTITION BY
 BOOT = f"{LEAN}, {HITS}, {significance.boot_sql('hit', 'boot', 'symbol, horizon', 'x', 'avg(x)', 'S(x) / max(n)')}"
 
 
+ERROR_EDGES = [0.0, 1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0, 34.0, 55.0, 89.0, 144.0]
+
+
+def _median_sql(total: str, n: str) -> str:
+    """SQL of `significance.median_of`'s finish; total has {} for a bin's name."""
+    sums = [total.format(f"bin_{k}") for k in range(len(ERROR_EDGES))]
+    parts = []
+    for k, (a, b) in enumerate(zip(ERROR_EDGES, [*ERROR_EDGES[1:], ERROR_EDGES[-1]], strict=True)):
+        before = " + ".join(sums[:k]) or "0.0"
+        parts.append(f"WHEN {before} + {sums[k]} >= {n} / 2 THEN {a} + ({n} / 2 - ({before})) / {sums[k]} * {b - a}")
+    return f"CASE {' '.join(parts)} END"
+
+
+_BINS = ", ".join(f"(depth_abs_error_pct >= {a}{f' AND depth_abs_error_pct < {b}' if b else ''})::int::double AS bin_{k}" for k, (a, b) in enumerate(zip(ERROR_EDGES, [*ERROR_EDGES[1:], None], strict=True)))
+MEDIANS = f"""{QUALITY}, me AS (SELECT symbol, horizon, forward, row_number() OVER (PARTITION BY symbol, horizon ORDER BY idx) - 1 AS pos, {_BINS} FROM q WHERE status = 'scored'),
+{significance.boot_sql('me', 'mb', 'symbol, horizon', ', '.join(f'bin_{k}' for k in range(len(ERROR_EDGES))), _median_sql('sum({})', 'count(*)'), _median_sql('S({})', 'max(n)'), 5.0, 300)}"""
+
+
+@query(select(MEDIANS, "mb", "symbol, horizon, n, resamples", "value, low, high, p_value"))
+def median_error_ci(spark, sf_dir):
+    """The median depth error, a statistic that is no mean, with its interval against 5 percent."""
+    rows = quality(spark, sf_dir).where("status = 'scored'")
+    return significance.statistic_interval(rows, ["symbol", "horizon"], *significance.median_of(c("depth_abs_error_pct"), ERROR_EDGES), resamples=300, reference=5.0)
+
+
 def accuracy(spark, sf_dir) -> DataFrame:
     return significance.mean_interval(significance.hits(quality(spark, sf_dir)))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators import features, forecasts, inventory, rollups, series
+from ..operators import features, forecasts, inventory, rollups, series, stored
 from ..sources import archives, candles
 from ..sources.tables import BARS, daily_bars, scratch, settled, table, tick_bars
 from . import evaluation
@@ -102,9 +102,32 @@ def match_bar(spark, sf_dir):
     return forecasts.match_bar(hours.select("symbol", at.alias("at")), hours).withColumnRenamed("at", "stamp")
 
 
+def held_lines(spark, sf_dir):
+    """Forecasts as JSON lines, read back: every third day's stand seven hours after their bar, where only the date finds it."""
+    folder = scratch(spark)
+    names = list(d.HORIZONS)
+    late = F.when(F.day("open_time") % 3 == 0, c("open_time") + F.expr("interval 7 hours")).otherwise(c("open_time"))
+    candles.write_prediction_lines(evaluation.baseline(spark, sf_dir).where("trained").withColumn("open_time", late), folder, names, d.DEPTH_BINS)
+    return candles.read_prediction_lines(spark, folder, names).drop("date")
+
+
+def outcomes(spark, sf_dir):
+    return stored.kept(stored.days(forecasts.labels(daily_bars(spark, sf_dir))), 8)
+
+
 @query(select(f"{QUALITY}, ro AS (SELECT symbol, horizon, open_time, idx, target_time, fwd_return FROM q WHERE status = 'scored')", "ro", "symbol, horizon, open_time, target_time", "fwd_return"))
 def realized_outcome(spark, sf_dir):
-    return evaluation.quality(spark, sf_dir).where("status = 'scored'").select("symbol", "horizon", "open_time", "target_time", "fwd_return")
+    """What came k bars after the bar that each stored forecast is matched to."""
+    rows = stored.matched(stored.by_day(held_lines(spark, sf_dir).select("symbol", "horizon", "open_time")), outcomes(spark, sf_dir))
+    return rows.where("direction is not null").select("symbol", "horizon", "open_time", "target_time", "fwd_return")
+
+
+@query(select(QUALITY, "q", "symbol, horizon, open_time, target_time, status, predicted, predicted_bin, correct, flags, reason", "confidence, entropy, brier, nll, depth_kl, depth_js, depth_abs_error_pct, quality_score"))
+def score_stored(spark, sf_dir):
+    """Forecasts from JSON lines, matched to bars and scored."""
+    lines = stored.kept(stored.by_day(stored.scored_forms(held_lines(spark, sf_dir))), 8)
+    out = forecasts.scored(stored.matched(lines, outcomes(spark, sf_dir)))
+    return out.select("symbol", "horizon", "open_time", "target_time", "status", "predicted", "predicted_bin", "correct", "flags", "reason", "confidence", "entropy", "brier", "nll", "depth_kl", "depth_js", "depth_abs_error_pct", "quality_score")
 
 
 @query(select(f"{FC}", "fc WHERE trained", "symbol, horizon, open_time, list_extract(up, 1)::double = list_extract(up, 1) AS complete", "p_long, p_short"))

@@ -129,6 +129,22 @@ def walk_forward(spark, sf_dir):
     return learning.walk_forward(pool, names, planned(spark, sf_dir))
 
 
+def shares(pool, names, plan) -> DataFrame:
+    """A forecaster that says what share of a slice's rows went up, one more of either kind added."""
+    rows = learning.days(pool, plan).groupBy(*learning.WINDOW).agg(F.sum("longs").alias("longs"), F.sum("n").alias("n"))
+    every = pool.withColumn("month", F.date_trunc("month", "open_time")).join(plan.select(*learning.WINDOW), learning.WINDOW).join(rows, learning.WINDOW, "left")
+    p = F.when(c("n") >= learning.LEAST_ROWS, (c("longs") + 1) / (c("n") + 2)).otherwise(F.lit(0.5))
+    return every.select("symbol", "horizon", "open_time", "month", F.coalesce(c("n") >= learning.LEAST_ROWS, F.lit(False)).alias("trained"), p.alias("p_long"), (1 - p).alias("p_short"))
+
+
+@query(select(f"{SLICES}, sh AS (SELECT month, horizon, count(*) AS n, count_if(direction = 'long') AS longs FROM sl GROUP BY 1, 2), fs AS (SELECT la.symbol, la.horizon, la.open_time, coalesce(n >= 10, false) AS trained, CASE WHEN n >= 10 THEN (longs + 1) / (n + 2) ELSE 0.5 END AS p_long, 'shares' AS model FROM lab la LEFT JOIN sh ON sh.horizon = la.horizon AND sh.month = date_trunc('month', la.open_time)::timestamp)", "fs", "symbol, horizon, open_time, trained, model", "p_long, 1 - p_long AS p_short"))
+def named_forecaster(spark, sf_dir):
+    """A run of a forecaster that a user registers."""
+    if "shares" not in learning.FORECASTERS:
+        learning.register("shares", shares)
+    return learning.forecast("shares", labelled(spark, sf_dir), [], planned(spark, sf_dir)).select("symbol", "horizon", "open_time", "trained", "model", "p_long", "p_short")
+
+
 @query()
 def gbt_direction(spark, sf_dir):
     """Monthly refits of the larger learner at all horizons, before calibration."""

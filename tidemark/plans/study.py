@@ -133,6 +133,25 @@ def paired_differences(spark, sf_dir):
     return significance.paired_differences(quality(spark, sf_dir), SEEDS)
 
 
+DRAWS, PRECISE = 500, 1000
+_RUN = "symbol, model, seed, horizon"
+_P = [significance.boot_sql(source, name, _RUN, "x", "avg(x)", "S(x) / max(n)", resamples=n, stretch=k) for source, name, n, k in (("dh", "d0", significance.RESAMPLES, 1), ("dh", "d1", DRAWS, 1), ("ds", "d2", PRECISE, 1), ("ds", "d3", DRAWS, 2))]
+DRAWN = f"""{CELLS}, {INVARIANT}, {HIT}, dh AS (SELECT hit.* FROM hit SEMI JOIN di USING ({_RUN})), {_P[0]}, {_P[1]},
+dt AS (SELECT d0.symbol, d0.model, d0.seed, d0.horizon, d0.n, d0.value, d0.low, d0.high, d1_q.p AS p_value FROM d0 JOIN d1_q USING ({_RUN}) WHERE d0.low IS NOT NULL), {significance.bh_sql('dt', 'dq', _RUN)},
+ds AS (SELECT dh.* FROM dh SEMI JOIN (SELECT {_RUN} FROM dq WHERE q_value < {significance.DISCOVERIES}) USING ({_RUN})), {_P[2]}, {_P[3]},
+dz AS (SELECT dq.* EXCLUDE (raw), d2_q.p AS p_precise, d3_q.p AS p_double_block FROM dq LEFT JOIN d2_q USING ({_RUN}) LEFT JOIN d3_q USING ({_RUN})),
+du AS (SELECT {_RUN}, coalesce(p_precise, p_value) AS p_value FROM dz), {significance.bh_sql('du', 'dr', _RUN)},
+de AS (SELECT dz.*, CASE WHEN p_precise IS NOT NULL THEN dr.q_value END AS q_precise FROM dz JOIN (SELECT {_RUN}, q_value FROM dr) dr USING ({_RUN}))"""
+
+
+@query(select(DRAWN, "de", f"{_RUN}, n", "value, low, high, p_value, q_value, p_precise, p_double_block, q_precise"))
+def departures_drawn(spark, sf_dir):
+    """As `departures`, with fewer draws."""
+    rows = quality(spark, sf_dir)
+    some = study.distinct_runs(rows, study.seed_invariant(study.cells(rows)))
+    return significance.departures(significance.hits(some, study.RUN), study.RUN, DRAWS, PRECISE)
+
+
 @query()
 def departures(spark, sf_dir):
     """Every distinct run and horizon against chance, with q-values, and the survivors drawn again."""
