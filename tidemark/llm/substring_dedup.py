@@ -13,7 +13,7 @@ different sentences are cut alike from CUT words after its start. Every run of 2
 then has a common span; at each end up to CUT words of it, or up to the next cuts, stay. The registered query does so.
 
 Defined cases: null text stays null; texts too short for a span never change; a null doc_id comes after all others; rows
-that repeat a doc_id are told apart by a hash of their text, and equal rows change alike; a span that repeats inside one
+that repeat a doc_id, also null, are told apart by a 64-bit hash of their text, and equal rows change alike; a span that repeats inside one
 document is removed at its later places; an empty table gives an empty result; other columns are carried by `cleaned`.
 """
 
@@ -103,8 +103,8 @@ def _spanning(inside: bool, least: tuple[int, int]):
 
 def covered(docs: DataFrame, inside: bool = False, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, spans (sentence, sentences), first_ids: the non-first spans of each document that has any, and documents with their first ones."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash(text_or_empty()).alias("text_hash"))
-    every = in_batches(rows, _spanning(inside, (sentences, words)), "hash long, doc_id long, text_hash int, sentence int, sentences int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
+    every = in_batches(rows, _spanning(inside, (sentences, words)), "hash long, doc_id long, text_hash long, sentence int, sentences int")
     # places are met only for hashes that repeat, so that the first shuffle of all spans moves their hashes alone
     repeated = written(every.groupBy("hash").count().where("count > 1").select("hash"))
     spans = written(every.join(repeated, "hash"))
@@ -153,7 +153,7 @@ def _cleared(docs: DataFrame, how: str, inside: bool, least: tuple[int, int]) ->
     """(docs with the covered sentences cut from their texts, beside the ids of first copies and four counts; names of these columns)."""
     key, text_hash, spans, first, *counts = (fresh(docs, n) for n in ("found_id", "found_hash", "spans", "first_ids", "n_sentences", "removed_sentences", "removed_words", "removed_chars"))
     found = checkpoint(covered(docs, inside, *least)).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("spans").alias(spans), F.col("first_ids").alias(first))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.hash(text_or_empty()) == F.col(text_hash))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text_or_empty()) == F.col(text_hash))
     met = docs.join(found, same, how).drop(key, text_hash)
     names = [*docs.columns, first]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.drop(spans).schema)
