@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, in_batches, shared_dir
+from .common import checkpoint, in_batches, shared_dir, written
 
 REVISIT_FROM, ARCHIVE_BYTES, BLOCK = 1000, 1 << 30, 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,12 +56,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def decided(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, revisit, refers_to."""
+    """page_id, url, payload, payload_bytes, payload_digest, revisit, refers_to.
+
+    The payloads that repeat are a table of their own before they meet the rows: few of them go to the rows, and many are met in a
+    shuffle in which Spark can split the page of which there are very many copies.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     big = rows.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n"))
-    big = big.where("n > 1").select("payload_digest", "payload_bytes", "target")
+    big = written(big.where("n > 1").select("payload_digest", "payload_bytes", "target"))
     met = rows.join(big, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
     return met.select("page_id", "url", "payload", "payload_bytes", "payload_digest", revisit.alias("revisit"), F.when(revisit, F.col("target")).alias("refers_to"))
