@@ -1,7 +1,8 @@
 """Edit-aware token counts.
 
-A text is cut into segments of about SEGMENT code points at places where a word ends before white space; there the
-tokenizer's pre-tokens end whatever follows, so a segment's tokens depend on the segment alone. A tree keeps, for each
+A text is cut into segments of about SEGMENT code points at places where a word ends before white space, or where letters, numbers
+and other signs meet; there the tokenizer's pre-tokens end whatever follows, so a segment's tokens depend on the segment alone. A run
+of letters without any such place is one pre-token to the tokenizer too, and one segment. A tree keeps, for each
 document, the code points and tokens of every segment at its leaves and their sums above.
 
 An edit (start, removed, inserted) finds its segments by descending the tree, re-encodes only those, widened by a
@@ -19,6 +20,7 @@ segment; rows that repeat a doc_id are counted one by one; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,12 +33,28 @@ SEGMENT = 1024
 _SPACE = " \t\n\x0b\x0c\r"
 
 
+def _kind(char: str) -> str:
+    """L letter, N number, or O: what the tokenizer's pattern tells apart beside white space."""
+    kind = unicodedata.category(char)[0]
+    return kind if kind in "LN" else "O"
+
+
+def parts(before: str, after: str) -> bool:
+    """Whether pre-tokens end between two characters whatever stands around them: before white space, and where letters, numbers and other signs meet.
+
+    An apostrophe may belong to the letters after it.
+    """
+    if before.isspace() or after.isspace():
+        return after in _SPACE and not before.isspace()
+    return before != "'" and _kind(before) != _kind(after)
+
+
 def cuts(text: str, size: int = SEGMENT) -> list[int]:
-    """Ends of the segments: after `size` code points at least, before a white space that follows another character."""
+    """Ends of the segments: after `size` code points at least, where the text parts."""
     out, at, n = [], 0, len(text)
     while n - at > size:
         k = at + size
-        while k < n and not (text[k] in _SPACE and not text[k - 1].isspace()):
+        while k < n and not parts(text[k - 1], text[k]):
             k += 1
         if k >= n:
             break
@@ -112,7 +130,7 @@ def edit(text: str, tree: Tree, start: int, removed: int, inserted: str, encode)
     shift = len(inserted) - removed
 
     def parted(at: int) -> bool:  # whether the text after the edit may be cut here
-        return at <= 0 or at >= len(after) or (after[at] in _SPACE and not after[at - 1].isspace())
+        return at <= 0 or at >= len(after) or parts(after[at - 1], after[at])
 
     while a > 0 and not parted(first):
         a -= 1
