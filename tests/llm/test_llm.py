@@ -616,6 +616,15 @@ def test_the_query_cuts_by_words(spark, sf):
     assert {(r["doc_id"], r["removed_words"]) for r in queries.op9_substring_dedup(spark, sf).collect()} == want
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    """Many rows with a null doc_id, some of one 32-bit hash: each loses its own spans."""
+    passage = " ".join(f"w{i % 7} word{i} z{i}{'.' if i % 9 == 8 else ''}" for i in range(40)) + "."
+    rows = [(None, f"Row {i} begins. {passage} Row {i} ends." if i % 2 else f"Only {i} stands here and says nothing new at all.") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [r["text"] for r in substring_dedup.cleaned(df, inside=True).collect()]
+    assert sum("word20" in t for t in left) == 1 and all(f"Only {i} stands" in " ".join(left) for i in range(0, 400, 2))
+
+
 def test_substring_dedup_defined_cases(odd, none):
     got = {r["doc_id"]: r for r in substring_dedup.changed(odd).collect()}
     assert set(got) == {6} and got[6]["first_doc_ids"] == [5]
@@ -655,6 +664,24 @@ def test_random_edits_keep_the_tree_right():
             assert text == want and tree.tokens == len(encode(text)) and tree.chars == len(text)
 
 
+def test_texts_without_white_space_are_cut_where_kinds_of_characters_meet():
+    """100,000 CJK characters with stops and numbers: an edit encodes a few thousand, and counts stay those of the whole."""
+    encode = packing.encoder()
+    rng = np.random.default_rng(8)
+    pool = list("漢字仮名交文日本語") * 6 + list("。、！12Aaé'")
+    text = "".join(rng.choice(pool, 100_000))
+    tree = token_counts.tree_of(text, encode)
+    assert tree.tokens == len(encode(text)) and len(tree.rows[0]) > 80
+    for _ in range(25):
+        start, inserted = int(rng.integers(0, len(text))), "".join(rng.choice(pool, int(rng.choice([0, 1, 30]))))
+        text, k = token_counts.edit(text, tree, start, int(rng.choice([0, 1, 7])), inserted, encode)
+        assert k < 5000 and tree.tokens == len(encode(text)) and tree.chars == len(text)
+    pool += ["'s", "'ll", " ", "\n", "\u3000", "!'"]
+    for _ in range(40):
+        text = "".join(rng.choice(pool, 3000))
+        assert token_counts.tree_of(text, encode).tokens == len(encode(text))
+
+
 def test_kept_trees_are_used_again(docs):
     first = token_counts.counted(docs)
     again = docs.join(first.select("doc_id", "segment_chars", "segment_tokens"), "doc_id")
