@@ -95,9 +95,10 @@ def statistic_interval(rows: DataFrame, keys: list[str], partials: dict[str, Col
     finish takes a function from a partial's name to its sum, and the number; a ratio of means, a moment or a quantile from a histogram
     (`median_of`) are of this kind. Every resample sums the partials of its blocks, so it costs what a mean costs.
     """
-    rows = numbered(settled(rows.select(*keys, "forward", "idx", *[p.cast("double").alias(k) for k, p in partials.items()])), keys)
-    points = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in partials]).select(*keys, "n", finish(c, c("n")).alias("value"))
-    return interval(points, resampled(rows, keys, list(partials), resamples).withColumn("m", finish(c, c("n"))), keys, reference)
+    names, total = {k: f"__p_{k}" for k in partials}, lambda k: c(f"__p_{k}")
+    rows = numbered(settled(rows.select(*keys, "forward", "idx", *[p.cast("double").alias(names[k]) for k, p in partials.items()])), keys)
+    points = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in names.values()]).select(*keys, "n", finish(total, c("n")).alias("value"))
+    return interval(points, resampled(rows, keys, list(names.values()), resamples).withColumn("m", finish(total, c("n"))), keys, reference)
 
 
 def median_of(x: Column, edges: list[float]) -> tuple[dict[str, Column], Callable[[Callable[[str], Column], Column], Column]]:
