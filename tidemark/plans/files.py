@@ -11,6 +11,7 @@ from ..functions import domain as d
 from ..operators import features, forecasts, inventory, rollups, series, stored
 from ..sources import archives, candles
 from ..sources.tables import BARS, daily_bars, scratch, settled, table, tick_bars
+from ..streaming import rollup
 from . import evaluation
 from .evaluation import COUNTED, FC, LAB, QUALITY, several
 from .market import FEATURES, HOURS, c, rounded, select
@@ -281,6 +282,17 @@ def ingest_archives(spark, sf_dir):
     return archives.ingest(spark, zips, "1h").select("symbol", "open_time", "num_trades", "open", "high", "low", "close", "volume")
 
 
+@query(select(f"{HOURS}, r4 AS (SELECT symbol, time_bucket(interval '4 hours', h.open_time, timestamp '1970-01-01') AS open_time, arg_min(open, h.open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, h.open_time) AS close, sum(volume) AS volume, count(*) AS n_source_bars FROM hours h GROUP BY 1, 2)", "r4", "symbol, open_time, n_source_bars", "open, high, low, close, volume"))
+def rollup_stream(spark, sf_dir):
+    """Four-hour bars of hourly bars that arrive in four micro-batches, in no order of time."""
+    source, out, state = (scratch(spark) for _ in range(3))
+    hours = tick_bars(spark, sf_dir, "hour")
+    hours.repartition(4, "symbol", "open_time").write.parquet(source)
+    stream = spark.readStream.schema(hours.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rollup.start(stream, "4h", out, state, "60 days", availableNow=True).awaitTermination()
+    return rollup.read(spark, out, "4h").select("symbol", "open_time", "n_source_bars", "open", "high", "low", "close", "volume")
+
+
 def lake(spark, sf_dir):
     """Listings of files of bars (days, three days and weeks, with holes), features and labels that Spark writes from the trades."""
     bars = daily_bars(spark, sf_dir)
