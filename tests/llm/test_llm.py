@@ -231,7 +231,7 @@ def test_toxicity_gradient_is_right():
         assert abs((loss(up) - loss(down)) / 4e-2 - g[name][i]) < 0.05 * abs(g[name][i]) + 2e-3, name
 
 
-def test_toxicity_sample_is_of_the_docs_and_has_long_texts(spark, monkeypatch):
+def test_toxicity_sample_is_of_the_docs_and_has_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 4)
     monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 4)
     taught = []
@@ -243,15 +243,44 @@ def test_toxicity_sample_is_of_the_docs_and_has_long_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"start{i} {words} end{i}") for i in last], "doc_id long, text string")
     toxicity.fit(docs, labels)
     texts, toxic = taught.pop()
-    assert sorted(toxic) == [0] * 4 + [1] * 4 and {int(t.split(" ")[0][5:]) for t in texts} == set(last)
-    for t, k in zip(texts, toxic, strict=True):
-        at = [int(w[1:]) for w in re.findall(r"\bw\d+", t)]
-        assert t.endswith(f"end{t.split(' ')[0][5:]}") and np.diff(sorted(at)).max() < 20_000 / 8
-        assert len(t) < (toxicity.TOXIC_CHARS if k else toxicity.CLEAN_CHARS) + 40
+    assert sorted(toxic) == [0] * 4 + [1] * 4 and set(texts) == {f"start{i} {words} end{i}" for i in last}
+    # the bounds leave out rows, never parts of texts
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2 * (len(words) + 20))
+    toxicity.fit(docs, labels)
+    texts, toxic = taught.pop()
+    assert sorted(toxic) == [0] * 2 + [1] * 2 and set(texts) == {f"start{i} {words} end{i}" for i in last[:4]}
+    monkeypatch.setattr(toxicity, "LONGEST", len(words))
+    with pytest.warns(RuntimeWarning, match="0 toxic"):
+        toxicity.fit(docs, labels)
+    assert taught.pop() == ([], [])
+    monkeypatch.setattr(toxicity, "LONGEST", len(words) + 40)
     with pytest.warns(RuntimeWarning, match="0 toxic"):
         toxicity.fit(docs, labels.where("toxic = 0"))
 
 
+def test_toxicity_evidence_stands_above_chance():
+    texts = [f"own{i} common word {'rude' if i < 12 else 'nice'}" for i in range(100)]
+    data = [t.encode() for t in texts]
+    c = toxicity.Corpus(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    e = toxicity.evidence(c, np.arange(100) < 12, np.ones(100, bool))
+    assert (e > 0).sum() == 1 and (e < 0).sum() == 1 and (e == 0).sum() == len(c.hashes) - 2
+    # what is written once a text counts once: no words of a text that is not used count
+    assert not toxicity.evidence(c, np.arange(100) < 12, np.arange(100) % 12 == 0).any()
+
+
+def test_toxicity_learns_from_few_labels():
+    """Thirty toxic texts hold one of five words in much other prose of their own; held-out ones are found and clean ones stay."""
+    rng = np.random.default_rng(8)
+    prose = lambda: " ".join("".join(rng.choice(list("abcdehinorst"), 6)) for _ in range(120))
+    y = np.arange(300) % 10 == 0
+    texts = [f"{prose()} {rng.choice(['vile', 'scummy', 'wretch', 'brute', 'oaf'])} {prose()}" if k else f"{prose()} {prose()}" for k in y]
+    m = toxicity.train(texts[:200], y[:200].tolist(), steps=60)
+    data = [t.encode() for t in texts[200:]]
+    c = toxicity.Corpus(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    found = 1 / (1 + np.exp(-toxicity.text_logits(m, c, 100))) >= toxicity.THRESHOLD
+    assert found[y[200:]].mean() >= 0.8 and found[~y[200:]].mean() <= 0.05
+
+
 def test_toxicity_defined_cases(odd, none, spark):
     labels = spark.createDataFrame([(1, 0), (3, None), (None, 1), (7, 1), (7, 0)], "doc_id long, toxic int")
     m = toxicity.fit(odd, labels)

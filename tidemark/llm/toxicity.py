@@ -5,11 +5,12 @@ learned vectors of its character 3-, 4- and 5-grams, so that unseen spellings an
 gated recurrent passes read a window of WINDOW words, attention pools their states and a linear layer gives a logit.
 Windows overlap by a quarter and together cover the whole text; a document's logit is that of its worst window.
 
-Training is on the driver, on a sample bounded by SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, chosen by md5(doc_id)
-among those that docs hold; labels of documents with crc32(doc_id) mod 4 = 2 are never seen. Of a text longer than
-TOXIC_CHARS or CLEAN_CHARS it takes pieces of PIECE characters, evenly spread over the whole text, of that size together. A toxic
-document teaches through the window that the model now finds worst, a clean one through that and random ones. The
-model, a few hundred kilobytes whatever the corpus, then goes to the tasks, which score every window of every text.
+Training is on the driver, on whole texts of a sample of labelled documents, chosen by md5(doc_id) among those that docs hold.
+Its bounds are rows: at most SAMPLE_TOXIC and SAMPLE_CLEAN, of at most LONGEST characters each, as long as their sum is
+within SAMPLE_CHARS. Labels of documents with crc32(doc_id) mod 4 = 2 are never seen. A toxic document teaches through the
+window that the model now finds worst, a clean one through that and random ones. A word's first input starts from the
+evidence for it in the sample, and inputs stay as they start for the first WARM of the steps, so that a few dozen toxic texts
+teach words and not their own surroundings. The model, a few hundred kilobytes whatever the corpus, then goes to the tasks, which score every window of every text.
 
 Defined cases: null, empty and blank texts have no window and score 0; texts of fewer words than a window are one
 window; rows that repeat a doc_id are scored one by one; without labels of both kinds every text with words scores the
@@ -24,7 +25,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches
@@ -34,8 +35,13 @@ WINDOW, STRIDE = 48, 36
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, BUCKETS = 4096, 1 << 14
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
-TOXIC_CHARS, CLEAN_CHARS, PIECE = 24_000, 8_000, 800
+#: Longest text that trains, and characters of all texts of a kind that do: bounds on which rows are taken, each whole.
+LONGEST, SAMPLE_CHARS = 200_000, 32_000_000
 STEPS, BATCH, DROPOUT = 420, 256, 0.2
+#: Largest start of a word's first input by its evidence.
+EVIDENCE = 3.0
+#: Share of the steps in which the inputs stay as they start.
+WARM = 0.4
 THRESHOLD = 0.3
 #: Bytes of text that a task scores at once.
 BLOCK_BYTES = 1 << 19
@@ -76,7 +82,7 @@ class Corpus:
         every = np.concatenate(letters) if letters else np.zeros(0, np.uint8)
         self._spell(every, (np.cumsum(size) - size)[pick], size[pick])
         count = np.concatenate(count) if count else np.zeros(0, np.int64)
-        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        self.first = first = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         # windows: (text, first word, words)
         windows = np.where(count == 0, 0, np.maximum(0, -(-(count - WINDOW) // STRIDE)) + 1)
         self.text = np.repeat(np.arange(len(count)), windows)
@@ -155,6 +161,25 @@ def word_inputs(m: dict, c: Corpus, most: int = 1 << 14) -> tuple[np.ndarray, np
     return out, at
 
 
+def evidence(c: Corpus, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How far each distinct word's share of toxic texts stands out among the texts `use`, positive where toxic texts hold it more often.
+
+    For n texts with the word, of which a share s is toxic where b is usual, n * KL(s || b) bounds minus the logarithm of the
+    chance of such a share; the logarithm of the number of words in three texts or more is taken off, so that what many words
+    find by chance is 0. Rarer words have none.
+    """
+    words = len(c.hashes)
+    pairs = np.unique(np.repeat(np.arange(len(toxic)), np.diff(c.first)) * words + c.index)
+    pairs = pairs[use[pairs // words]]
+    n = np.bincount(pairs % words, minlength=words)
+    hits = np.bincount(pairs[toxic[pairs // words]] % words, minlength=words)
+    usual = toxic[use].mean()
+    share = hits / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(share > 0, share * np.log(share / usual), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0)
+    return np.sign(share - usual) * np.maximum(n * gain - np.log(max((n >= 3).sum(), 1)), 0) * (n >= 3)
+
+
 def _pass(x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, u: np.ndarray, back: bool, keep: bool):
     """States (time, windows, HIDDEN) of one direction. x: projected distinct words."""
     h3 = HIDDEN
@@ -285,7 +310,13 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 5)
     mine = [np.flatnonzero((y[c.text] == k) & ~held[c.text]) for k in (False, True)]
     if not len(mine[0]) or not len(mine[1]):
         return empty
-    worst: list[np.ndarray] = [mine[0], mine[1]]
+    told = np.clip(evidence(c, y, ~held) / 10, -EVIDENCE, EVIDENCE).astype(np.float32)
+    at = np.searchsorted(c.hashes, m["vocabulary"])
+    m["word"][:-1, 0] = told[at]
+    sums = np.concatenate([np.zeros(1), np.cumsum(told[c.index], dtype=float)])
+    part = mine[1]
+    order = np.lexsort((sums[c.at[part]] - sums[c.at[part] + c.length[part]], c.text[part]))
+    worst: list[np.ndarray] = [mine[0], part[order[np.flatnonzero(np.diff(c.text[part][order], prepend=-1))]]]
     moments: dict[str, list[np.ndarray]] = {}
     refresh = max(steps // 8, 1)
     for step in range(steps):
@@ -317,6 +348,8 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 5)
         g = gradients(m, part, x, at, index, mask, error, saved, keep)
         rate = 0.02 * (1 - 0.85 * step / steps)
         for name, d in g.items():
+            if name in ("word", "char") and step < steps * WARM:
+                continue
             if name not in moments:
                 moments[name] = [np.zeros_like(m[name]), np.zeros_like(m[name])]
             a, b = moments[name]
@@ -363,7 +396,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     some = [held.where(rule).orderBy(*order).limit(n) for rule, n in (("toxic > 0", SAMPLE_TOXIC), ("toxic <= 0", SAMPLE_CLEAN))]
     chosen = some[0].unionByName(some[1]).withColumn("__toxic", (F.col("toxic") > 0).cast("int")).select(F.col("doc_id").alias("__id"), "__toxic")
     met = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
-    found = [met.where(F.col("__toxic") == k).orderBy(*order, F.md5("text")).limit(n).select(_spread("text", most).alias("text"), "__toxic") for k, n, most in ((1, SAMPLE_TOXIC, TOXIC_CHARS), (0, SAMPLE_CLEAN, CLEAN_CHARS))]
+    met = met.where(F.length("text") <= LONGEST).select("doc_id", F.col("text").cast("string").alias("text"), "__toxic", F.md5("text").alias("__md5"))
+    first = [*order, F.col("__md5")]
+    upto = Window.orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)  # over the rows of the sample alone
+    found = [
+        met.where(F.col("__toxic") == k).orderBy(*first).limit(n).withColumn("__chars", F.sum(F.length("text")).over(upto)).where(F.col("__chars") <= SAMPLE_CHARS).orderBy("__chars").select("text", "__toxic")
+        for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
+    ]
     rows = found[0].collect() + found[1].collect()
     toxic = sum(r["__toxic"] for r in rows)
     if toxic in (0, len(rows)):
@@ -371,14 +410,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     return train([r["text"] for r in rows], [r["__toxic"] for r in rows])
 
 
-def _spread(name: str, most: int) -> Column:
-    """The text, or of one longer than `most` characters pieces from its start to its end, `most` characters together."""
-    text, n = F.col(name).cast("string"), most // PIECE
-    at = lambda k: (F.lit(1) + F.floor((F.length(text) - PIECE) * k / (n - 1))).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, at(k), F.lit(PIECE)))
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(pieces, "\n"))
-
-
 def _judged(m: dict, batch: pa.RecordBatch, rows: int = 128):
     """(from, rows, scores) of runs of a batch's rows: few texts become Python strings at a time, few bytes are read at once."""
     for at in range(0, batch.num_rows, rows):
