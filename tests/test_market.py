@@ -48,6 +48,36 @@ def test_sql_agrees(spark, sf, duck, name):
     assert plain(map(tuple, got.select(*names).collect())) == plain(want) and want
 
 
+@pytest.fixture(scope="module")
+def zero_closes(spark, tmp_path_factory):
+    """Events whose minutes close at 0 on the way, at the start, twice in a row, all day, and never."""
+    folder = str(tmp_path_factory.mktemp("zeros"))
+    days = {"way": [5, 0, 7, 7], "start": [0, 3, 3.3], "twice": [4, 0, 0, 2], "all": [0, 0], "never": [2, 3, 2.5]}
+    rows = [(k * 10 + i, f"2024-01-0{1 + k % 2} 00:0{i}:00", name, i, float(x), '{"k": 1}') for k, (name, closes) in enumerate(days.items()) for i, x in enumerate(closes)]
+    made = spark.createDataFrame(rows, "event_id long, ts string, event_type string, user_id long, value double, props string")
+    made.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def told(rows):
+    """Rows with every number told from the others, none from null."""
+    return sorted(tuple(str(x) for x in r) for r in rows)
+
+
+def zeros_agree(spark, folder, name):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    got = QUERIES[name](spark, folder)
+    assert told(got.collect()) == told(con.sql(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall())
+    return got
+
+
+def test_intraday_daily_after_a_close_of_zero(spark, zero_closes):
+    got = {r["symbol"]: r for r in zeros_agree(spark, zero_closes, "intraday_daily").collect()}
+    assert got["way"]["realized_vol_1d"] == float("inf") and got["way"]["jump_count"] == 2
+    assert math.isnan(got["all"]["realized_vol_1d"]) and math.isnan(got["all"]["max_intraday_drawdown"])
+
+
 def bars_of(spark, closes, symbol="s", step=86400):
     rows = [(symbol, "1d", i * step, float(x) if x is not None else None) for i, x in enumerate(closes)]
     return spark.createDataFrame(rows, "symbol string, interval string, at long, close double").withColumn("open_time", F.timestamp_seconds("at")).drop("at")

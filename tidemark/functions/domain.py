@@ -37,6 +37,11 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles by IEEE 754, also where b is 0: an infinity, or no number for 0 / 0."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def interval_steps(days: Column, interval: Column) -> Column:
     """Bars of an interval in a number of days, half to even, one at least; null for an unknown interval."""
     minutes = F.create_map(*[F.lit(x) for k, v in INTERVALS.items() for x in (k, v)])
