@@ -78,6 +78,11 @@ def test_intraday_daily_after_a_close_of_zero(spark, zero_closes):
     assert math.isnan(got["all"]["realized_vol_1d"]) and math.isnan(got["all"]["max_intraday_drawdown"])
 
 
+def test_join_intraday_after_a_close_of_zero(spark, zero_closes):
+    got = {r["symbol"]: r for r in zeros_agree(spark, zero_closes, "join_intraday").collect()}
+    assert got["start"]["realized_vol_1d"] == float("inf") and got["never"]["jump_count"] == 2
+
+
 def bars_of(spark, closes, symbol="s", step=86400):
     rows = [(symbol, "1d", i * step, float(x) if x is not None else None) for i, x in enumerate(closes)]
     return spark.createDataFrame(rows, "symbol string, interval string, at long, close double").withColumn("open_time", F.timestamp_seconds("at")).drop("at")
