@@ -1,5 +1,6 @@
 """Operators over bars: SQL agreement on the smallest tables, hand values and properties."""
 
+import contextlib
 import math
 import os
 
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import domain as d
 from tidemark.operators import features, forecasts, quality, rollups, series, significance
+from tidemark.operators import learning as learners
 from tidemark.plans import evaluation, files, learning, market, study
-from tidemark.sources import candles
+from tidemark.sources import candles, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PLANS = (market, evaluation, files, study, learning)
@@ -83,6 +85,27 @@ def test_join_intraday_after_a_close_of_zero(spark, zero_closes):
     assert got["start"]["realized_vol_1d"] == float("inf") and got["never"]["jump_count"] == 2
 
 
+class Reached(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["run_summary"])
+def test_line_items_are_rolled_up_once(spark, sf, monkeypatch, name):
+    """Bars are a table of their own, made once a query; what is planned over them reads no line items. Fits are left out."""
+    made, rolled = [], tables._rolled
+    monkeypatch.setattr(tables, "_rolled", lambda *a: made.append(1) or rolled(*a))
+
+    def reached(*a):
+        raise Reached
+
+    monkeypatch.setattr(learners, "fitted", reached)
+    monkeypatch.setattr(learners, "sliced", reached)
+    out = None
+    with contextlib.suppress(Reached):
+        out = QUERIES[name](spark, sf)
+    assert len(made) == 1 and (out is None or not any("lineitem" in x for x in out.inputFiles()))
+
+
 def bars_of(spark, closes, symbol="s", step=86400):
     rows = [(symbol, "1d", i * step, float(x) if x is not None else None) for i, x in enumerate(closes)]
     return spark.createDataFrame(rows, "symbol string, interval string, at long, close double").withColumn("open_time", F.timestamp_seconds("at")).drop("at")

@@ -47,12 +47,15 @@ def _rolled(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the line items: a symbol is a return flag, a trade's price its extended price per unit."""
+    """Daily bars of the line items: a symbol is a return flag, a trade's price its extended price per unit.
+
+    They are rolled up once, into a table: plans look at bars many times, and each look would read all line items again.
+    """
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
         F.col("l_returnflag").alias("symbol"), utc("l_shipdate").alias("open_time"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
         (F.col("l_linestatus") == "F").alias("taker_buy"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
-    return _rolled(rows, ["symbol", "open_time"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).withColumn("interval", F.lit("1d"))
+    return settled(_rolled(rows, ["symbol", "open_time"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).withColumn("interval", F.lit("1d")))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
