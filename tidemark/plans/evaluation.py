@@ -452,7 +452,8 @@ def carried_exposure(spark, sf_dir):
 
 
 def path(spark, sf_dir) -> DataFrame:
-    return economics.executed(baseline(spark, sf_dir), daily_bars(spark, sf_dir))
+    bars = daily_bars(spark, sf_dir)
+    return economics.executed(forecasts.baseline(forecasts.labels(bars)), bars)
 
 
 @query(select(EXECUTED, "path", "symbol, horizon, open_time, verdict", "next_open, next_close, exposure"))
@@ -463,7 +464,8 @@ def exposure_path(spark, sf_dir):
 @query(f"WITH {EXECUTED.replace("'Buy' THEN 0.7", "'Buy' THEN 0.5")} SELECT symbol, horizon, round(exposure, 6) AS exposure, count(*) AS bars FROM path GROUP BY ALL")
 def exposure_policy(spark, sf_dir):
     """Bars at each exposure when the share of one grade is set by hand."""
-    rows = economics.executed(baseline(spark, sf_dir), daily_bars(spark, sf_dir), d.exposure_policy("buy=0.5"))
+    bars = daily_bars(spark, sf_dir)
+    rows = economics.executed(forecasts.baseline(forecasts.labels(bars)), bars, d.exposure_policy("buy=0.5"))
     return rows.groupBy("symbol", "horizon", F.round("exposure", 6).alias("exposure")).agg(F.count(F.lit(1)).alias("bars"))
 
 
@@ -543,7 +545,8 @@ FROM ro JOIN hb USING (symbol, horizon) JOIN co USING (symbol, horizon) JOIN mm
 @query(select(f"{COUNTED}, {several('tw', TWO_RUNS)}, bt AS ({' UNION ALL '.join(summary_sql(m) for m, _, _ in TWO_RUNS)})", "bt", "symbol, model, paths", "roi, over_hold, over_constant, over_momentum, percentile, max_drawdown"))
 def backtest_summary(spark, sf_dir):
     """Means over the horizons of what each symbol's and model's paths gain over simpler strategies."""
-    rows, bars = settled(two_models(spark, sf_dir)), daily_bars(spark, sf_dir)
+    bars = daily_bars(spark, sf_dir)
+    rows = settled(forecasts.several(forecasts.labels(bars), TWO_RUNS))
     each = [economics.summary(economics.executed(rows.where(c("model") == m).drop("model", "seed"), bars), bars, most=1e9).withColumn("model", F.lit(m)) for m, _, _ in TWO_RUNS]
     every = reduce(DataFrame.unionByName, each)
     return every.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("paths"), *[F.avg(x).alias(x) for x in ("roi", "over_hold", "over_constant", "over_momentum", "percentile", "max_drawdown")])
