@@ -3,6 +3,7 @@
 import hashlib
 import io
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -268,6 +269,25 @@ def test_toxicity_evidence_stands_above_chance():
     assert not toxicity.evidence(c, np.arange(100) < 12, np.arange(100) % 12 == 0).any()
 
 
+def test_toxicity_training_holds_little_beside_its_words():
+    """Evidence counts the words of some texts at a time, and grams take two bytes: the driver trains beside all else that it holds."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 500)) for _ in range(1000)]
+    data = [t.encode() for t in texts]
+    c = toxicity.Corpus(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    y, use = np.arange(1000) % 9 == 0, np.arange(1000) % 5 > 0
+    sets = [set(c.index[a:b].tolist()) for a, b in zip(c.first, c.first[1:], strict=False)]
+    tracemalloc.start()
+    e = toxicity.evidence(c, y, use)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 and c.grams.itemsize == 2
+    n, hits = (np.bincount([w for i in np.flatnonzero(k) for w in sets[i]], minlength=len(c.hashes)) for k in (use, use & y))
+    share, usual = hits / np.maximum(n, 1), y[use].mean()
+    gain = n * sum(p * np.log(np.where(p > 0, p, 1) / q) for p, q in ((share, usual), (1 - share, 1 - usual)))
+    assert np.allclose(e, np.sign(share - usual) * np.maximum(gain - np.log((n >= 3).sum()), 0) * (n >= 3))
+
+
 def test_toxicity_learns_from_few_labels():
     """Thirty toxic texts hold one of five words in much other prose of their own; held-out ones are found and clean ones stay."""
     rng = np.random.default_rng(8)

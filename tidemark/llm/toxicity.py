@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 import warnings
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,13 @@ EVIDENCE = 3.0
 #: Share of the steps in which the inputs stay as they start.
 WARM = 0.4
 THRESHOLD = 0.3
-#: Bytes of text that a task scores at once.
-BLOCK_BYTES = 1 << 19
+#: Bytes of text that a task scores at once, and that training reads at once; words of texts that evidence counts at once.
+BLOCK_BYTES, READ_BYTES, PAIRS = 1 << 19, 1 << 18, 1 << 17
 _SEP = separators(b".,;:!?\"'()[]{}<>*#%$&+=/\\|~^_-")
 
 
 def _runs(offsets: np.ndarray, most: int):
-    """(from, to) of runs of texts with about `most` bytes; one longer text is a run of its own."""
+    """(from, to) of runs of texts with about `most` bytes (or of what offsets count); one longer text is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
@@ -94,7 +95,7 @@ class Corpus:
         """Hashes of the 3-, 4- and 5-grams of each distinct word between a mark of its start and one of its end, `most` words at a time."""
         fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
-        grams, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        grams, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for i in range(0, len(sizes), most):
             n = sizes[i : i + most]
             begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(n + 2)])
@@ -114,17 +115,21 @@ class Corpus:
                     h = h * np.uint32(0x01000193) ^ values[j : j + m]
                 ok = owner[:m] == owner[k - 1 :]
                 h = h[ok] * np.uint32(0x85EBCA6B)
-                found.append(((h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35) >> np.uint32(18)).astype(np.int32))
+                found.append(((h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35) >> np.uint32(18)).astype(np.uint16))
                 owners.append(owner[:m][ok])
             own = np.concatenate(owners)
             grams.append(np.concatenate(found)[np.argsort(own, kind="stable")])
             counts.append(np.bincount(own, minlength=len(n)))
         self.grams = np.concatenate(grams)
         n = np.concatenate(counts)
-        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.gram_first = np.cumsum(n) - n
         self.gram_count = np.maximum(n, 1).astype(np.float32)
 
+    @cached_property
+    def owner(self) -> np.ndarray:
+        """The distinct word of each of `grams`; only gradients ask for it."""
+        return np.repeat(np.arange(len(self.gram_first), dtype=np.int32), np.diff(np.append(self.gram_first, len(self.grams))))
+
     def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word indices, mask) of windows, WINDOW wide; places after a short text's end repeat its last word under a zero mask."""
         place = np.minimum(np.arange(WINDOW)[None, :], self.length[which][:, None] - 1)
@@ -169,10 +174,12 @@ def evidence(c: Corpus, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
     find by chance is 0. Rarer words have none.
     """
     words = len(c.hashes)
-    pairs = np.unique(np.repeat(np.arange(len(toxic)), np.diff(c.first)) * words + c.index)
-    pairs = pairs[use[pairs // words]]
-    n = np.bincount(pairs % words, minlength=words)
-    hits = np.bincount(pairs[toxic[pairs // words]] % words, minlength=words)
+    n, hits = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    for i, j in _runs(c.first, PAIRS):  # distinct words of texts, some texts at a time
+        pairs = np.unique(np.repeat(np.arange(i, j), np.diff(c.first[i : j + 1])) * words + c.index[c.first[i] : c.first[j]])
+        pairs = pairs[use[pairs // words]]
+        np.add.at(n, pairs % words, 1)
+        np.add.at(hits, pairs[toxic[pairs // words]] % words, 1)
     usual = toxic[use].mean()
     share = hits / np.maximum(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -209,10 +216,16 @@ def _pass(x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, u: np.ndarr
     return states, kept
 
 
+def _projected(m: dict, x: np.ndarray, side: str) -> np.ndarray:
+    out = x @ m[f"W{side}"]
+    out += m[f"c{side}"]
+    return out
+
+
 def forward(m: dict, x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, keep: bool = False):
     """Logits of windows, and what the gradient needs."""
-    f, kf = _pass(x @ m["Wf"] + m["cf"], index, mask, m["Uf"], False, keep)
-    b, kb = _pass(x @ m["Wb"] + m["cb"], index, mask, m["Ub"], True, keep)
+    f, kf = _pass(_projected(m, x, "f"), index, mask, m["Uf"], False, keep)
+    b, kb = _pass(_projected(m, x, "b"), index, mask, m["Ub"], True, keep)
     h = HIDDEN
     ends = np.stack([m["att"], m["out"]], axis=1)
     both = f.reshape(-1, h) @ ends[:h] + b.reshape(-1, h) @ ends[h:]
@@ -299,7 +312,10 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 5)
     if not y.any() or y.all():
         return empty
     data = [(t or "").encode("utf-8", "replace") for t in texts]
-    c = Corpus(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    offsets = np.cumsum([0, *map(len, data)])
+    data = b"".join(data)
+    c = Corpus(np.frombuffer(data, np.uint8), offsets, READ_BYTES)
+    del data
     counts = np.bincount(c.index, minlength=len(c.hashes))
     top = np.argsort(-counts, kind="stable")[:VOCABULARY]
     m = new_model(np.sort(c.hashes[top[counts[top] >= 3]]))
