@@ -89,7 +89,7 @@ class Reached(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["run_summary", "backtest_summary", "walk_forward", "top_features"])
+@pytest.mark.parametrize("name", ["run_summary", "backtest_summary", "walk_forward", "top_features", "depth_model"])
 def test_line_items_are_rolled_up_once(spark, sf, monkeypatch, name):
     """Bars are a table of their own, made once a query; what is planned over them reads no line items. Fits are left out."""
     made, rolled = [], tables._rolled
