@@ -85,6 +85,19 @@ def test_join_intraday_after_a_close_of_zero(spark, zero_closes):
     assert got["start"]["realized_vol_1d"] == float("inf") and got["never"]["jump_count"] == 2
 
 
+def test_join_intraday_of_unknown_prices_times_and_ids(spark, tmp_path):
+    """Prices that are null are neither first nor last, unknown ids come last, unknown times have no close, and a day of one bar no count of jumps."""
+    days = {"gaps": [None, 3, 4, None], "none": [None], "one": [5], "nan": [float("nan"), 2, 3]}
+    rows = [(10 * k + i, f"2024-01-02 00:0{i}:00", name, i, x if x is None else float(x), '{"k": 1}') for k, (name, closes) in enumerate(days.items()) for i, x in enumerate(closes)]
+    rows += [(90, None, "gaps", 1, 7.0, "{}"), (91, None, None, None, 8.0, None), (92, "2024-01-02 00:01:00", None, 1, 9.0, "{}")]
+    rows += [(None, "2024-01-02 00:00:00", "ids", 1, 1.0, "{}"), (93, "2024-01-02 00:00:00", "ids", 1, 2.0, "{}"), (94, "2024-01-02 00:01:00", "ids", 1, 4.0, "{}")]
+    made = spark.createDataFrame(rows, "event_id long, ts string, event_type string, user_id long, value double, props string")
+    made.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["symbol"], r["open_time"] is not None): r for r in zeros_agree(spark, str(tmp_path), "join_intraday").collect()}
+    assert got["gaps", True]["close"] == 4 and got["gaps", True]["jump_count"] == 1 and got["gaps", False]["close"] is None
+    assert got["one", True]["jump_count"] is None and got["ids", True]["realized_vol_1d"] == 9
+
+
 class Reached(Exception):
     pass
 

@@ -21,7 +21,9 @@ def bucket(interval: str, at: str | Column = "open_time") -> Column:
 
 
 def _aggs(columns: list[str]) -> list[Column]:
-    out = [F.min(F.struct("open_time", "open")).getField("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.struct("open_time", "close")).getField("close").alias("close")]
+    """First open and last close of bars that have them and a time, as SQL picks them; extremes and sums."""
+    known = lambda x: F.when(c("open_time").isNotNull() & c(x).isNotNull(), F.struct("open_time", x))
+    out = [F.min(known("open")).getField("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max(known("close")).getField("close").alias("close")]
     out += [F.sum(x).alias(x) for x in ("volume", "quote_asset_volume", "num_trades", "taker_buy_base_volume", "taker_buy_quote_volume") if x in columns]
     return [*out, F.count(F.lit(1)).alias("n_source_bars")]
 

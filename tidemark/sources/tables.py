@@ -36,9 +36,14 @@ def utc(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp")
 
 
+def _told(order: list[str]) -> Column:
+    """A trade's place in the whole order with its price, nulls last, as in SQL; null without a price, so that it is neither first nor last."""
+    return F.when(F.col("price").isNotNull(), F.struct(*[F.struct(F.col(x).isNull().alias("none"), F.col(x).alias("x")) for x in order], "price", "qty"))
+
+
 def _rolled(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Open, high, low, close and sums of trades by keys; first and last by the whole order, with partial aggregation."""
-    at = F.struct(*order, "price", "qty")
+    at = _told(order)
     return trades.groupBy(*keys).agg(
         F.min(at).getField("price").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(at).getField("price").alias("close"),
         F.sum("qty").alias("volume"), F.sum(F.col("price") * F.col("qty")).alias("quote_asset_volume"), F.count(F.lit(1)).alias("num_trades"),
