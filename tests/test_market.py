@@ -119,6 +119,43 @@ def test_line_items_are_rolled_up_once(spark, sf, monkeypatch, name):
     assert len(made) == 1 and (out is None or not any("lineitem" in x for x in out.inputFiles()))
 
 
+@pytest.mark.parametrize("name", ["walk_forward"])
+def test_line_items_are_added_up_without_a_sort(spark, sf, monkeypatch, name):
+    """Numbers are added up by hash, and the whole order is looked at for trades at its ends alone, beside which no line item is shuffled."""
+    plans, kept = [], tables.settled
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0])
+        return kept(df)
+
+    def reached(*a):
+        raise Reached
+
+    monkeypatch.setattr(tables, "settled", settled)
+    monkeypatch.setattr(learning, "pooled", reached)
+    with contextlib.suppress(Reached):
+        QUERIES[name](spark, sf)
+    assert len(plans) == 2 and all("lineitem" in x for x in plans)
+    assert "HashAggregate" in plans[0] and "Sort" not in plans[0]
+    read = plans[1].partition("BroadcastHashJoin")[2].partition("lineitem")[0]
+    assert read and "Exchange" not in read and "Sort" not in read
+
+
+def test_bars_of_unknown_orders_prices_and_keys(spark, tmp_path):
+    """Bars found at the ends of the first ordering column are those of the whole order: ties go to the next columns, nulls come last, null keys have bars."""
+    of = lambda key, line, price, symbol="X", day=1, qty=2.0: (key, line, 1, 1, qty, price, symbol, "F", None if day is None else f"2001-01-0{day} 00:00:00")
+    rows = [of(1, 2, 12.0), of(1, 1, 10.0), of(4, 1, 30.0), of(4, 9, 36.0), of(4, 5, 34.0), of(0, 1, None), of(9, 1, None)]
+    rows += [of(None, 1, 14.0, day=2), of(None, None, 16.0, day=2), of(3, 1, 18.0, day=2), of(None, 2, 14.0, day=3), of(None, 1, 16.0, day=3)]
+    rows += [of(1, 1, None, day=4), of(5, 1, 8.0, None), of(6, 1, 9.0, None), of(7, 1, 3.0, day=None), of(8, 1, 4.0, None, None), of(8, 2, 4.0, day=5, qty=0.0)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate string"
+    spark.createDataFrame(rows, names).withColumn("l_shipdate", F.to_timestamp_ntz("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = QUERIES["to_bars"](spark, str(tmp_path))
+    assert told(got.collect()) == told(con.sql(f"select {', '.join(got.columns)} from ({SQL['to_bars']})").fetchall())
+    assert got.where("symbol = 'X' AND open_time = timestamp '2001-01-01'").select("open", "close", "num_trades").first() == (5, 18, 7)
+
+
 def bars_of(spark, closes, symbol="s", step=86400):
     rows = [(symbol, "1d", i * step, float(x) if x is not None else None) for i, x in enumerate(closes)]
     return spark.createDataFrame(rows, "symbol string, interval string, at long, close double").withColumn("open_time", F.timestamp_seconds("at")).drop("at")

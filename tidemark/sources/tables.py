@@ -41,14 +41,38 @@ def _told(order: list[str]) -> Column:
     return F.when(F.col("price").isNotNull(), F.struct(*[F.struct(F.col(x).isNull().alias("none"), F.col(x).alias("x")) for x in order], "price", "qty"))
 
 
-def _rolled(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Open, high, low, close and sums of trades by keys; first and last by the whole order, with partial aggregation."""
-    at = _told(order)
-    return trades.groupBy(*keys).agg(
-        F.min(at).getField("price").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(at).getField("price").alias("close"),
+def _sums() -> list[Column]:
+    """What is left of trades but for the first and the last: numbers alone."""
+    return [
+        F.max("price").alias("high"), F.min("price").alias("low"),
         F.sum("qty").alias("volume"), F.sum(F.col("price") * F.col("qty")).alias("quote_asset_volume"), F.count(F.lit(1)).alias("num_trades"),
         F.sum(F.when(F.col("taker_buy"), F.col("qty")).otherwise(F.lit(0.0))).alias("taker_buy_base_volume"),
-    )
+    ]
+
+
+def _opens(order: list[str]) -> list[Column]:
+    return [F.min(_told(order)).getField("price").alias("open"), F.max(_told(order)).getField("price").alias("close")]
+
+
+BAR = ("open", "high", "low", "close", "volume", "quote_asset_volume", "num_trades", "taker_buy_base_volume")
+
+
+def _rolled(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Open, high, low, close and sums of trades by keys; first and last by the whole order.
+
+    A minimum of structs makes Spark sort all trades before it adds any up. So numbers are added up first, by hash, with the ends of the
+    order's first column; only trades at these ends, which a second reading finds, are compared by the whole order.
+    """
+    first, known = F.col(order[0]), F.col("price").isNotNull()
+    made = settled(trades.groupBy(*keys).agg(*_sums(), F.min(F.when(known, first)).alias("lo"), F.max(F.when(known, first)).alias("hi"), F.max(known & first.isNull()).alias("none")))
+    made = made.withColumn("hi", F.when(~F.col("none"), F.col("hi"))).drop("none")
+
+    def beside(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+        return a.join(b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how).drop(*[f"__{k}" for k in keys])
+
+    ends = beside(trades.where(known), made.select(*keys, "lo", "hi"), "inner").where(first.eqNullSafe(F.col("lo")) | first.eqNullSafe(F.col("hi")))
+    return beside(made, ends.groupBy(*keys).agg(*_opens(order)), "left").select(*keys, *BAR)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +81,11 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     They are rolled up once, into a table: plans look at bars many times, and each look would read all line items again.
     """
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
-        F.col("l_returnflag").alias("symbol"), utc("l_shipdate").alias("open_time"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
+        F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("open_time"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
         (F.col("l_linestatus") == "F").alias("taker_buy"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
-    return settled(_rolled(rows, ["symbol", "open_time"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).withColumn("interval", F.lit("1d")))
+    bars = _rolled(rows, ["symbol", "open_time"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    return settled(bars.withColumns({"open_time": utc("open_time"), "interval": F.lit("1d")}))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +98,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tick_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
     rows = ticks(spark, sf_dir).withColumn("at", F.col("open_time")).withColumn("open_time", F.date_trunc(unit, "open_time"))
-    return _rolled(rows, ["symbol", "open_time"], ["at", "event_id"]).withColumn("interval", F.lit({"hour": "1h", "minute": "1m"}[unit]))
+    rows = rows.groupBy("symbol", "open_time").agg(*_opens(["at", "event_id"]), *_sums()).select("symbol", "open_time", *BAR)
+    return rows.withColumn("interval", F.lit({"hour": "1h", "minute": "1m"}[unit]))
 
 
 #: The same bars for DuckDB: relations bars, ticks, hours, minutes.
