@@ -119,7 +119,7 @@ def test_line_items_are_rolled_up_once(spark, sf, monkeypatch, name):
     assert len(made) == 1 and (out is None or not any("lineitem" in x for x in out.inputFiles()))
 
 
-@pytest.mark.parametrize("name", ["walk_forward", "top_features"])
+@pytest.mark.parametrize("name", ["walk_forward", "top_features", "depth_model"])
 def test_line_items_are_added_up_without_a_sort(spark, sf, monkeypatch, name):
     """Numbers are added up by hash, and the whole order is looked at for trades at its ends alone, beside which no line item is shuffled."""
     plans, kept = [], tables.settled
