@@ -249,6 +249,29 @@ def test_a_run_is_the_same_with_large_models(spark, monkeypatch):
     assert near == told() and {r[2] for r in near[0]} == {"held", "score", "gain"}
 
 
+def test_only_rows_of_planned_models_are_dealt(spark, monkeypatch):
+    """A plan of the last month: rows of months that it has no use for stay where they are, the rest as with all months; partitions are bounded by groups."""
+    rng = np.random.default_rng(5)
+    rows = [("s", i, "week", 7, None if r < 0.1 else "long" if r < 0.5 else "short", 1, [r, float("nan") if i % 7 == 0 else float(i % 5)]) for i in range(400) for r in [float(rng.random())]]
+    pool = spark.createDataFrame(rows, "symbol string, slot long, horizon string, forward int, direction string, depth_bin int, x array<double>").withColumn("open_time", F.timestamp_seconds(c("slot") * 86400))
+    plan = learning.plan(pool.select("open_time"), {"week": 7}, days=240)
+    last = plan.where(c("month") == F.lit(plan.agg(F.max("month")).first()[0]))
+    seen, dealt = [], learning.dealt
+
+    def counted(df, *keys, **more):
+        spark.conf.set("spark.sql.shuffle.partitions", 100)
+        out = dealt(df, *keys, **more)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        seen.append((df.select(learning.month_of(c("slot"))).distinct().count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(learning, "dealt", counted)
+    told = lambda p, at: sorted((tuple(r) for r in learning.sliced(pool, p, learning.holdouts(learning.days(pool, p))).join(at.select("month"), "month", "left_semi").collect()), key=str)
+    every, one = told(plan, last), told(last, last)
+    assert every == one and {r[2] for r in one} == {"fit", "held", "score"}
+    assert [n for n, _ in seen] == [14, 9] and all(parts == 64 for _, parts in seen)
+
+
 def test_rows_that_symbols_give(spark):
     rng = np.random.default_rng(3)
     rows = [(s, int(i), "week", "long" if rng.random() < 0.8 else None) for s in ("a", "b") for i in range(200) if rng.random() < 0.7 or s == "a"]

@@ -201,17 +201,27 @@ def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[WINDOW].iloc[:1].assign(edges=[edges], middle=[middle])
 
 
+def _spans(plan: DataFrame) -> DataFrame:
+    """plan with the first and last month of the rows that each model looks back on."""
+    return plan.withColumns({"first": month_of(c("cutoff") - c("steps")), "last": month_of(c("cutoff") - c("forward") - 1)})
+
+
+def _blocks() -> Column:
+    """The months of a model's rows: those that it looks back on, and its own."""
+    return F.array_distinct(F.concat(F.when(c("first") <= c("last"), F.sequence("first", "last", F.expr("interval 1 month"))).otherwise(F.array()), F.array("month")))
+
+
 def models(pool: DataFrame, plan: DataFrame) -> DataFrame:
     """plan with block (first and last month of the rows looked back on), edges and middle: bins from the quantiles of those months.
 
     Quantiles are taken by month of the pool, once, and put together by model; all those rows stand before the cutoff.
     """
+    spans = _spans(plan)
     columns = F.posexplode("x").alias("place", "v")
     finite = F.when(F.abs("v") < float("inf"), c("v"))
     sketch = pool.withColumn("block", month_of(c("slot"))).select("horizon", "block", columns).withColumn("v", finite).groupBy("horizon", "block", "place")
     quantiles = [(k + 0.5) / boosting.BINS for k in range(boosting.BINS)]
     sketch = settled(sketch.agg(F.percentile_approx("v", quantiles, 10_000).alias("points"), F.count("v").alias("n")))
-    spans = plan.withColumns({"first": month_of(c("cutoff") - c("steps")), "last": month_of(c("cutoff") - c("forward") - 1)})
     back = spans.where(c("first") <= c("last")).withColumn("block", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))))
     met = back.select(*WINDOW, "block").join(sketch, ["horizon", "block"])
     edges = met.groupBy(*WINDOW).applyInPandas(_edges, "month timestamp, horizon string, edges array<array<double>>, middle array<double>")
@@ -220,44 +230,50 @@ def models(pool: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _binning(rows: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
     """Rows of one month and horizon for every model that looks back on them, and for the model that they are asked of."""
-    out, x, slot, known = [], None, rows["slot"].to_numpy(), rows["direction"].notna().to_numpy()
-    for m in plans.itertuples(index=False):
+    slot, known, months, own = rows["slot"].to_numpy(), rows["direction"].notna().to_numpy(), plans["month"].to_numpy(), (plans["month"] == plans["block"]).to_numpy()
+    x, taken, part, of, bins = None, [], [], [], []
+    for k, m in enumerate(plans.itertuples(index=False)):
         inside = known & (slot >= m.cutoff - m.steps) & (slot < m.cutoff - m.forward)
-        part = np.where(~inside, None, np.where((m.fit_before != m.fit_before) | (slot < m.fit_before), "fit", np.where(slot >= m.held_slot, "held", None)))
-        for chosen, kind in ((part != None, part), (np.full(len(rows), m.month == m.block), np.full(len(rows), "score"))):  # noqa: E711
-            if chosen.any():
+        fit = inside & ((m.fit_before != m.fit_before) | (slot < m.fit_before))
+        for kind, chosen in (("fit", fit), ("held", inside & ~fit & (slot >= m.held_slot)), ("score", np.full(len(rows), own[k]))):
+            if len(at := np.flatnonzero(chosen)):
                 x = np.stack(rows["x"].to_numpy()).astype(float) if x is None else x
-                b = boosting.binned(x[chosen], [np.asarray(e, float) for e in m.edges], np.asarray(m.middle, float))
-                out.append(rows.loc[chosen, ["horizon", "symbol", "open_time", "direction", "depth_bin"]].assign(month=m.month, part=kind[chosen], bins=[r.tobytes() for r in b]))
-    if not out:
-        return rows.iloc[:0].assign(month=plans["month"].iloc[:0], part="", bins=b"")[["month", "horizon", "part", "symbol", "open_time", "direction", "depth_bin", "bins"]]
-    return pd.concat(out)[["month", "horizon", "part", "symbol", "open_time", "direction", "depth_bin", "bins"]]
+                bins += boosting.told(boosting.binned(x[at], [np.asarray(e, float) for e in m.edges], np.asarray(m.middle, float)))
+                taken.append(at)
+                part += [kind] * len(at)
+                of.append(np.full(len(at), k))
+    out = rows.iloc[np.concatenate(taken) if taken else []][["horizon", "symbol", "open_time", "direction", "depth_bin"]].reset_index(drop=True)
+    out = out.assign(month=months[np.concatenate(of)] if of else months[:0], part=pd.Series(part, dtype=object), bins=pd.Series(bins, dtype=object))
+    return out[["month", "horizon", "part", "symbol", "open_time", "direction", "depth_bin", "bins"]]
 
 
 def sliced(pool: DataFrame, plan: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """Binned rows of every model: month, horizon, part (fit, held, score), symbol, open_time, direction, depth_bin, bins.
 
-    A row's columns are read once, beside the models of its month; what is dealt to the models is a byte a column. Without split nothing is held out.
+    A row's columns are read once, beside the models of its month; what is dealt to the models is a byte a column. Rows of months that no
+    model of the plan has are left out first. Without split nothing is held out.
     """
-    made = models(pool, plan)
+    plan = settled(plan)  # one row a month and horizon
+    asked = _spans(plan).select("horizon", F.explode(_blocks()).alias("block")).distinct()
+    rows = pool.withColumn("block", month_of(c("slot"))).join(F.broadcast(asked), ["horizon", "block"], "left_semi")
+    made = models(rows.drop("block"), plan)
     made = made.join(split.select(*WINDOW, "fit_before", "held_slot"), WINDOW, "left") if split is not None else made.withColumns({x: F.lit(None).cast("long") for x in ("fit_before", "held_slot")})
-    blocks = F.array_distinct(F.concat(F.sequence("first", "last", F.expr("interval 1 month")), F.array("month")))
     numbers = [c(x).cast("double").alias(x) for x in ("fit_before", "held_slot")]
-    made = made.select("month", "horizon", F.explode(blocks).alias("block"), "cutoff", "forward", "steps", *numbers, "edges", "middle")
-    rows = pool.withColumn("block", month_of(c("slot")))
-    most = rows.groupBy("horizon", "block").count().agg(F.max("count")).first()[0] or 0  # one number
-    salts = -(-most // BINNED_ROWS) or 1
+    made = made.select("month", "horizon", F.explode(_blocks()).alias("block"), "cutoff", "forward", "steps", *numbers, "edges", "middle")
+    most, groups = rows.groupBy("horizon", "block").count().agg(F.max("count"), F.count(F.lit(1))).first()  # two numbers
+    salts = -(-(most or 0) // BINNED_ROWS) or 1
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("symbol", "open_time"), F.lit(salts))).select("horizon", "block", "salt", "symbol", "open_time", "slot", "direction", "depth_bin", "x")
     made = made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", c("salt").cast("long"))
     place = ["horizon", "block", "salt"]
     schema = "month timestamp, horizon string, part string, symbol string, open_time timestamp, direction string, depth_bin int, bins binary"
-    return settled(dealt(rows, *place).groupBy(*place).cogroup(made.groupBy(*place)).applyInPandas(lambda a, b: _binning(a, b), schema))
+    return settled(dealt(rows, *place, groups=groups * salts).groupBy(*place).cogroup(made.groupBy(*place)).applyInPandas(lambda a, b: _binning(a, b), schema))
 
 
 def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the models that one task can hold, and of the larger ones."""
-    sizes = settled(rows.groupBy(*WINDOW).count()).where(c("count") > boosting.TASK_ROWS).select(*WINDOW)
-    return rows.join(sizes, WINDOW, "left_anti"), rows.join(sizes, WINDOW, "left_semi")
+    """Rows of the models that one task can hold, dealt by model, and of the larger ones."""
+    sizes = settled(rows.groupBy(*WINDOW).count())
+    large = sizes.where(c("count") > boosting.TASK_ROWS).select(*WINDOW)
+    return dealt(rows.join(large, WINDOW, "left_anti"), *WINDOW, groups=sizes.count()), rows.join(large, WINDOW, "left_semi")
 
 
 def _frame(pdf: pd.DataFrame, part: str, value=None, name=None) -> pd.DataFrame:
@@ -291,7 +307,7 @@ def fitted(pool: DataFrame, names: list[str], plan: DataFrame, size: tuple[int,
     """All months' models at work: rows of `_fitting`. Models over boosting.TASK_ROWS rows are grown level by level over all tasks."""
     rows = sliced(pool, plan, settled(holdouts(days(pool, plan))))
     small, large = _by_size(rows)
-    done = dealt(small, *WINDOW).groupBy(*WINDOW).applyInPandas(_fitting(*size, names), _OUT)
+    done = small.groupBy(*WINDOW).applyInPandas(_fitting(*size, names), _OUT)
     large = large.withColumn("model", _model("horizon"))
     use = large.where("part = 'fit'").select("model", "symbol", "open_time", (c("direction") == "long").cast("int").alias("y"), "bins")
     able = use.groupBy("model").agg(F.count_distinct("y").alias("kinds"), F.count(F.lit(1)).alias("n")).where((c("kinds") == 2) & (c("n") >= LEAST_ROWS)).select("model")
@@ -403,7 +419,7 @@ def depth_model(pool: DataFrame, plan: DataFrame, size: tuple[int, int, float] =
     """
     kinds = len(d.DEPTH_BINS)
     small, large = _by_size(sliced(pool, plan))
-    done = dealt(small, *WINDOW).groupBy(*WINDOW).applyInPandas(_depths(kinds, size), _DEPTHS)
+    done = small.groupBy(*WINDOW).applyInPandas(_depths(kinds, size), _DEPTHS)
     use = large.where("part = 'fit' AND depth_bin IS NOT NULL").select(_model("horizon", "direction").alias("model"), "symbol", "open_time", c("depth_bin").alias("y"), "bins")
     counts: dict[str, dict[int, int]] = {}
     for r in use.groupBy("model", "y").count().collect():  # one row a model and bin

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+#: Partitions to which few groups are dealt, so that two of them seldom meet in one.
+LEAST_DEALT = 64
 c = F.col
 KEYS = ["symbol", "interval"]
 
@@ -22,9 +24,13 @@ def indexed(bars: DataFrame, keys: list[str] = KEYS, order: str = "open_time", d
     return _counted(bars, keys, order, F.floor(F.unix_seconds(order) / (86400 * days)), out)
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by keys (or evenly) to a stated number of partitions, which adaptive execution does not merge: for work that is heavy for its bytes."""
-    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def dealt(rows: DataFrame, *keys: str, groups: int | None = None) -> DataFrame:
+    """rows dealt by keys (or evenly) to a stated number of partitions, which adaptive execution does not merge: for work that is heavy for its bytes.
+
+    groups: the number of different keys, where it is known. Partitions then do not grow with the session's setting beyond what groups can fill.
+    """
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n if groups is None else min(n, max(LEAST_DEALT, 2 * groups)), *keys)
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str = "idx", out: str = "pos", size: int = CHUNK) -> DataFrame:
