@@ -237,6 +237,29 @@ def test_models_over_many_tasks_are_those_of_one(spark, monkeypatch, classes):
             assert all(np.array_equal(x, y) for one, two in zip(levels, other, strict=True) for x, y in zip(one, two, strict=True)) and np.array_equal(value, leaf)
 
 
+@pytest.mark.parametrize("classes", [2, 10])
+def test_smaller_children_are_added_up(monkeypatch, classes):
+    """Below the first level at most half the rows are added up, and trees, leaves and gains are those of all rows, bit by bit."""
+    rng = np.random.default_rng(classes)
+    b = rng.integers(0, 64, (500, 6)).astype(np.uint8)
+    y = (b[:, 1].astype(int) // 4 + rng.integers(0, 3, 500)) % classes
+    seen, histogram = [], boosting.histogram
+    monkeypatch.setattr(boosting, "histogram", lambda b, *a: seen.append(len(b)) or histogram(b, *a))
+    forest = boosting.grown(b, y, np.bincount(y, minlength=classes), 8, 4, 0.3)
+    assert len(seen) == 32 and all(n <= (500 if k % 4 == 0 else 250) for k, n in enumerate(seen))
+    score, gain = np.tile(forest["base"], (500, 1)), np.zeros(6)
+    for levels, leaf in forest["trees"]:
+        values, node = boosting.gradients(score, y), np.zeros(500, np.int64)
+        for k, (column, cut) in enumerate(levels):
+            best, at, won, children = boosting.split(histogram(b, values, node, 1 << k))
+            assert np.array_equal(best, column) and np.array_equal(at, cut)
+            np.add.at(gain, best, won)
+            node = 2 * node + (b[np.arange(500), column[node]] > cut[node])
+        assert np.array_equal(leaf, 0.3 * boosting.leaves(children))
+        score += leaf[node]
+    assert np.array_equal(gain, forest["gain"])
+
+
 def test_a_run_is_the_same_with_large_models(spark, monkeypatch):
     """Both learners over a pool of two symbols, every model in one task and every model over all tasks."""
     rng = np.random.default_rng(9)

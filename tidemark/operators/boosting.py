@@ -62,6 +62,18 @@ def histogram(b: np.ndarray, values: np.ndarray, node: np.ndarray, nodes: int) -
     return np.moveaxis(out.reshape(shape[-1:] + shape[:-1]), 0, -1)
 
 
+def halved(parents: np.ndarray, b: np.ndarray, values: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """`histogram` of a level below parents: of two children the smaller is added up, the other is what it leaves of its parent (exact: whole numbers)."""
+    at = np.arange(len(parents))
+    rows = np.bincount(node, minlength=2 * len(parents)).reshape(-1, 2)
+    small = (rows[:, 1] < rows[:, 0]).astype(np.int64)
+    chosen = (node & 1) == small[node >> 1]
+    found, whole = (np.moveaxis(x, -1, 0) for x in (histogram(b[chosen], values[chosen], node[chosen] >> 1, len(parents)), parents))
+    out = np.empty((whole.shape[0], len(parents), 2, *whole.shape[2:]))
+    out[:, at, small], out[:, at, 1 - small] = found, whole - found
+    return np.moveaxis(out.reshape(whole.shape[0], -1, *whole.shape[2:]), 0, -1)
+
+
 def split(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best column, cut (rows of bins up to it go left; BINS: all do) and gain of each node, and the sums of its two children."""
     k = (sums.shape[-1] - 1) // 2
@@ -117,7 +129,8 @@ def grown(b: np.ndarray, y: np.ndarray, counts: np.ndarray, trees: int, depth: i
     for _ in range(trees):
         values, node, levels = gradients(score, y), np.zeros(len(b), np.int64), []
         for level in range(depth):
-            column, cut, gain, children = split(histogram(b, values, node, 1 << level))
+            sums = halved(sums, b, values, node) if level else histogram(b, values, node, 1)
+            column, cut, gain, children = split(sums)
             np.add.at(forest["gain"], column, gain)
             levels.append((column, cut))
             node = 2 * node + (b[np.arange(len(b)), column[node]] > cut[node])

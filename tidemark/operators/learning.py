@@ -183,21 +183,28 @@ BINNED_ROWS = 50_000
 _OUT = "month timestamp, horizon string, part string, symbol string, open_time timestamp, name string, value double, is_long boolean"
 
 
+#: Shares of a column's rows at which its bins end, and the median.
+_CUTS = np.append(np.linspace(0, 1, boosting.BINS + 1)[1:-1], 0.5)
+
+
 def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Bin edges and medians by column, of the quantiles of a model's months, each weighing as many rows as it has."""
-    edges, middle = [], []
-    for _, rows in pdf.sort_values(["place", "block"]).groupby("place"):
-        points = [np.asarray(x, float) for x in rows["points"] if x is not None and len(x)]
-        if not points:
+    pdf = pdf.sort_values(["place", "block"])
+    place, n, points = (pdf[x].to_numpy() for x in ("place", "n", "points"))
+    sizes = np.array([0 if x is None else len(x) for x in points])
+    edges, middle, ends = [], [], np.flatnonzero(np.diff(place, append=place[-1:] + 1)) + 1
+    for first, last in zip([0, *ends[:-1]], ends, strict=True):
+        there = np.flatnonzero(sizes[first:last]) + first
+        if not len(there):
             edges.append([])
             middle.append(0.0)
             continue
-        value, weight = np.concatenate(points), np.concatenate([np.full(len(p), n / len(p)) for p, n in zip(points, rows["n"][rows["n"] > 0], strict=True)])
+        value, weight = np.concatenate(points[there]).astype(float), np.repeat(n[there] / sizes[there], sizes[there])
         order = np.argsort(value, kind="stable")
         value, upto = value[order], np.cumsum(weight[order])
-        at = lambda q: value[np.minimum(np.searchsorted(upto, q * upto[-1], "left"), len(value) - 1)]  # noqa: E731, B023
-        edges.append(np.unique(at(np.linspace(0, 1, boosting.BINS + 1)[1:-1])).tolist())
-        middle.append(float(at(np.array([0.5]))[0]))
+        at = value[np.minimum(np.searchsorted(upto, _CUTS * upto[-1], "left"), len(value) - 1)]
+        edges.append(np.unique(at[:-1]).tolist())
+        middle.append(float(at[-1]))
     return pdf[WINDOW].iloc[:1].assign(edges=[edges], middle=[middle])
 
 
